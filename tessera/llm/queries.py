@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_planes
+from . import decontaminate, media, mixing, quality, simhash, token_planes, toxicity
 
 _QUERIES = {
     "op1_token_planes": token_planes.query,
+    "op2_media_archives": media.query,
+    "op3_mix_sources": mixing.query,
+    "op7_toxicity_lexicon": toxicity.query,
+    "op8_decontaminate": decontaminate.query,
+    "op9_quality_sites": quality.query,
+    "op10_simhash_tiles": simhash.query,
+}
+_SQL: dict[str, str] = {
+    "op3_mix_sources": mixing.SQL,
+    "op8_decontaminate": decontaminate.SQL,
 }
-_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
