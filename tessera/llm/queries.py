@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, quality, simhash, token_planes, toxicity
+from . import decontaminate, html_extract, media, mixing, quality, repeats, simhash, suffixes, token_planes, toxicity
 
 _QUERIES = {
     "op1_token_planes": token_planes.query,
     "op2_media_archives": media.query,
     "op3_mix_sources": mixing.query,
+    "op4_html_crf": html_extract.query,
+    "op5_repeated_passages": repeats.query,
+    "op6_shared_strings": suffixes.query,
     "op7_toxicity_lexicon": toxicity.query,
     "op8_decontaminate": decontaminate.query,
     "op9_quality_sites": quality.query,
