@@ -13,6 +13,11 @@ A signature has at most 17**4 values, which bounds the set of signatures that is
 the square of the distinct fingerprints, a twentieth of all pairs being compared: exact at any size, and a cost to know
 of beyond some 10**8 distinct fingerprints.
 
+With ``similarity``, links are wider and verified: every document also gets a sketch of its five-word shingles (one byte
+for the smallest hash in each of 128 bins), fingerprints within the radius link only where the sketches agree in that
+share of the bins that either fills, an estimate of the Jaccard similarity with a deviation of 0.035 at 0.8. Beyond a
+radius of 4, counts of single words prune little, and tiles are sorted by the population count of the whole.
+
 Texts without words (null included) have fingerprint 0 and link like any other; a null doc_id never names a component
 unless it is alone; repeated rows come out as often as they came in; an empty table gives an empty result.
 """
@@ -36,6 +41,8 @@ SEED = 42
 TILE = 1024
 #: Shingle hashes whose bits are counted at once.
 COUNTED = 1 << 17
+#: Bins of a sketch, and the shingles it is of.
+BINS, SKETCHED = 128, 5
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -61,29 +68,50 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, a 64-bit fingerprint as a signed long."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte for each bin of the hashes: of its smallest, or 0 where there is none."""
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(7))
+    spread = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return np.where(least == np.iinfo(np.uint64).max, 0, spread % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def likeness(a: bytes, b: bytes) -> float:
+    """The estimated Jaccard similarity of what two sketches are of; two empty ones are alike."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    filled = np.count_nonzero(x | y)
+    return np.count_nonzero((x == y) & (x > 0)) / filled if filled else 1.0
+
+
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """doc_id, fp (a 64-bit fingerprint as a signed long) and sketch (null unless asked for)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "_text"):
-                fps = np.array([fingerprint(shingle_hashes(t.as_buffer().to_pybytes(), size)) for t in piece.column("_text")], np.uint64)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                texts = [t.as_buffer().to_pybytes() for t in piece.column("_text")]
+                fps = np.array([fingerprint(shingle_hashes(t, size)) for t in texts], np.uint64)
+                sketches = [sketch(shingle_hashes(t, SKETCHED)) if sketched else None for t in texts]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, sketch binary")
 
 
-def signature(fp: Column) -> Column:
-    """The population counts of the four 16-bit words, as one number to base 17."""
+def signature(fp: Column, parts: int) -> Column:
+    """The population counts of the fingerprint's 4 words of 16 bits as one number to base 17, or of the whole (1)."""
+    if parts == 1:
+        return F.bit_count(fp).cast("int")
     out = F.lit(0)
     for k in range(4):
         out = out * 17 + F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF)))
     return out.cast("int")
 
 
-def near_signatures(sig: int, radius: int, there: set[int]) -> list[int]:
+def near_signatures(sig: int, radius: int, there: set[int], parts: int) -> list[int]:
     """Signatures among ``there`` from ``sig`` upwards whose counts differ from its by ``radius`` at most, in sum."""
+    if parts == 1:
+        return [s for s in range(sig, sig + radius + 1) if s in there]
     counts = [sig // 17**k % 17 for k in range(4)]
     out = []
     for a in range(-radius, radius + 1):
@@ -121,75 +149,69 @@ class Forest:
 
 
 def tiles(distinct: DataFrame, radius: int) -> DataFrame:
-    """sig, lead (the tile's first fingerprint), near (signatures to meet) and fps (packed), from distinct fingerprints."""
-    signed = distinct.select("fp", signature(F.col("fp")).alias("sig"))
+    """sig, lead (the tile's first fingerprint), near (signatures to meet), fps and sketches (packed)."""
+    parts = 4 if radius <= 4 else 1
+    signed = distinct.select("fp", "sketch", signature(F.col("fp"), parts).alias("sig"))
     there = {r["sig"] for r in signed.select("sig").distinct().collect()}  # at most 17**4 numbers
     near = distinct.sparkSession.sparkContext.broadcast(there)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sig, held = None, np.zeros(0, np.int64)
-
-        def rows(sig, fps):
-            out = near_signatures(sig, radius, near.value)
-            for k in range(0, len(fps), TILE):
-                yield sig, int(fps[k]), out, fps[k : k + TILE].tobytes()
+        sig, held = None, []
 
-        def batch_of(found):
-            cols = list(zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.binary())], names=["sig", "lead", "near", "fps"])
+        def row():
+            return sig, held[0][0], near_signatures(sig, radius, near.value, parts), np.array([f for f, _ in held], np.int64).tobytes(), b"".join(s or b"" for _, s in held)
 
         for batch in batches:
-            sigs, fps = np.asarray(batch.column("sig")), np.asarray(batch.column("fp"))
-            if not len(sigs):
-                continue
-            cuts = [0, *(np.flatnonzero(np.diff(sigs)) + 1).tolist(), len(sigs)]
             found = []
-            for a, b in itertools.pairwise(cuts):
-                if sigs[a] == held_sig:
-                    held = np.concatenate([held, fps[a:b]])
-                else:
-                    if held_sig is not None:
-                        found += rows(held_sig, held)
-                    held_sig, held = int(sigs[a]), fps[a:b].copy()
-                full = len(held) // TILE * TILE
-                if full:
-                    found += rows(held_sig, held[:full])
-                    held = held[full:]
+            for s, fp, sk in zip(*(batch.column(c).to_pylist() for c in ("sig", "fp", "sketch")), strict=True):
+                if held and (s != sig or len(held) == TILE):
+                    found.append(row())
+                    held = []
+                sig = s
+                held.append((fp, sk))
             if found:
-                yield batch_of(found)
-        if held_sig is not None and len(held):
-            yield batch_of([*rows(held_sig, held)])
+                yield _tile_batch(found)
+        if held:
+            yield _tile_batch([row()])
 
-    schema = "sig int, lead long, near array<int>, fps binary"
+    schema = "sig int, lead long, near array<int>, fps binary, sketches binary"
     return signed.repartitionByRange("sig", "fp").sortWithinPartitions("sig", "fp").mapInArrow(pack, schema)
 
 
-def links(tile_rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a and b: edges that keep the components of all pairs within ``radius`` bits."""
+def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sig", "lead", "near", "fps", "sketches"])
+
+
+def links(tile_rows: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """a and b: edges that keep the components of all pairs within ``radius`` bits (and of that likeness)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch in batches:
             found = []
-            cols = [batch.column(n) for n in ("lead_a", "lead_b", "fps_a", "fps_b")]
-            for la, lb, fa, fb in zip(*cols, strict=True):
+            cols = [batch.column(n) for n in ("lead_a", "lead_b", "fps_a", "fps_b", "sketches_a", "sketches_b")]
+            for la, lb, fa, fb, sa, sb in zip(*cols, strict=True):
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (fa, fb))
                 hit = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
                 if la.as_py() == lb.as_py():
                     hit = np.triu(hit, 1)
                 if hit.any():
-                    i, j = np.nonzero(hit)
-                    for x, y in zip(a[i].view(np.int64).tolist(), b[j].view(np.int64).tolist(), strict=True):
-                        if forest.join(x, y):
-                            found.append((x, y))
+                    sa, sb = sa.as_py(), sb.as_py()
+                    i, j = (x.tolist() for x in np.nonzero(hit))
+                    a, b = a.view(np.int64).tolist(), b.view(np.int64).tolist()
+                    for p, q in zip(i, j, strict=True):
+                        if forest.root(a[p]) != forest.root(b[q]):
+                            if similarity is None or likeness(sa[p * BINS : (p + 1) * BINS], sb[q * BINS : (q + 1) * BINS]) >= similarity:
+                                forest.join(a[p], b[q])
+                                found.append((a[p], b[q]))
             if found:
-                cols = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    left = tile_rows.select(F.col("sig").alias("sig_a"), F.col("lead").alias("lead_a"), F.col("fps").alias("fps_a"), F.explode("near").alias("sig"))
-    right = tile_rows.select("sig", F.col("lead").alias("lead_b"), F.col("fps").alias("fps_b"))
+    left = tile_rows.select(F.col("sig").alias("sig_a"), F.col("lead").alias("lead_a"), F.col("fps").alias("fps_a"), F.col("sketches").alias("sketches_a"), F.explode("near").alias("sig"))
+    right = tile_rows.select("sig", F.col("lead").alias("lead_b"), F.col("fps").alias("fps_b"), F.col("sketches").alias("sketches_b"))
     pairs = left.join(right, "sig").where((F.col("sig_a") < F.col("sig")) | (F.col("lead_a") <= F.col("lead_b")))
-    return pairs.select("lead_a", "lead_b", "fps_a", "fps_b").mapInArrow(compare, "a long, b long")
+    return pairs.select("lead_a", "lead_b", "fps_a", "fps_b", "sketches_a", "sketches_b").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,12 +237,12 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every document."""
-    rows = written(fingerprints(docs, key=key, text=text, size=size), "simhash")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    rows = written(fingerprints(docs, key=key, text=text, size=size, sketched=similarity is not None), "simhash")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")), "simhash-distinct")
     tile_rows = written(tiles(distinct, radius), "simhash-tiles")
-    edges = written(links(tile_rows, radius), "simhash-links")
+    edges = written(links(tile_rows, radius, similarity), "simhash-links")
     drop_written(tile_rows)
     found = components(edges)
     roots = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first")
