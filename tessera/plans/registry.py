@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import relational, texts
+
 FLAGSHIP = "c1_hybrid_retrieve"
-_MODULES: list = []
+_MODULES = [relational, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
