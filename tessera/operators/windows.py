@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,6 +63,12 @@ def lexical_candidates(queries: DataFrame, documents: DataFrame, size: int, stri
     return counts.withColumn("r", r).where(F.col("r") <= most).select("item_id", "doc_id", "start", "score")
 
 
+def _run_hashes(row: Column, k: int) -> Column:
+    """Hashes of all runs of k words, in order; null for fewer words."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(row) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(row, i, k)))
+    return F.when(F.size(row) >= k, every)
+
+
 def resolution(queries: DataFrame, documents: DataFrame, *, floor: float = 0.12, margin: float = 0.02) -> DataFrame:
     """item_id, state, doc_id and score: where each query's text comes from.
 
@@ -75,7 +81,7 @@ def resolution(queries: DataFrame, documents: DataFrame, *, floor: float = 0.12,
     d = documents.select("doc_id", T.tokens(F.col("text")).alias("t"))
     parts = []
     for k in sorted(r["lead"] for r in q.select("lead").distinct().where("lead > 0").collect()):  # LEAD numbers at most
-        starts = F.when(F.size("t") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - k + 1, F.lit(1))), lambda i, k=k: F.xxhash64(F.slice("t", i, k))))
+        starts = _run_hashes(F.col("t"), k)
         wanted = q.where(F.col("lead") == k).select("item_id", "q", "n", F.xxhash64(F.slice("q", 1, k)).alias("h"))
         hits = d.select("doc_id", "t", F.posexplode(starts).alias("at", "h")).join(wanted, "h").where(F.slice("t", F.col("at") + 1, F.col("n")) == F.col("q"))
         parts.append(hits.select("item_id", "doc_id").distinct())

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, texts
+from . import knowledge, relational, texts
 
 FLAGSHIP = "c1_hybrid_retrieve"
-_MODULES = [relational, texts]
+_MODULES = [relational, texts, knowledge]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
