@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knowledge, relational, texts
+from . import evaluation, knowledge, maintenance, relational, texts
 
 FLAGSHIP = "c1_hybrid_retrieve"
-_MODULES = [relational, texts, knowledge]
+_MODULES = [relational, texts, knowledge, evaluation, maintenance]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
