@@ -17,14 +17,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, set only where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own.
+
+    A path without a scheme lies in the cluster's default file system, as for Spark itself.
+    """
+    sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
+        found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+        sc.setCheckpointDir(found)
+    at = sc._jvm.org.apache.hadoop.fs.Path(found)
+    whole = at.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -91,9 +91,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """Every document's id, tie, n_words, n_hit, n_items, item ids and hit words."""
     windows = written(benchmark_windows(benchmark, text=text, window=window), "windows")
     found = written(hits(docs, windows, key=key, text=text), "hits")
-    found = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "items", hit_words(F.col("spans")).alias("hit"))
+    found = found.select(F.col("id").alias("__t_id"), F.col("tie").alias("__t_tie"), "items", hit_words(F.col("spans")).alias("hit"))
     every = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tie"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    out = every.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
+    out = every.join(found, F.col("id").eqNullSafe(F.col("__t_id")) & (F.col("tie") == F.col("__t_tie")), "left")
     items, hit = (F.coalesce(F.col(c), F.array().cast(t)) for c, t in (("items", "array<string>"), ("hit", "array<int>")))
     return out.select("id", "tie", "n_words", F.size(hit).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.array_sort(items).alias("items"), hit.alias("hit"))
 
@@ -102,19 +102,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
     """The documents without any hit, unchanged."""
     windows = written(benchmark_windows(benchmark, text=text, window=window), "windows")
     found = written(hits(docs, windows, key=key, text=text), "hits")
-    bad = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"))
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_tie")), "left_anti")
+    bad = found.select(F.col("id").alias("__t_id"), F.col("tie").alias("__t_tie"))
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("__t_id")) & (F.xxhash64(F.col(text)) == F.col("__t_tie")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """All documents, without the words that are hit; what stands between words stays."""
     found = contamination(docs, benchmark, key=key, text=text, window=window).where("n_hit > 0").dropDuplicates(["id", "tie"])
-    found = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("hit").alias("_hit"))
+    found = found.select(F.col("id").alias("__t_id"), F.col("tie").alias("__t_tie"), F.col("hit").alias("__t_hit"))
     parts = F.regexp_extract_all(F.col(text), F.lit(f"{CASED_WORD}|{CASED_BREAK}"), F.lit(0))
     first = F.when(F.col(text).rlike(f"^{CASED_WORD}"), 0).otherwise(1)  # words and what parts them alternate
-    kept = F.filter(parts, lambda p, i: ((i + first) % 2 == 1) | ~F.array_contains("_hit", ((i - first) / 2).cast("int")))
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_tie")), "left")
-    return joined.withColumn(text, F.when(F.col("_hit").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop("_id", "_tie", "_hit")
+    kept = F.filter(parts, lambda p, i: ((i + first) % 2 == 1) | ~F.array_contains("__t_hit", ((i - first) / 2).cast("int")))
+    joined = docs.join(found, F.col(key).eqNullSafe(F.col("__t_id")) & (F.xxhash64(F.col(text)) == F.col("__t_tie")), "left")
+    return joined.withColumn(text, F.when(F.col("__t_hit").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop("__t_id", "__t_tie", "__t_hit")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

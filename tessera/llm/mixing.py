@@ -76,7 +76,6 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     ``rows``: source, size, digits. ``wanted``: source, source_size, target, times, need. A threshold grows by ``STEP``
     digits a round. Digits below it are taken; its own bucket is the one that the next round looks into.
     """
-    spark = rows.sparkSession
     state = written(wanted.withColumn("below", F.lit("")).withColumn("got", F.lit(0).cast("long")).withColumn("done", F.lit(False)), "mix-state")
     for digits in range(STEP, DIGITS + 1, STEP):
         s = state.where(~F.col("done")).select(F.col("source").alias("_s"), "below")
@@ -107,7 +106,6 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Adds to each document: _size, _source_size, _target (its source's) and _times, how often the mix takes it."""
-    spark = docs.sparkSession
     slim = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hash_digits(F.col(key)).alias("digits"))
     rows = written(slim, "mix-rows")
     want = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
@@ -115,11 +113,11 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     want = want.withColumn("times", times).withColumn("need", F.col("target") - F.col("times") * F.col("source_size"))
     state = thresholds(rows, want)
     drop_written(rows)
-    s = state.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("times").alias("_base"), "below")
-    out = docs.withColumn("_size", word_count(F.col(text))).withColumn("_digits", hash_digits(F.col(key)))
-    out = out.join(s, F.col(source).eqNullSafe(F.col("_s")))
-    times = F.col("_base") + (F.col("_digits") < F.col("below")).cast("int")
-    return out.withColumn("_times", times).drop("_s", "_base", "below", "_digits")
+    s = state.select(F.col("source").alias("__t_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("times").alias("__t_base"), F.col("below").alias("__t_below"))
+    out = docs.withColumn("_size", word_count(F.col(text))).withColumn("__t_digits", hash_digits(F.col(key)))
+    out = out.join(s, F.col(source).eqNullSafe(F.col("__t_source")))
+    times = F.col("__t_base") + (F.col("__t_digits") < F.col("__t_below")).cast("int")
+    return out.withColumn("_times", times).drop("__t_source", "__t_base", "__t_below", "__t_digits")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
