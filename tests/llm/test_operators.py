@@ -1,0 +1,434 @@
+"""Each operator against a plain version, and on nulls, empty tables, repeats, long texts and clashing columns."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import common, decontaminate, exchange, html_extract, media, mixing, quality, queries, repeats, simhash, suffixes, token_planes, toxicity
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(n=120, seed=3):
+    """Texts with copies, shared passages, nulls, blanks, a long one, other scripts and special strings."""
+    r = random.Random(seed)
+    words = ["".join(r.choices("abcdéñ", k=r.randint(1, 6))) for _ in range(300)]
+    passage = " ".join(r.choices(words, k=60))
+    out = []
+    for i in range(n):
+        text = " ".join(r.choices(words, k=r.randint(1, 120)))
+        if i % 9 == 0:
+            text = text[: len(text) // 2] + " " + passage + " " + text[len(text) // 2 :]
+        if i % 11 == 0 and out:
+            text = out[r.randrange(len(out))][1]
+        out.append((i, text, "en", f"s{i % 4}", len(text or "")))
+    out[5] = (5, None, "en", None, 0)
+    out[6] = (6, "", "en", "s0", 0)
+    out[7] = (7, " \t\n ", "en", "s0", 4)
+    out[8] = (8, "<|endoftext|> ΣΑΣ İstanbul don't 12³ x's" + " same same" * 4000, "en", "s1", 0)
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows_of(), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clash(df):
+    """The same rows with columns named like the operators' own."""
+    names = "_text _key _id _tie _hit _s below key hash start size tie w n fp sketch sig score component_id target _size shard bits".split()
+    return df.withColumns({c: F.lit("x") for c in names})
+
+
+# 1
+
+
+def plain_ids():
+    from tokenizers import Tokenizer
+
+    t, start, out = Tokenizer.from_file(VOCABULARY), 0, {}
+    for d, text, *_ in sorted(rows_of()):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        out[d] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    return out
+
+
+def test_planes_round_trip():
+    ids = np.random.default_rng(1).integers(0, 1 << 32, 1000, dtype=np.uint64).astype(np.uint32)
+    for bits in (False, True):
+        for n in (0, 1, 7, 1000):
+            assert (token_planes.from_planes(token_planes.to_planes(ids[:n], bits), n) == ids[:n]).all()
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 100, "bits": True}])
+def test_token_planes(spark, docs, options):
+    path = token_planes.write_token_planes(clash(docs), VOCABULARY, **options)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_planes.read_token_planes(spark, path).collect()}
+    assert got == plain_ids()
+    assert sum(map(len, token_planes.read_ids(spark, path).values())) == sum(x[1] for x in got.values())
+
+
+def test_token_planes_edges(spark, empty):
+    assert token_planes.read_token_planes(spark, token_planes.write_token_planes(empty, VOCABULARY)).count() == 0
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (1, None)], "doc_id long, text string")
+    got = token_planes.read_token_planes(spark, token_planes.write_token_planes(twice, VOCABULARY)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, 1, 1, 1] and sorted(r["n_tokens"] for r in got) == [1, 2, 2, 2]
+
+
+def test_damaged_shard(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/t"
+    token_planes.write_token_planes(docs, VOCABULARY, path)
+    shard = next((tmp_path / "t/shards").iterdir())
+    shard.write_bytes(shard.read_bytes()[:-3])
+    with pytest.raises(Exception, match="cut short|planes"):
+        token_planes.read_token_planes(spark, path).collect()
+
+
+# 2
+
+
+def test_png_round_trip():
+    for raw in (b"", b"x", b"y" * 64, bytes(range(256)) * 300):
+        payload = media.pad(raw)
+        assert len(payload) % 64 == 0 and payload and media.decode_png(media.encode_png(payload)) == payload
+    bad = bytearray(media.encode_png(media.pad(b"abc")))
+    bad[60] ^= 1
+    with pytest.raises(ValueError):
+        media.decode_png(bytes(bad))
+
+
+def test_media_archives(spark, docs, empty):
+    path = media.write_media_archives(clash(docs))
+    for options in ({}, {"rangeBytes": "700"}):
+        got = {r["key"]: r for r in media.read_media_archives(spark, path, **options).collect()}
+        want = {d: media.pad((t or "").encode()) for d, t, *_ in rows_of()}
+        assert {k: bytes(r["payload"]) for k, r in got.items()} == want
+        assert all(r["n_bytes"] == len((t or "").encode()) for d, t, *_ in rows_of() for r in [got[d]])
+    assert media.read_media_archives(spark, media.write_media_archives(empty)).count() == 0
+
+
+def test_media_member_is_retried(tmp_path):
+    """A member that comes damaged from the run is read again by its own offset; one that stays damaged is named."""
+    from pyarrow import fs
+
+    good = media.encode_png(media.pad(b"abc"))
+    (tmp_path / "a").write_bytes(b"12345678" + good)
+    reader = media._MediaReader({"path": str(tmp_path)})
+    m = {"key": 9, "offset": 8, "size": len(good)}
+    files = fs.LocalFileSystem()
+    assert reader._decoded(files, str(tmp_path / "a"), m, b"damaged")[1] == media.pad(b"abc")
+    (tmp_path / "a").write_bytes(b"12345678" + good[:-5])
+    with pytest.raises(ValueError, match="member 9 at byte 8"):
+        reader._decoded(files, str(tmp_path / "a"), m, b"")
+
+
+def test_op2_digests(spark, sf):
+    got = {r["doc_id"]: r for r in queries.queries()["op2_media_archives"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        payload = media.pad((r["text"] or "").encode())
+        assert got[r["doc_id"]]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert got[r["doc_id"]]["tail_crc32"] == zlib.crc32(payload[-64:])
+
+
+# 3
+
+
+def test_mixing(spark, docs, empty):
+    got = mixing.mix(clash(docs).drop("_size")).select("doc_id", "source", "_size", "_source_size", "_target", "_times").collect()
+    by = defaultdict(list)
+    for r in got:
+        assert r["_times"] in (0, 1, 2)
+        by[r["source"]].append(r)
+    total = sum(r["_size"] for r in got)
+    assert sum(x[0]["_target"] for x in by.values()) == pytest.approx(1.5 * total)
+    for rows in by.values():
+        taken, largest = sum(r["_size"] * r["_times"] for r in rows), max(r["_size"] for r in rows)
+        assert abs(taken - rows[0]["_target"]) <= largest / 2 + 1 and rows[0]["_target"] <= 2 * rows[0]["_source_size"] + 1e-6
+    assert mixing.mix(empty).count() == 0
+    single = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
+    assert mixing.mix(single).first()["_times"] in (1, 2)
+
+
+def test_mixing_reruns_agree(docs):
+    a, b = ({r["doc_id"]: r["_times"] for r in mixing.mix(d).collect()} for d in (docs, docs.repartition(3)))
+    assert a == b
+
+
+# 4
+
+
+def test_crf_on_held_out_pages():
+    field = html_extract.trained()
+    wrong = total = 0
+    for page, labels in html_extract.labelled_pages(150, 4242):
+        wrong += sum(a != b for a, b in zip(field.decode(page), labels, strict=True))
+        total += len(labels)
+    assert wrong / total < 0.01
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    r = random.Random(1)
+    field = html_extract.Field({str(i): i for i in range(6)}, np.array([r.uniform(-2, 2) for _ in range(6)]), np.array([[0.5, -1.0], [-0.7, 0.4]]))
+    page = [[str(r.randrange(6))] for _ in range(7)]
+    s = field.scores(page)
+
+    def value(y):
+        return sum(s[i] for i in range(7) if y[i]) + sum(field.pairs[a, b] for a, b in zip(y, y[1:], strict=False))
+
+    assert value(field.decode(page)) == pytest.approx(max(value(y) for y in itertools.product((0, 1), repeat=7)))
+
+
+def test_html_edges(spark):
+    html = "<nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One&nbsp;two\n three.<p>Four <b>five</b><br>six.</article><footer>&copy; x</footer><script>var p='<p>no</p>'</script>"
+    df = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, None, ""), (4, "u", "<p>" + "word " * 50_000 + "end.")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extract.extract(df.withColumn("text", F.lit("clash")).withColumn("__x", F.lit(1))).collect()}
+    assert got[1]["text"] == "A & B\nOne two three.\nFour five six." and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == got[3]["text"] == "" and got[2]["n_chars"] == 0
+    assert got[4]["n_chars"] in (0, 250_004)
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
+# 5 and 6
+
+
+@pytest.mark.parametrize("window", [5, 20])
+def test_repeats(docs, window):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in repeats.remove_repeats(clash(docs), window=window).collect()}
+    assert got == repeats.brute_force([r[:2] for r in rows_of()], window)
+
+
+@pytest.mark.parametrize("options", [{}, {"sample": "minimum"}, {"sample": "difference", "crowd": 1}, {"sample": "minimum", "crowd": 1}])
+def test_shared_strings(docs, options):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_shared(clash(docs), **options).collect()}
+    assert got == suffixes.brute_force([r[:2] for r in rows_of()])
+
+
+def test_difference_cover():
+    """Any two places modulo the period have a common distance to the cover."""
+    cover = set(suffixes.COVER)
+    assert all(any((a + d) % 31 in cover and (b + d) % 31 in cover for d in range(31)) for a in range(31) for b in range(31))
+
+
+def test_repeats_edges(spark, empty):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text)], "doc_id long, text string")
+    got = repeats.remove_repeats(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 30), (0, 30), (1, 0), (1, 0)]
+    got = suffixes.remove_shared(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, len(text))] * 2 + [(1, 0)] * 2
+    assert repeats.remove_repeats(empty).count() == 0 and suffixes.remove_shared(empty).count() == 0
+
+
+def test_rolling():
+    x = np.random.default_rng(2).integers(0, 1 << 60, 200, dtype=np.uint64)
+    for size in (1, 2, 5, 20, 50):
+        want = [sum(int(v) * pow(7919, size - 1 - k, 1 << 64) for k, v in enumerate(x[i : i + size])) % (1 << 64) for i in range(len(x) - size + 1)]
+        assert exchange.rolling(x, size, 7919).tolist() == want
+    v = np.array([5, 1, 4, 1, 9, 2, 2], np.uint64)
+    for width in (1, 2, 3, 5, 6):
+        want = [i + min(range(width), key=lambda k, i=i: (v[i + k], k)) for i in range(len(v) - width + 1)]
+        assert exchange.leftmost_least(v, width).tolist() == want
+
+
+# 7 and 9
+
+
+def test_fold():
+    assert toxicity.fold("You 1d10t!!") == " you idiot   " or toxicity.fold("You 1d10t!!").split() == ["you", "idiot"]
+    assert toxicity.fold("іdiоt Ｆｕｌｌ É").split() == ["idiot", "full", "e"]
+    assert toxicity.fold("an i d i o t here").split() == ["an", "idiot", "here"] or "idiot" in toxicity.fold("x i d i o t yes").replace(" ", "")
+    matcher = toxicity.automaton({" trash ": 3.0, " stup": 2.0})
+    assert toxicity.features("the trash can", matcher) == (0.0, 0.0, 0.0)
+    assert toxicity.features("trash and stupidity", matcher)[0] == pytest.approx(np.log1p(5.0))
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.queries()["op7_toxicity_lexicon"](spark, sf).collect()
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert sum(a == b for a, b in held) / len(held) > 0.93
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.queries()["op9_quality_sites"](spark, sf).collect()
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert sum(a == b for a, b in held) / len(held) > 0.85
+
+
+def test_sparse_sites_shrink(spark):
+    rows = [("big", "a", 0.9)] * 400 + [("low", "a", 0.1)] * 400 + [("tiny", "a", 0.1)]
+    rates = {r["host"]: r for r in quality.posterior_rates(spark.createDataFrame(rows, "host string, path string, own double")).collect()}
+    assert rates["low"]["path_rate"] < 0.15 and rates["big"]["path_rate"] > 0.85
+    assert rates["low"]["path_rate"] < rates["tiny"]["path_rate"] < 0.5
+
+
+def test_trained_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    model = toxicity.Toxicity.train(clash(docs), none)
+    assert model.score(clash(docs)).count() == docs.count() and model.score(empty).count() == 0
+    assert model.keep_clean(clash(docs)).columns == clash(docs).columns
+    q = quality.quality(clash(docs), none, F.col("source"), F.col("lang"))
+    assert q.count() == docs.count() and q.agg(F.max("own")).first()[0] == pytest.approx(0.5)
+    assert quality.quality(empty, none, F.col("source"), F.col("lang")).count() == 0
+    odd = spark.createDataFrame([(5, 1, None), (None, 1, 1), (7, None, 0), (9, 1, 1), (9, 0, 1)], "doc_id long, toxic int, quality int")
+    assert toxicity.Toxicity.train(docs, odd).score(docs).count() == docs.count()
+
+
+# 8
+
+
+def test_decontamination(spark, docs, empty, same, duck):
+    items = [(1, rows_of()[20][1]), (2, "zz zz"), (3, None), (4, rows_of()[9][1]), (5, rows_of()[9][1]), (None, "same same")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = {}
+    for d, text, *_ in rows_of():
+        w = plain_words(text)
+        hit, found = set(), set()
+        for item, t in items:
+            b = plain_words(t)
+            n = min(len(b), 10)
+            windows = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else set()
+            for i in range(len(w) - n + 1) if n else ():
+                if tuple(w[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    found.add(str(item) if item is not None else "")
+        plain[d] = (len(w), len(hit), sorted(found))
+    for most in (decontaminate.BROADCAST_WINDOWS, 0):
+        windows = common.written(decontaminate.benchmark_windows(bench), "test-windows")
+        hits = {r["id"]: r for r in decontaminate.hits(clash(docs), windows, most=most).collect()}
+        assert {d for d, x in plain.items() if x[1]} == set(hits)
+    got = {r["id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.contamination(clash(docs), bench).collect()}
+    assert got == plain
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, x in plain.items() if not x[1]}
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}
+    assert all(len(plain_words(cut[d])) == x[0] - x[1] for d, x in plain.items())
+    none = bench.where("false")
+    assert decontaminate.drop_contaminated(docs, none).count() == docs.count()
+    assert decontaminate.contamination(empty, bench).count() == 0
+
+
+def plain_words(text):
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_agrees_with_sql(name, spark, sf, duck, same):
+    same(queries.queries()[name](spark, sf), duck, queries.oracle_sql()[name])
+
+
+# 10
+
+
+def plain_groups(rows, radius=3):
+    fps = {}
+    for d, text, *_ in rows:
+        w = (text or "").encode().lower().split()
+        s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        fps[d] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    group = {d: d for d in fps}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and bin(fps[a] ^ fps[b]).count("1") <= radius:
+                x, y = root(a), root(b)
+                group[max(x, y)] = min(x, y)
+    return {d: (f"{fps[d]:016x}", root(d)) for d in fps}
+
+
+def test_simhash(spark, docs, empty):
+    rows = [*rows_of(), *[(1000 + i, rows_of()[20][1] + f" tail{i}", "en", "s", 0) for i in range(40)]]
+    df = clash(spark.createDataFrame(rows, SCHEMA).repartition(6)).select("doc_id", "text", "sketch", "sig")
+    got = simhash.near_duplicates(df).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("f"), "component_id").collect()
+    assert {r["doc_id"]: (r["f"], r["component_id"]) for r in got} == plain_groups(rows)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_wide_links_need_likeness(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = r.choices(words, k=300)
+    near = [*base[:150], "odd", *base[151:]]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), *[(10 + i, " ".join(r.choices(words, k=300))) for i in range(40)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df, radius=14, similarity=0.8).collect()}
+    assert groups[2] == 1 and all(groups[10 + i] == 10 + i for i in range(40))
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(200, 203), (203, 201), (300, 300)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 200: 200, 201: 200, 203: 200}
+
+
+def test_keep_one(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b c"), (3, "other words here"), (None, "a b c")], "doc_id long, text string")
+    kept = simhash.keep_one(df, simhash.near_duplicates(df))
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
+
+
+# The pipeline
+
+
+def test_pipeline_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "simhash", "decontamination", "mixing", "tokens"]
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.written(stage(spark, now, sf), "test-stage")
+        if name != "tokens":
+            assert out.columns == docs.columns
+        if name == "toxicity":
+            model = toxicity.Toxicity.train(now, spark.read.parquet(f"{sf}/labels.parquet"))
+            assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in model.score(now).where("predicted = 0").collect()}
+        elif name == "simhash":
+            kept = {r["doc_id"] for r in out.collect()}
+            groups = plain_groups([(r["doc_id"], r["text"]) for r in now.collect()])
+            assert all(d == root or d not in kept for d, (_, root) in groups.items())
+        elif name == "decontamination":
+            bad = decontaminate.contamination(now, spark.read.parquet(f"{sf}/benchmark.parquet")).where("n_hit > 0").count()
+            assert out.count() == now.count() - bad
+        elif name == "mixing":
+            counts = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+            assert counts == {r["doc_id"]: r["_times"] for r in mixing.mix(now).collect() if r["_times"]}
+        else:
+            assert out.count() == now.count()
+        now = out
+    assert corpus_pipeline.run(spark, sf).count() == now.count()
+
+
+def test_pipeline_on_nothing(spark, empty, sf):
+    now = empty
+    for _, stage in corpus_pipeline.STAGES:
+        now = common.written(stage(spark, now, sf), "test-stage")
+        assert now.count() == 0
