@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, knowledge, maintenance, relational, texts
+from . import annotation, evaluation, knowledge, maintenance, relational, texts
 
 FLAGSHIP = "c1_hybrid_retrieve"
-_MODULES = [relational, texts, knowledge, evaluation, maintenance]
+_MODULES = [relational, texts, knowledge, evaluation, maintenance, annotation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

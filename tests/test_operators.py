@@ -195,3 +195,46 @@ def test_captions_and_pages(spark):
     a = spark.createDataFrame([("Yes.\nSources:\n[1] Guide | top | 0.9\nnoise\n[2] Wiki",)], "t string")
     r = pages.split_answer(a, "t").first()
     assert r["answer"] == "Yes." and [(s["label"], s["scope"], s["score"]) for s in r["sources"]] == [("Guide", "top", 0.9), ("Wiki", None, None)]
+
+
+def test_extraction_survives_bad_answers(spark):
+    from tessera.operators import extraction
+
+    df = spark.createDataFrame([(1, "One. Two."), (2, "Bad."), (3, None)], "doc_id long, text string")
+
+    def chat(prompt):
+        if "Bad" in prompt:
+            raise RuntimeError("no answer")
+        return 'Here: ["One", {"text": "Two"}, "One", 4]'
+
+    got = extraction.extract_facts(df, chat).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, "One"), (1, "Two")]
+    assert extraction.normalised_question("Hey, um please how  do I win ??") == "how do I win?"
+    shown, maps = extraction.mechanical("hello  there. bye")
+    assert shown == "Hello there. Bye" and maps == [(0, 5, 0, 5), (7, 13, 6, 12), (14, 17, 13, 16)]
+    assert extraction.letters_preserved("hello  there. bye", shown) and not extraction.letters_preserved("a b", "a c")
+
+
+def test_files(spark, tmp_path):
+    from tessera.sources import files
+
+    (tmp_path / "a.csv").write_text('name,URL\n"x, y",\n ,http://u\n')
+    (tmp_path / "b.json").write_text('[{"name": "z", "link": "l"}]')
+    a, b = (files.read_rows(spark, f"file://{tmp_path}/{n}") for n in ("a.csv", "b.json"))
+    assert [r["x"] for r in a.select(files.pick(a, "link", "URL", "name", default="-").alias("x")).collect()] == ["x, y", "http://u"]
+    assert b.select(files.pick(b, "URL", "link").alias("x")).first()["x"] == "l"
+    with pytest.raises(ValueError):
+        files.read_rows(spark, "x.xml")
+    assert files.with_defaults(None, {"id": ("bigint", 0)}, spark).count() == 0
+
+
+def test_incremental(spark, tmp_path):
+    from tessera.streaming import incremental
+
+    at = {k: f"file://{tmp_path}/{k}" for k in ("in", "out", "check")}
+    spark.range(5).write.parquet(at["in"])
+    step = lambda df: df.where("id % 2 = 0")
+    args = (spark, at["in"], "id long", at["out"], at["check"], step)
+    assert incremental.process_new(*args) == 3 and incremental.process_new(*args) == 0
+    spark.range(10, 14).write.mode("append").parquet(at["in"])
+    assert incremental.process_new(*args) == 2 and spark.read.parquet(at["out"]).count() == 5
