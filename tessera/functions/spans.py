@@ -171,7 +171,8 @@ def lenient_items(raw: str | None) -> list[str]:
     """Texts out of what a model wrote: a fenced or embedded JSON object or list; strings, or objects with a text."""
     body = re.sub(r"```(?:json)?", "", raw or "")
     found = None
-    for candidate in (body, *(m[0] for p in (r"\{.*\}", r"\[.*\]") if (m := re.search(p, body, re.S)))):
+    embedded = [m for p in (r"\{.*\}", r"\[.*\]") if (m := re.search(p, body, re.S))]
+    for candidate in (body, *(m[0] for m in sorted(embedded, key=lambda m: m.start()))):
         try:
             found = json.loads(candidate)
             break
