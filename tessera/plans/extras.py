@@ -222,3 +222,88 @@ def _(spark, sf):
     i = insights(spark, sf).withColumn("n", n).where("n <= 3")
     line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.substring("text", 1, 20))
     return i.groupBy("role").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))).alias("r")).select("role", F.array_join(F.transform("r", lambda x: x["l"]), "\n").alias("block"))
+
+
+@register("v5_rounded_scores", """SELECT p_partkey, round(p_retailprice * 0.001, 4) AS score FROM part""")
+def _(spark, sf):
+    """V5: scores to four digits, halves away from zero."""
+    return table(spark, sf, "part").select("p_partkey", F.round(F.col("p_retailprice") * 0.001, 4).alias("score"))
+
+
+@register("v8_decoded_lists", """SELECT p_partkey, len(string_split(p_type, ' ')) AS n, string_split(p_type, ' ')[1] AS first FROM part""")
+def _(spark, sf):
+    """V8: lists out of JSON text; what isn't a list of strings is null."""
+    p = table(spark, sf, "part").select("p_partkey", F.to_json(F.split("p_type", " ")).alias("j"))
+    d = F.from_json("j", "array<string>")
+    return p.withColumn("d", d).select("p_partkey", F.size("d").cast("long").alias("n"), F.col("d")[0].alias("first"))
+
+
+@register("m4_normalised_questions")
+def _(spark, sf):
+    """M4: questions tidied by rule, where no model is at hand."""
+    from tessera.operators import extraction
+
+    @F.pandas_udf("string")
+    def tidy(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: extraction.normalised_question(t or ""))
+
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", tidy("text").alias("question"))
+
+
+@register("m8_two_stage_relations", f"""WITH {REL}, ok AS (SELECT subject, relation_type, object, condition, max(confidence) AS c FROM rel WHERE relation_type IN ('needs', 'enables', 'prevents') GROUP BY 1, 2, 3, 4) SELECT relation_type, count(*) FILTER (c >= 0.5) AS kept, count(*) FILTER (c < 0.5) AS review FROM ok GROUP BY 1""")
+def _(spark, sf):
+    """M8: candidates compiled first, then held to a threshold."""
+    r = G.compiled(relations(spark, sf), ("needs", "enables", "prevents")).where("reason IS NULL")
+    return G.merged(r).groupBy("relation_type").agg(F.count_if(F.col("confidence") >= 0.5).alias("kept"), F.count_if(F.col("confidence") < 0.5).alias("review"))
+
+
+@register("x17_failure_codes", f"""WITH {VIDEOS} SELECT CASE WHEN status = 'error' THEN 'FAILED' WHEN status = 'no_transcript' THEN 'SOURCE_MISSING' WHEN length(transcription) < 100 THEN 'TOO_SHORT' ELSE 'NONE' END AS code, count(*) AS n FROM videos GROUP BY 1""")
+def _(spark, sf):
+    """Failures by stage, as codes."""
+    code = M.first_match([("FAILED", F.col("status") == "error"), ("SOURCE_MISSING", F.col("status") == "no_transcript"), ("TOO_SHORT", F.length("transcription") < 100)], "NONE")
+    return videos(spark, sf).groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("x19_span_validity", f"""WITH {SPANS} SELECT s.win AS "window", count(*) AS spans, count(*) FILTER (array_to_string(w.w[a + 1 : b], ' ') <> phrase) AS broken FROM spans s JOIN w ON s.win = w.win GROUP BY 1""")
+def _(spark, sf):
+    """Spans whose text isn't what their offsets say."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("window"), F.slice(T.tokens(F.col("text")), 1, 20).alias("w"))
+    j = spans(spark, sf).join(d, "window")
+    again = F.array_join(F.slice("w", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), " ")
+    return j.groupBy("window").agg(F.count(F.lit(1)).alias("spans"), F.count_if(again != F.col("phrase")).alias("broken"))
+
+
+@register("x23_mapper_results", f"""WITH {CAND} SELECT id, rank = 1 AS chosen, rank = 1 AND positive AS right_choice, positive AND rank > 1 AS reachable FROM rk""")
+def _(spark, sf):
+    """Whether a mapper's choice was right, and whether the right one was reachable."""
+    r, p = F.col("rank"), F.col("positive")
+    return M.ranked(candidates(spark, sf), ["window"]).select("id", (r == 1).alias("chosen"), ((r == 1) & p).alias("right_choice"), (p & (r > 1)).alias("reachable"))
+
+
+@register("x24_endpoint_tasks", f"""WITH {SPANS} SELECT win AS "window", 'c' || lpad(row_number() OVER (PARTITION BY win ORDER BY a, b)::VARCHAR, 3, '0') AS alias, a AS start, b AS stop FROM spans WHERE positive""")
+def _(spark, sf):
+    """The gold spans of each window under short aliases."""
+    n = F.row_number().over(W.partitionBy("window").orderBy("start", "end"))
+    return spans(spark, sf).where("positive").select("window", F.concat(F.lit("c"), F.lpad(n.cast("string"), 3, "0")).alias("alias"), "start", F.col("end").alias("stop"))
+
+
+@register("x26_fixture_checks", """SELECT rule, n FROM (SELECT 'blank' AS rule, count(*) FILTER (trim(text) = '') AS n FROM benchmark UNION ALL SELECT 'short', count(*) FILTER (length(text) < 50) FROM benchmark UNION ALL SELECT 'twice', count(*) - count(DISTINCT text) FROM benchmark)""")
+def _(spark, sf):
+    """What is wrong with a fixture, by rule."""
+    b = table(spark, sf, "benchmark")
+    c = b.agg(F.count_if(F.trim("text") == "").alias("blank"), F.count_if(F.length("text") < 50).alias("short"), (F.count("text") - F.countDistinct("text")).alias("twice"))
+    return c.unpivot([], ["blank", "short", "twice"], "rule", "n")
+
+
+@register("x31_fold_errors", f"""WITH {CAND} SELECT id % 5 AS fold, count(*) FILTER (positive <> selected) AS errors, count(*) AS n FROM rk GROUP BY 1""")
+def _(spark, sf):
+    """Errors by fold."""
+    r = M.ranked(candidates(spark, sf), ["window"])
+    return r.groupBy((F.col("id") % 5).alias("fold")).agg(F.count_if(F.col("positive") != F.col("selected")).alias("errors"), F.count(F.lit(1)).alias("n"))
+
+
+@register("x33_train_and_held_out", f"""WITH {CAND} SELECT CASE WHEN id % 5 = 0 THEN 'held_out' ELSE 'train' END AS side, positive, round(avg(score), 6) AS mean_score, count(*) AS n FROM cand GROUP BY 1, 2""")
+def _(spark, sf):
+    """Scores of both sides of a split, by class."""
+    side = F.when(F.col("id") % 5 == 0, "held_out").otherwise("train")
+    return candidates(spark, sf).groupBy(side.alias("side"), "positive").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count(F.lit(1)).alias("n"))
