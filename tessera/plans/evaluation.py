@@ -121,11 +121,11 @@ def _(spark, sf):
 def candidates(spark, sf):
     """id, window, score, positive: labelled documents by source, scored by a fixed rule."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf, "labels"), "doc_id")
-    score = ((F.col("n_chars") * 31 + F.col("quality") * 4000) % 9973) / F.lit(10000.0)
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("window"), F.round(score, 2).alias("score"), (F.col("quality") == 1).alias("positive"))
+    score = F.floor(((F.col("n_chars") * 31 + F.col("quality") * 4000) % 9973) / 100) / F.lit(100.0)
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("window"), score.alias("score"), (F.col("quality") == 1).alias("positive"))
 
 
-CAND = """cand AS (SELECT doc_id AS id, source AS win, round(((n_chars * 31 + quality * 4000) % 9973) / 10000.0::DOUBLE, 2) AS score, quality = 1 AS positive FROM documents JOIN labels USING (doc_id)),
+CAND = """cand AS (SELECT doc_id AS id, source AS win, (((n_chars * 31 + quality * 4000) % 9973) // 100) / 100.0::DOUBLE AS score, quality = 1 AS positive FROM documents JOIN labels USING (doc_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY score DESC, id) AS rank, score >= 0.5 AS selected FROM cand)"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import spans as S
@@ -275,8 +276,6 @@ def _(spark, sf):
 @register("t43_negated_predicate")
 def _(spark, sf):
     """Whether a negation stands near a word."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def negated(rows: pd.Series) -> pd.Series:
         return rows.map(lambda w: S.negated_near(list(w), "the"))
@@ -359,8 +358,6 @@ def _(spark, sf):
 @register("v9_lenient_items")
 def _(spark, sf):
     """Items out of what a model wrote."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def items(raw: pd.Series) -> pd.Series:
         return raw.map(S.lenient_items)
@@ -372,8 +369,6 @@ def _(spark, sf):
 @register("v10_strict_objects")
 def _(spark, sf):
     """Objects with exactly the keys asked for."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strict(raw: pd.Series) -> pd.Series:
         return raw.map(lambda r: S.strict_object(r, frozenset(("role", "turn"))))
