@@ -35,6 +35,8 @@ BUILT_IN_WEIGHT = 3.0
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "loser bracket", "losers bracket", "bastard file", "bastard sword", "scum line", "pond scum")
 STEMS = (4, 5, 6)
 LEAST_WEIGHT = 2.5
+#: A learned term stands in this share of the toxic sample at least, and in four of its documents.
+LEAST_SHARE = 0.01
 LEXICON = 3_000
 
 #: Letters of other scripts that look like these.
@@ -93,7 +95,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if not n_bad or not n_good:
         return found
     weight = F.log((F.col("toxic") + 0.5) / (n_bad + 1.0)) - F.log((F.col("other") + 0.5) / (n_good + 1.0))
-    rows = term_counts(sample).where(F.col("toxic") >= max(4, 0.004 * n_bad)).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
+    rows = term_counts(sample).where(F.col("toxic") >= max(4, LEAST_SHARE * n_bad)).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
     rows = rows.orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(LEXICON).collect()
     kept: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"].rstrip()), r["term"])):
