@@ -18,24 +18,22 @@ import io
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import file_system, fresh_path, ragged, slices, split_words, text_of
 
 MAGIC = b"TSPLANE1"
 BLOCK = 1 << 16
-#: Distinct words whose ids a worker keeps; beyond that it starts anew. This bounds memory, not what is encoded.
-CACHED_WORDS = 1_000_000
+#: Distinct words in each of the two generations whose ids a worker keeps. This bounds memory, not what is encoded.
+CACHED_WORDS = 250_000
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
@@ -133,60 +131,80 @@ class ShardReader:
             yield from_planes(planes, row["n_ids"])
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter for each byte in byte-level vocabularies: printable Latin-1 as it is, others from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
+
+
 class WordEncoder:
     """Encodes texts by their words: tokens never span white space, so each distinct word is encoded once.
 
     A word of characters up to U+017F (the dotted capital I aside) has the same lower case and pieces under Python's
-    rules as under the tokenizer's, so it is cut here by the tokenizer's own pattern and only the pieces are encoded;
+    rules as under the tokenizer's, so it is cut here by the tokenizer's own pattern and the pieces go to its merges;
     any other word, or one that holds a special token, goes through the whole tokenizer.
     """
 
-    PLAIN = regex.compile(r"[\x00-įı-ſ]*")
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PLAIN = r"[\x00-įı-ſ]*"
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
-        self.whole, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.pieces.normalizer = None
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        import regex  # here, so that whoever only reads shards needn't load either library
+        from tokenizers import Tokenizer
+
+        self.plain, self.cut = regex.compile(self.PLAIN).fullmatch, regex.compile(self.PIECES).findall
+        self.whole = Tokenizer.from_file(path)
+        self.merge = self.whole.model.tokenize
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers; words met lately
+        self.old: dict[str, bytes] = {}  # and the generation before
+        self.parts: dict[str, bytes] = {}
+
+    def _piece(self, p: str) -> bytes:
+        if (found := self.parts.get(p)) is None:
+            letters = p if p.isascii() and p.isprintable() else "".join([LETTERS[b] for b in p.encode()])
+            found = self.parts[p] = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        return found
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
         if len(self.parts) > CACHED_WORDS:
             self.parts.clear()
-        cut, odd = {}, []
+        odd = []
         for w in words:
-            if self.PLAIN.fullmatch(w) and not any(s in w for s in self.special):
+            if self.plain(w) and not any(s in w for s in self.special):
                 low = w.lower()
-                cut[w] = [low] if low.isascii() and low.isalpha() else self.PIECES.findall(low)
+                pieces = [low] if low.isascii() and low.isalpha() else self.cut(low)
+                self.known[w] = self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self._piece(p) for p in pieces])
             else:
                 odd.append(w)
-        fresh = list({p for pieces in cut.values() for p in pieces} - self.parts.keys())
-        self.parts.update(zip(fresh, (e.ids for e in self.pieces.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-        for w, pieces in cut.items():
-            self.known[w] = np.array([i for p in pieces for i in self.parts[p]], np.uint32)
         for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
+            self.known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has; ``end_id`` ends each."""
         distinct, index, ends = split_words(texts)
         words = distinct.to_pylist()
-        known = self.known
-        if missing := [w for w in words if w not in known]:
-            self._learn(missing)
-            if any(w not in self.known for w in words):  # the cache has been emptied meanwhile
-                self._learn([w for w in words if w not in self.known])
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
+        known, missing = self.known, []
+        for w in words:
+            if w not in known:
+                if (found := self.old.get(w)) is None:
+                    missing.append(w)
+                else:
+                    known[w] = found
+        self._learn(missing)
         ids = [known[w] for w in words]
         if end_id is not None:  # the end of a text is one more word, the last
             index = np.insert(index, ends[1:], len(ids))
             ends = ends + np.arange(len(ends))
-            ids.append(np.array([end_id], np.uint32))
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            ids.append(array("I", [end_id]).tobytes())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         per_word = sizes[index]
         row = flat[ragged((np.cumsum(sizes) - sizes)[index], per_word)] if len(index) else np.zeros(0, np.uint32)
         upto = np.concatenate([[0], np.cumsum(per_word)])
@@ -237,74 +255,50 @@ def write_token_planes(docs: DataFrame, tokenizer_path: str, out: str | None = N
     return out
 
 
-class _Shard(InputPartition):
-    def __init__(self, path: str, start: int):
-        self.path, self.start = path, start
-
+def shard_starts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The shard files in order, each with the ids of all shards before it: one entry for each file."""
+    out, start = [], 0
+    for row in spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect():
+        out.append((row["path"], start))
+        start += row["n_ids"]
+    return out
 
-class _TokenReader(DataSourceReader):
-    def __init__(self, options):
-        self.path = options["path"]
 
-    def partitions(self):
-        import pyarrow.dataset as ds
+def documents_of(uri: str, before: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, start, n_tokens and ids_crc32 of a shard's documents, from its blocks; one block is held at a time."""
+    files, at = file_system(uri)
+    with files.open_input_file(at) as source:
+        shard = ShardReader(source)
+        doc_ids, sizes = shard.docs.column("doc_id").to_pylist(), np.asarray(shard.docs.column("n_ids"))
+        starts = np.cumsum(sizes) - sizes
+        blocks, held, at = shard.blocks(), np.zeros(0, np.uint32), 0  # held starts at id number ``at``
+        rows: list[tuple] = []
+        for k, (doc, n) in enumerate(zip(doc_ids, sizes.tolist(), strict=True)):
+            crc, left, pos = 0, n, int(starts[k])
+            while left:
+                if pos >= at + len(held):
+                    at, held = at + len(held), next(blocks)
+                part = held[pos - at : pos - at + left]
+                crc = zlib.crc32(part.tobytes(), crc)
+                left, pos = left - len(part), pos + len(part)
+            rows.append((doc, before + int(starts[k]), n, crc))
+            if len(rows) == 10_000 or k == len(doc_ids) - 1:
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*rows, strict=True), strict=True)})
+                rows = []
 
-        files, base = file_system(f"{self.path}/manifest")
-        table = ds.dataset(base, filesystem=files, format="parquet").to_table()
-        out, start = [], 0
-        for row in sorted(table.to_pylist(), key=lambda r: r["part"]):
-            out.append(_Shard(row["path"], start))
-            start += row["n_ids"]
-        return out or [_Shard("", 0)]
 
-    def read(self, partition):
-        if not partition.path:
-            return
-        files, at = file_system(partition.path)
-        with files.open_input_file(at) as source:
-            shard = ShardReader(source)
-            doc_ids, sizes = shard.docs.column("doc_id").to_pylist(), np.asarray(shard.docs.column("n_ids"))
-            starts = np.cumsum(sizes) - sizes
-            blocks, held, at = shard.blocks(), np.zeros(0, np.uint32), 0  # held starts at id number ``at``
-            rows: list[tuple] = []
-            for k, (doc, n) in enumerate(zip(doc_ids, sizes.tolist(), strict=True)):
-                crc, left, pos = 0, n, int(starts[k])
-                while left:
-                    if pos >= at + len(held):
-                        at, held = at + len(held), next(blocks)
-                    part = held[pos - at : pos - at + left]
-                    crc = zlib.crc32(part.tobytes(), crc)
-                    left, pos = left - len(part), pos + len(part)
-                rows.append((doc, partition.start + int(starts[k]), n, crc))
-                if len(rows) == 10_000:
-                    yield self._batch(rows)
-                    rows = []
-            if rows:
-                yield self._batch(rows)
-
-    @staticmethod
-    def _batch(rows):
-        return pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*rows, strict=True), strict=True)})
-
-
-class TokenPlanes(DataSource):
-    """``spark.read.format("token_planes").load(dir)``: one row per document, from the shard files."""
-
-    @classmethod
-    def name(cls):
-        return "token_planes"
-
-    def schema(self):
-        return "doc_id long, start long, n_tokens long, ids_crc32 long"
-
-    def reader(self, schema):
-        return _TokenReader(self.options)
+def read_token_planes(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids before it over all shards), n_tokens, ids_crc32 of every document, a task for each shard."""
+    shards = shard_starts(spark, path)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                if k < len(shards):
+                    yield from documents_of(*shards[k])
 
-def read_token_planes(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids before it over all shards), n_tokens, ids_crc32 of every document."""
-    spark.dataSource.register(TokenPlanes)
-    return spark.read.format("token_planes").load(path)
+    n = max(len(shards), 1)
+    return spark.range(0, n, 1, n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
