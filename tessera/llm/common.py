@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """For the actions inside: at most so many rows in a batch for Python, where a row holds much."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a DataFrame that ``written`` returned."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:

@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, slices, text_of, written
+from .common import arrow_rows, drop_written, slices, text_of, written
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 TILE = 1024
+#: Pairs of tiles in a batch: up to a quarter of a MB each.
+TILE_PAIRS = 100
 #: Shingle hashes whose bits are counted at once.
 COUNTED = 1 << 17
 #: Bins of a sketch, and the shingles it is of.
@@ -242,7 +244,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = written(fingerprints(docs, key=key, text=text, size=size, sketched=similarity is not None), "simhash")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")), "simhash-distinct")
     tile_rows = written(tiles(distinct, radius), "simhash-tiles")
-    edges = written(links(tile_rows, radius, similarity), "simhash-links")
+    with arrow_rows(docs.sparkSession, TILE_PAIRS):
+        edges = written(links(tile_rows, radius, similarity), "simhash-links")
     drop_written(tile_rows)
     found = components(edges)
     roots = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first")
