@@ -52,6 +52,14 @@ def read_shard(uri: str) -> Iterator[tuple[np.ndarray, pa.Array]]:
             yield ids, batch.column("text")
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some texts in a row, and where they start and end in it (one number more than texts)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The part of the hash space that a 64-bit key falls in; ascending with the key."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -195,14 +203,56 @@ def rolling(x: np.ndarray, size: int, base: int, axis_len: int | None = None) ->
 
 
 def leftmost_least(v: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values, the position of the leftmost smallest."""
-    at = np.arange(len(v), dtype=np.int64)
-    k = 1
+    """For each window of ``width`` hashes, the position of the leftmost smallest, by the hashes' upper 32 bits.
+
+    Hash and position go into one number, so that a few minima of whole rows find all windows' places.
+    """
+    if len(v) >= 1 << 32:
+        raise ValueError("a row has fewer than 2**32 places")
+    m, k = (v & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(v), dtype=np.uint64), 1
     while 2 * k <= width:
-        a, b = at[:-k], at[k:]
-        at = np.where(v[b] < v[a], b, a)
+        m = np.minimum(m[:-k], m[k:])
         k *= 2
     if k < width:  # two overlapping windows of a power of two
-        a, b = at[: len(v) - width + 1], at[width - k : width - k + len(v) - width + 1]
-        at = np.where(v[b] < v[a], b, a)
-    return at
+        n = len(v) - width + 1
+        m = np.minimum(m[:n], m[width - k : width - k + n])
+    return (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64, kept for the longest row so far."""
+    if len(_POWERS.get("up", ())) < n:
+        base = 0x9E3779B97F4A7C15
+        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            row = np.full(n, b, np.uint64)
+            row[0] = 1
+            _POWERS[name] = np.cumprod(row, dtype=np.uint64)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts that lie in a row of bytes, and where each text's words start in them.
+
+    A word's hash is a difference of running sums of powers, brought to a common place by the inverse power.
+    """
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    blank = _BLANK[raw]
+    cut = np.zeros(n + 1, bool)
+    cut[ends[(ends < n)]] = True  # a word ends with its text
+    begins = ~blank & np.concatenate([[True], blank[:-1] | cut[1:n]])
+    stops = ~blank & np.concatenate([blank[1:] | cut[1:n], [True]])
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+    up, down = _powers(n)
+    sums = np.cumsum(_LETTERS[raw] * up, dtype=np.uint64)
+    before = np.where(first > 0, sums[np.maximum(first - 1, 0)], np.uint64(0))
+    hashes = mixed((sums[last] - before) * down[first] + (last - first).astype(np.uint64))
+    return hashes, np.searchsorted(first, ends)

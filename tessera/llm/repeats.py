@@ -15,12 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_words
-from .exchange import NO_ID, QUESTION, asked, each_shard, flags_of, leftmost_least, mixed, read_shard, rolling, send, shared_keys, stage, unpack
+from .exchange import NO_ID, QUESTION, asked, each_shard, flags_of, leftmost_least, mixed, read_shard, rolling, send, shared_keys, stage, text_bytes, unpack, word_hashes
 
 WINDOW = 20
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -32,12 +30,12 @@ class Shard:
     def __init__(self, uri: str, window: int):
         ids, rows, ends, at = [], [], [np.zeros(1, np.int64)], 0
         for doc_ids, texts in read_shard(uri):
-            words, index, stops = split_words(texts)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))
-            rows.append(hashes[index] if len(index) else np.zeros(0, np.uint64))
+            raw, stops = text_bytes(texts)
+            hashes, stops = word_hashes(raw, stops)
+            rows.append(hashes)
             ids.append(doc_ids)
             ends.append(stops[1:] + at)
-            at += len(index)
+            at += len(hashes)
         self.window = window
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.ends = np.concatenate(ends)  # document k has the words ends[k] to ends[k + 1]

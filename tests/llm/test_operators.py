@@ -241,12 +241,22 @@ def test_rolling():
     for size in (1, 2, 5, 20, 50):
         want = [sum(int(v) * pow(7919, size - 1 - k, 1 << 64) for k, v in enumerate(x[i : i + size])) % (1 << 64) for i in range(len(x) - size + 1)]
         assert exchange.rolling(x, size, 7919).tolist() == want
-    v = np.array([5, 1, 4, 1, 9, 2, 2], np.uint64)
+    v = np.array([5, 1, 4, 1, 9, 2, 2], np.uint64) << np.uint64(32)
     for width in (1, 2, 3, 5, 6):
         want = [i + min(range(width), key=lambda k, i=i: (v[i + k], k)) for i in range(len(v) - width + 1)]
         assert exchange.leftmost_least(v, width).tolist() == want
 
 
+def test_word_hashes():
+    texts = ["a b  a", "", "b", " ab\na ", "é a", "ab"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    hashes, starts = exchange.word_hashes(raw, ends)
+    words = [w for t in texts for w in t.encode().split()]
+    assert len(hashes) == len(words) and starts.tolist() == np.cumsum([0, *(len(t.split()) for t in texts)]).tolist()
+    assert len({(w, h) for w, h in zip(words, hashes.tolist(), strict=True)}) == len(set(words)) == len(set(hashes.tolist()))
+
+
 # 7 and 9
 
 
