@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .exchange import ANSWER, NO_ID, QUESTION, answer, cuts, each_shard, flags_of, leftmost_least, mixed, read_shard, rolling, send, stage, unpack
+from .exchange import ANSWER, NO_ID, QUESTION, answer, cuts, each_shard, flags_of, leftmost_least, mixed, read_shard, rolling, send, stage, text_bytes, unpack
 from .repeats import smaller_elsewhere
 
 LENGTH, TUPLE, PERIOD = 50, 20, 31
@@ -56,16 +56,17 @@ class Shard:
     def __init__(self, uri: str, sample: str):
         ids, rows, ends, at = [], [], [np.zeros(1, np.int64)], 0
         for doc_ids, texts in read_shard(uri):
-            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-            data = texts.buffers()[2]
-            rows.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy() if data is not None else np.zeros(0, np.uint8))
+            raw, stops = text_bytes(texts)
+            rows.append(raw.copy())
             ids.append(doc_ids)
-            ends.append(offsets[1:] - offsets[0] + at)
-            at += int(offsets[-1] - offsets[0])
+            ends.append(stops[1:] + at)
+            at += len(raw)
         self.sample = sample
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.ends = np.concatenate(ends)
         self.raw = np.concatenate(rows) if rows else np.zeros(0, np.uint8)
+        if len(self.raw) >= 1 << 32:
+            raise ValueError("a shard holds less than 4 GB of text; read the documents in more partitions")
 
     def _groups(self):
         """Ranges of documents of about ``SLICE`` bytes."""
@@ -97,13 +98,14 @@ class Shard:
                 inside = np.arange(n) - np.repeat(self.ends[k:j] - lo, sizes)
                 chosen = np.isin(np.arange(PERIOD), COVER)[inside % PERIOD] & np.repeat(sizes >= LENGTH, sizes)
                 at = np.flatnonzero(chosen[: len(v)] & (stop[: len(v)] >= np.arange(len(v)) + TUPLE))
-            places.append(at + lo)
-            docs.append(doc[at])
+            places.append((at + lo).astype(np.uint32))
+            docs.append(doc[at].astype(np.int32))
             names.append(v[at])
-        self.place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        self.place = np.concatenate(places) if places else np.zeros(0, np.uint32)
+        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
         name = np.concatenate(names) if names else np.zeros(0, np.uint64)
-        self.keys, self.key_of, counts = np.unique(name, return_inverse=True, return_counts=True)
+        self.keys, back, counts = np.unique(name, return_inverse=True, return_counts=True)
+        self.key_of = back.astype(np.int32)
         self.repeated = counts > 1
 
     def survivors(self, answers: dict, buckets: int) -> None:
@@ -116,7 +118,7 @@ class Shard:
 
     def _around(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bytes around places, zero outside the document, and how many there are on each side."""
-        p, lo, hi = self.place[which], self.ends[self.doc[which]], self.ends[self.doc[which] + 1]
+        p, lo, hi = self.place[which].astype(np.int64), self.ends[self.doc[which]], self.ends[self.doc[which] + 1]
         left, right = np.minimum(p - lo, BEFORE).astype(np.uint8), np.minimum(hi - p, LENGTH).astype(np.uint8)
         out = np.zeros((len(which), AROUND), np.uint8)
         steps = np.arange(-BEFORE, LENGTH)
@@ -135,7 +137,7 @@ class Shard:
         whole = mixed(np.concatenate([np.zeros(0, np.uint64), *parts]) + sides)
         order = np.lexsort((owner, whole, key))
         key, whole = key[order], whole[order]
-        self.c_place, self.c_owner = self.place[which][order], owner[order]
+        self.c_place, self.c_owner = self.place[which][order].astype(np.int64), owner[order]
         self.c_left, self.c_right = left[order], right[order]
         first = np.ones(len(order), bool)
         first[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
@@ -152,7 +154,7 @@ class Shard:
             around, left, right = self._around(part)
             ok, h, m = strings(around, left, right)
             e, c = np.nonzero(ok)
-            starts.append(self.place[part][e] - BEFORE + c)
+            starts.append(self.place[part][e].astype(np.int64) - BEFORE + c)
             owners.append(self.ids[self.doc[part]][e])
             keys.append(h[e, c])
             more.append(m[e, c])
