@@ -110,7 +110,9 @@ def each_shard(staged: Staged, run: Callable[[int, str, dict], Iterator[pa.Recor
         return pa.Table.from_batches(found) if found else arrow_schema.empty_table()
 
     arrow_schema = _arrow(spark, schema)
-    return base.union(answers.select("shard", "level", "bucket", "bits")).groupBy("shard").applyInArrow(grouped, schema)
+    # The answers are small, the work behind them isn't: a given number of partitions keeps tasks from being drawn together.
+    every = base.union(answers.select("shard", "level", "bucket", "bits")).repartition(n, "shard")
+    return every.groupBy("shard").applyInArrow(grouped, schema)
 
 
 def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
