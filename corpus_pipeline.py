@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept, written as Parquet in between.
 
 1. toxicity: documents that the lexicon model rejects go; it learns from the labels of the documents it is given.
-2. simhash: near-duplicates (fingerprints within ``RADIUS`` bits whose five-word shingles agree to ``SIMILARITY``)
+2. simhash: near-duplicates (distinct five-word shingles of a Jaccard similarity of ``SIMILARITY`` or more)
    leave the document with the smallest id of each group.
 3. decontamination: documents with a word inside a benchmark window go.
 4. mixing: documents are taken as often as the mix asks, so some stand twice and some go.
@@ -20,8 +20,8 @@ from tessera.llm import decontaminate, mixing, simhash, token_planes
 from tessera.llm.common import written
 from tessera.llm.toxicity import Toxicity
 
-#: Near copies of a similarity of 0.8 lie within 11 bits in three-word fingerprints, unrelated texts around 32.
-RADIUS = 11
+#: Near copies of a similarity of 0.8 lie some 10 bits apart, 3 more or less; unrelated texts around 32.
+RADIUS = 18
 SIMILARITY = 0.8
 
 

@@ -13,10 +13,11 @@ A signature has at most 17**4 values, which bounds the set of signatures that is
 the square of the distinct fingerprints, a twentieth of all pairs being compared: exact at any size, and a cost to know
 of beyond some 10**8 distinct fingerprints.
 
-With ``similarity``, links are wider and verified: every document also gets a sketch of its five-word shingles (one byte
-for the smallest hash in each of 128 bins), fingerprints within the radius link only where the sketches agree in that
-share of the bins that either fills, an estimate of the Jaccard similarity with a deviation of 0.035 at 0.8. Beyond a
-radius of 4, counts of single words prune little, and tiles are sorted by the population count of the whole.
+With ``similarity``, links are wider and verified: fingerprints are of the distinct five-word shingles, and two within
+the radius link only where the exact Jaccard similarity of their sets of shingle hashes is that high. The sets lie in
+files of the shared folder, a file for each task, and a tile says where; a pair is read only where the sizes of its sets
+allow the similarity and the task's forest doesn't hold the link already. Beyond a radius of 4, counts of single words
+prune little, and tiles are sorted by the population count of the whole.
 
 Texts without words (null included) have fingerprint 0 and link like any other; a null doc_id never names a component
 unless it is alone; repeated rows come out as often as they came in; an empty table gives an empty result.
@@ -25,6 +26,7 @@ unless it is alone; repeated rows come out as often as they came in; an empty ta
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, drop_written, slices, text_of, written
+from .common import arrow_rows, drop_written, file_system, fresh_path, remove, slices, text_of, written
 
 SHINGLE = 3
 RADIUS = 3
@@ -43,8 +45,10 @@ TILE = 1024
 TILE_PAIRS = 100
 #: Shingle hashes whose bits are counted at once.
 COUNTED = 1 << 17
-#: Bins of a sketch, and the shingles it is of.
-BINS, SKETCHED = 128, 5
+#: Words of a shingle where similarity is asked for.
+VERIFIED = 5
+#: Bytes of sets, and open files of sets, that a task holds on to.
+HELD, OPEN = 16 << 20, 100
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -70,34 +74,79 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """A byte for each bin of the hashes: of its smallest, or 0 where there is none."""
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(7))
-    spread = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    return np.where(least == np.iinfo(np.uint64).max, 0, spread % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """The estimated Jaccard similarity of what two sketches are of; two empty ones are alike."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    filled = np.count_nonzero(x | y)
-    return np.count_nonzero((x == y) & (x > 0)) / filled if filled else 1.0
-
-
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, sketched: bool = False) -> DataFrame:
-    """doc_id, fp (a 64-bit fingerprint as a signed long) and sketch (null unless asked for)."""
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard similarity of two sets, each sorted and without repeats; two empty ones are alike."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0.0 if len(y) else 1.0
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return both / (len(x) + len(y) - both)
+
+
+class Sets:
+    """Reads sets of hashes from the files that ``fingerprints`` wrote to a folder."""
+
+    def __init__(self, folder: str):
+        self.files, self.base = file_system(folder)
+        self.open: dict = {}
+        self.held: dict = {}
+        self.bytes = 0
+
+    def read(self, file: int, at: int, n: int) -> np.ndarray:
+        got = self.held.get((file, at, n))
+        if got is None:
+            source = self.open.get(file)
+            if source is None:
+                if len(self.open) >= OPEN:
+                    self.close()
+                source = self.open[file] = self.files.open_input_file(f"{self.base}/{file:016x}")
+            if self.bytes > HELD:
+                self.held, self.bytes = {}, 0
+            got = self.held[file, at, n] = np.frombuffer(source.read_at(8 * n, at), "<u8")
+            self.bytes += 8 * n
+        return got
+
+    def close(self) -> None:
+        for source in self.open.values():
+            source.close()
+        self.open = {}
+
+
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, sets: str | None = None) -> DataFrame:
+    """doc_id, fp (a 64-bit fingerprint as a signed long), node (what stands for the text: fp), file, at and n (null).
+
+    With ``sets``, a folder, fp is of the distinct shingles, and their n sorted hashes lie there, in a file from byte at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "_text"):
-                texts = [t.as_buffer().to_pybytes() for t in piece.column("_text")]
-                fps = np.array([fingerprint(shingle_hashes(t, size)) for t in texts], np.uint64)
-                sketches = [sketch(shingle_hashes(t, SKETCHED)) if sketched else None for t in texts]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "sketch"])
+        file, sink, end = uuid.uuid4().int >> 65, None, 0
+        if sets is not None:
+            files, base = file_system(sets)
+            files.create_dir(base, recursive=True)
+            sink = files.open_output_stream(f"{base}/{file:016x}", buffer_size=1 << 20)
+        try:
+            for batch in batches:
+                for piece in slices(batch, "_text"):
+                    fps, places = [], []
+                    for t in piece.column("_text"):
+                        hashes = shingle_hashes(t.as_buffer().to_pybytes(), size)
+                        if sink is not None:
+                            hashes = np.unique(hashes)
+                            sink.write(hashes.astype("<u8").tobytes())
+                            places.append((file, end, len(hashes)))
+                            end += 8 * len(hashes)
+                        fps.append(fingerprint(hashes))
+                    fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+                    place = zip(*places, strict=True) if places else [[None] * len(fps)] * 3
+                    columns = [piece.column("doc_id"), fp, fp, *(pa.array(c, pa.int64()) for c in place)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "node", "file", "at", "n"])
+        finally:
+            if sink is not None:
+                sink.close()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(docs, text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, fp long, node long, file long, at long, n long")
 
 
 def signature(fp: Column, parts: int) -> Column:
@@ -150,10 +199,11 @@ class Forest:
         return a != b
 
 
-def tiles(distinct: DataFrame, radius: int) -> DataFrame:
-    """sig, lead (the tile's first fingerprint), near (signatures to meet), fps and sketches (packed)."""
+def tiles(distinct: DataFrame, radius: int, *, sets: bool = False) -> DataFrame:
+    """sig, lead (the tile's first node), near (signatures to meet) and packed (fps; with sets also nodes, file, at, n)."""
     parts = 4 if radius <= 4 else 1
-    signed = distinct.select("fp", "sketch", signature(F.col("fp"), parts).alias("sig"))
+    names = ["fp", "node", "file", "at", "n"] if sets else ["fp"]
+    signed = distinct.select("fp", "node", *names[2:], signature(F.col("fp"), parts).alias("sig"))
     there = {r["sig"] for r in signed.select("sig").distinct().collect()}  # at most 17**4 numbers
     near = distinct.sparkSession.sparkContext.broadcast(there)
 
@@ -161,59 +211,66 @@ def tiles(distinct: DataFrame, radius: int) -> DataFrame:
         sig, held = None, []
 
         def row():
-            return sig, held[0][0], near_signatures(sig, radius, near.value, parts), np.array([f for f, _ in held], np.int64).tobytes(), b"".join(s or b"" for _, s in held)
+            return sig, held[0][-1], near_signatures(sig, radius, near.value, parts), np.array([x[:-1] for x in held], np.int64).T.tobytes()
 
         for batch in batches:
             found = []
-            for s, fp, sk in zip(*(batch.column(c).to_pylist() for c in ("sig", "fp", "sketch")), strict=True):
+            for s, *values in zip(*(batch.column(c).to_pylist() for c in ("sig", *names, "node")), strict=True):
                 if held and (s != sig or len(held) == TILE):
                     found.append(row())
                     held = []
                 sig = s
-                held.append((fp, sk))
+                held.append(values)
             if found:
                 yield _tile_batch(found)
         if held:
             yield _tile_batch([row()])
 
-    schema = "sig int, lead long, near array<int>, fps binary, sketches binary"
-    return signed.repartitionByRange("sig", "fp").sortWithinPartitions("sig", "fp").mapInArrow(pack, schema)
+    schema = "sig int, lead long, near array<int>, packed binary"
+    return signed.repartitionByRange("sig", "fp", "node").sortWithinPartitions("sig", "fp", "node").mapInArrow(pack, schema)
 
 
 def _tile_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sig", "lead", "near", "fps", "sketches"])
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sig", "lead", "near", "packed"])
 
 
-def links(tile_rows: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """a and b: edges that keep the components of all pairs within ``radius`` bits (and of that likeness)."""
+def links(tile_rows: DataFrame, radius: int = RADIUS, similarity: float | None = None, sets: str | None = None) -> DataFrame:
+    """a and b: edges that keep the components of all pairs within ``radius`` bits (and of that similarity)."""
+    width = 1 if similarity is None else 5
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
+        store = None if similarity is None else Sets(sets)
         for batch in batches:
             found = []
-            cols = [batch.column(n) for n in ("lead_a", "lead_b", "fps_a", "fps_b", "sketches_a", "sketches_b")]
-            for la, lb, fa, fb, sa, sb in zip(*cols, strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (fa, fb))
-                hit = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+            for la, lb, pa_, pb in zip(*(batch.column(n) for n in ("lead_a", "lead_b", "packed_a", "packed_b")), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.int64).reshape(width, -1) for x in (pa_, pb))
+                hit = np.bitwise_count(a[0].view(np.uint64)[:, None] ^ b[0].view(np.uint64)[None, :]) <= radius
                 if la.as_py() == lb.as_py():
                     hit = np.triu(hit, 1)
-                if hit.any():
-                    sa, sb = sa.as_py(), sb.as_py()
-                    i, j = (x.tolist() for x in np.nonzero(hit))
-                    a, b = a.view(np.int64).tolist(), b.view(np.int64).tolist()
-                    for p, q in zip(i, j, strict=True):
+                i, j = np.nonzero(hit)
+                if store is not None and len(i):
+                    x, y = a[4][i], b[4][j]
+                    able = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6  # else no such similarity
+                    i, j = i[able], j[able]
+                if len(i):
+                    at_a, at_b = (m[2:].T.tolist() for m in (a, b))
+                    a, b = (m[min(width - 1, 1)].tolist() for m in (a, b))
+                    for p, q in zip(i.tolist(), j.tolist(), strict=True):
                         if forest.root(a[p]) != forest.root(b[q]):
-                            if similarity is None or likeness(sa[p * BINS : (p + 1) * BINS], sb[q * BINS : (q + 1) * BINS]) >= similarity:
+                            if store is None or jaccard(store.read(*at_a[p]), store.read(*at_b[q])) >= similarity:
                                 forest.join(a[p], b[q])
                                 found.append((a[p], b[q]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        if store is not None:
+            store.close()
 
-    left = tile_rows.select(F.col("sig").alias("sig_a"), F.col("lead").alias("lead_a"), F.col("fps").alias("fps_a"), F.col("sketches").alias("sketches_a"), F.explode("near").alias("sig"))
-    right = tile_rows.select("sig", F.col("lead").alias("lead_b"), F.col("fps").alias("fps_b"), F.col("sketches").alias("sketches_b"))
+    left = tile_rows.select(F.col("sig").alias("sig_a"), F.col("lead").alias("lead_a"), F.col("packed").alias("packed_a"), F.explode("near").alias("sig"))
+    right = tile_rows.select("sig", F.col("lead").alias("lead_b"), F.col("packed").alias("packed_b"))
     pairs = left.join(right, "sig").where((F.col("sig_a") < F.col("sig")) | (F.col("lead_a") <= F.col("lead_b")))
-    return pairs.select("lead_a", "lead_b", "fps_a", "fps_b", "sketches_a", "sketches_b").mapInArrow(compare, "a long, b long")
+    return pairs.select("lead_a", "lead_b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,21 +296,27 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int | None = None, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach) of every document."""
-    rows = written(fingerprints(docs, key=key, text=text, size=size, sketched=similarity is not None), "simhash")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")), "simhash-distinct")
-    tile_rows = written(tiles(distinct, radius), "simhash-tiles")
+    verify = similarity is not None
+    sets = fresh_path(docs.sparkSession, "simhash-sets") if verify else None
+    rows = written(fingerprints(docs, key=key, text=text, size=size or (VERIFIED if verify else SHINGLE), sets=sets), "simhash")
+    place = [F.min(F.struct("file", "at", "n")).alias("place")] if verify else []
+    distinct = rows.groupBy("fp", "node").agg(F.min("doc_id").alias("first"), *place)
+    distinct = written(distinct.select("fp", "node", "first", *(["place.*"] if verify else [])), "simhash-distinct")
+    tile_rows = written(tiles(distinct, radius, sets=verify), "simhash-tiles")
     with arrow_rows(docs.sparkSession, TILE_PAIRS):
-        edges = written(links(tile_rows, radius, similarity), "simhash-links")
+        edges = written(links(tile_rows, radius, similarity, sets), "simhash-links")
     drop_written(tile_rows)
-    found = components(edges)
-    roots = found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first")
+    if verify:
+        remove(docs.sparkSession, sets)
+    found = components(edges).withColumnRenamed("node", "_node")
+    roots = found.join(distinct, F.col("_node") == F.col("node")).select("node", "root", "first")
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(least, "root").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    linked = roots.join(least, "root").select("node", "component_id")
+    named = distinct.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
     named = written(named, "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "node").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id") -> DataFrame:

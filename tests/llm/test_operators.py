@@ -394,6 +394,33 @@ def test_wide_links_need_likeness(spark):
     assert groups[2] == 1 and all(groups[10 + i] == 10 + i for i in range(40))
 
 
+def shared(x, y):
+    """The Jaccard similarity of the five-word shingles of two lists of words."""
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_links_decided_by_exact_similarity(spark):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    rows, want = [], {}
+    for i in range(150):
+        base = r.choices(words, k=204)
+        k = r.randint(30, 75)  # 200 shingles of 230 to 275
+        near = [*base, *r.choices(words, k=k)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        want[2 * i + 1] = 2 * i if shared(base, near) >= 0.8 else 2 * i + 1
+    line = r.choices(words, k=12)
+    base = r.choices(words, k=300)  # a repeated line counts once
+    rows += [(900, " ".join(base)), (901, " ".join([*base, *line * 30]))]
+    want[901] = 900
+    assert shared(base, [*base, *line * 30]) >= 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(df, radius=corpus_pipeline.RADIUS, similarity=corpus_pipeline.SIMILARITY)
+    got = {x["doc_id"]: x["component_id"] for x in found.collect()}
+    assert {d: got[d] for d in want} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 203), (203, 201), (300, 300)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
