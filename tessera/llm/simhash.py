@@ -14,7 +14,8 @@ the square of the distinct fingerprints, a twentieth of all pairs being compared
 of beyond some 10**8 distinct fingerprints.
 
 With ``similarity``, links are wider and verified: fingerprints are of the distinct five-word shingles, and two within
-the radius link only where the exact Jaccard similarity of their sets of shingle hashes is that high. The sets lie in
+the radius link only where the exact Jaccard similarity of their sets of shingle hashes is that high. Only texts of the
+same set are one row, by a hash of it; equal fingerprints of different sets are candidates like any other. The sets lie in
 files of the shared folder, a file for each task, and a tile says where; a pair is read only where the sizes of its sets
 allow the similarity and the task's forest doesn't hold the link already. Beyond a radius of 4, counts of single words
 prune little, and tiles are sorted by the population count of the whole.
@@ -116,7 +117,8 @@ class Sets:
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, sets: str | None = None) -> DataFrame:
     """doc_id, fp (a 64-bit fingerprint as a signed long), node (what stands for the text: fp), file, at and n (null).
 
-    With ``sets``, a folder, fp is of the distinct shingles, and their n sorted hashes lie there, in a file from byte at.
+    With ``sets``, a folder, fp is of the distinct shingles, node a hash of their set, and their n sorted hashes lie there,
+    in a file from byte at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +130,20 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
         try:
             for batch in batches:
                 for piece in slices(batch, "_text"):
-                    fps, places = [], []
+                    fps, nodes, places = [], [], []
                     for t in piece.column("_text"):
                         hashes = shingle_hashes(t.as_buffer().to_pybytes(), size)
                         if sink is not None:
                             hashes = np.unique(hashes)
-                            sink.write(hashes.astype("<u8").tobytes())
+                            data = hashes.astype("<u8").tobytes()
+                            nodes.append(xxhash.xxh64_intdigest(data, SEED))
+                            sink.write(data)
                             places.append((file, end, len(hashes)))
                             end += 8 * len(hashes)
                         fps.append(fingerprint(hashes))
-                    fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+                    fp, node = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes or fps))
                     place = zip(*places, strict=True) if places else [[None] * len(fps)] * 3
-                    columns = [piece.column("doc_id"), fp, fp, *(pa.array(c, pa.int64()) for c in place)]
+                    columns = [piece.column("doc_id"), fp, node, *(pa.array(c, pa.int64()) for c in place)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "node", "file", "at", "n"])
         finally:
             if sink is not None:

@@ -421,6 +421,27 @@ def test_links_decided_by_exact_similarity(spark):
     assert {d: got[d] for d in want} == want
 
 
+def test_equal_fingerprints_are_verified(spark, tmp_path):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    line = r.choices(words, k=11)
+    rows = [(i, " ".join([*line * 60, *r.choices(words, k=20)])) for i in range(12)]  # a repeated line outvotes the rest
+    rows += [(50, None), (51, " "), (60, rows[3][1]), (61, rows[3][1].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df, radius=18, similarity=0.8).collect()}
+    assert got == {**{i: i for i in range(12)}, 50: 50, 51: 50, 60: 3, 61: 3}
+    nodes = simhash.fingerprints(df, size=5, sets=f"file://{tmp_path}/sets").select("node").distinct().count()
+    assert nodes == 13
+    # the same fingerprint in all rows, over several tiles
+    n, base = simhash.TILE + 40, np.arange(100, dtype="<u8")
+    sets = [base + np.uint64(1000 * k) for k in range(n - 1)] + [np.append(base[:95], [5_000_000])]
+    (tmp_path / f"{7:016x}").write_bytes(b"".join(np.asarray(x, "<u8").tobytes() for x in sets))
+    ends = np.cumsum([0, *map(len, sets)]).tolist()
+    distinct = spark.createDataFrame([(9, k, 7, 8 * ends[k], len(x)) for k, x in enumerate(sets)], "fp long, node long, file long, at long, n long")
+    found = simhash.links(simhash.tiles(distinct, 18, sets=True), 18, 0.8, f"file://{tmp_path}").collect()
+    assert [{x["a"], x["b"]} for x in found] == [{0, n - 1}]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(200, 203), (203, 201), (300, 300)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
