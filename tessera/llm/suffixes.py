@@ -188,7 +188,7 @@ class Shard:
         starts = np.zeros(n + 1, np.int32)
         starts[np.concatenate(gone)] = 1
         depth = starts.copy()
-        depth[LENGTH:] -= starts[: n + 1 - LENGTH]
+        depth[LENGTH:] -= starts[: max(n + 1 - LENGTH, 0)]
         return np.cumsum(depth, dtype=np.int32)[:n] > 0
 
 

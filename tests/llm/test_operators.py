@@ -220,6 +220,15 @@ def test_shared_strings(docs, options):
     assert got == suffixes.brute_force([r[:2] for r in rows_of()])
 
 
+@pytest.mark.parametrize("options", [{}, {"sample": "minimum"}])
+def test_short_shards(spark, options):
+    """A file of each size from nothing to a string and one byte."""
+    rows = [(n, ("ab" * 30)[:n]) for n in range(52)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_shared(df, **options).collect()}
+    assert got == suffixes.brute_force(rows)
+
+
 def test_difference_cover():
     """Any two places modulo the period have a common distance to the cover."""
     cover = set(suffixes.COVER)
