@@ -3,8 +3,10 @@
 Folding lowers case, maps look-alike letters of other scripts to Latin, strips accents, maps digits and signs that stand
 for letters, and parts words by single spaces. The lexicon holds whole words and stems (word beginnings). A small
 built-in list is always in it; the rest and all weights are learned from labelled rows outside the held-out fold as
-log-odds of toxic against other documents. Hits inside exception phrases don't count. A logistic model of the summed
-weights, as such and per word, turns hits into a score.
+log-odds of toxic against other documents, for every term whose share differs beyond chance (a likelihood-ratio test).
+Hits inside exception phrases don't count. A logistic model of the summed weights, as such and per word, turns hits
+into a score. Texts are folded and matched a piece at a time and hits are summed as they come, so a text of any length
+takes time in proportion to it and little memory.
 
 Null and empty texts have no hits and get the score of such texts; repeated rows come out as often as they came in;
 without usable labels the built-in list and fixed coefficients serve; an empty table gives an empty result; labels,
@@ -35,9 +37,13 @@ BUILT_IN_WEIGHT = 3.0
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "loser bracket", "losers bracket", "bastard file", "bastard sword", "scum line", "pond scum")
 STEMS = (4, 5, 6)
 LEAST_WEIGHT = 2.5
-#: A learned term stands in this share of the toxic sample at least, and in four of its documents.
-LEAST_SHARE = 0.01
-LEXICON = 3_000
+#: A learned term stands in this many documents of the toxic sample at least, and its likelihood ratio (G squared) is as
+#: high as one term in ten thousand has by chance.
+LEAST_DOCUMENTS = 4
+LEAST_RATIO = 15.0
+#: Characters that are folded at once, and terms that a task counts before it hands them on.
+PIECE = 1 << 19
+COUNTED = 400_000
 
 #: Letters of other scripts that look like these.
 LOOKALIKES = {"a": "аαɑ", "b": "вьβ", "c": "сϲ", "d": "ԁ", "e": "еєε", "g": "ɡ", "h": "һн", "i": "іιı", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м", "n": "пη", "o": "оοσ", "p": "рρ", "r": "г", "s": "ѕ", "t": "тτ", "u": "υս", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ᴢ"}
@@ -68,6 +74,27 @@ def fold(text: str) -> str:
     return _SPELLED.sub(lambda m: m[0].replace(" ", "") + " ", out) if _SPELLED.search(out) else out
 
 
+_SPARED = re.compile("(?<= )(?:" + "|".join(EXCEPTIONS) + ")(?= )")
+_FIRST = {w for e in EXCEPTIONS for w in e.split()[:-1]}
+#: Between two words of two letters or more, so that nothing spelled out is parted.
+_CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿα-ωА-я]{2})\s(?=[A-Za-zÀ-ÖØ-öø-ÿα-ωА-я]{2})")
+
+
+def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+    """The text in parts of about ``most`` characters that can be folded and matched on their own."""
+    at = 0
+    while len(text) - at > most:
+        for m in _CUT.finditer(text, at + most):
+            before = fold(text[max(m.start() - 20, at) : m.start()]).split()
+            if not before or before[-1] not in _FIRST:  # an exception phrase stays whole
+                yield text[at : m.end()]
+                at = m.end()
+                break
+        else:
+            break
+    yield text[at:]
+
+
 def terms(folded: str) -> set[str]:
     """The distinct words (closed by a space) and stems (open) of a folded text, both opened by a space."""
     words = set(folded.split())
@@ -81,9 +108,15 @@ def term_counts(sample: DataFrame) -> DataFrame:
         bad, good = Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
-                (bad if label else good).update(terms(fold(text)))
+                (bad if label else good).update(set().union(*(terms(fold(x)) for x in pieces(text))))
+                if len(bad) + len(good) > COUNTED:
+                    yield handed_on(bad, good)
+                    bad, good = Counter(), Counter()
+        yield handed_on(bad, good)
+
+    def handed_on(bad: Counter, good: Counter) -> pa.RecordBatch:
         rows = list(bad | good)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(rows, pa.string()), "toxic": pa.array([bad[t] for t in rows], pa.int64()), "other": pa.array([good[t] for t in rows], pa.int64())})
+        return pa.RecordBatch.from_pydict({"term": pa.array(rows, pa.string()), "toxic": pa.array([bad[t] for t in rows], pa.int64()), "other": pa.array([good[t] for t in rows], pa.int64())})
 
     return sample.mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
@@ -95,8 +128,11 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     if not n_bad or not n_good:
         return found
     weight = F.log((F.col("toxic") + 0.5) / (n_bad + 1.0)) - F.log((F.col("other") + 0.5) / (n_good + 1.0))
-    rows = term_counts(sample).where(F.col("toxic") >= max(4, LEAST_SHARE * n_bad)).withColumn("weight", weight).where(F.col("weight") >= LEAST_WEIGHT)
-    rows = rows.orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(LEXICON).collect()
+    both = F.col("toxic") + F.col("other")
+    cells = ((F.col("toxic"), both * n_bad), (F.col("other"), both * n_good), (n_bad - F.col("toxic"), (n_bad + n_good - both) * n_bad), (n_good - F.col("other"), (n_bad + n_good - both) * n_good))
+    ratio = sum((F.when(n > 0, 2 * n * F.log(n * (n_bad + n_good) / expected)).otherwise(0.0) for n, expected in cells), F.lit(0.0))
+    rows = term_counts(sample).where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("weight", weight).where((F.col("weight") >= LEAST_WEIGHT) & (ratio >= LEAST_RATIO))
+    rows = rows.collect()  # each stands in four documents of a sample of bounded size
     kept: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"].rstrip()), r["term"])):
         t = r["term"]
@@ -109,24 +145,20 @@ def automaton(lexicon: dict[str, float]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for t, w in lexicon.items():
         out.add_word(t, (t, w))
-    for t in EXCEPTIONS:
-        out.add_word(f" {t} ", (f" {t} ", None))
     out.make_automaton()
     return out
 
 
-def features(text: str, matcher: ahocorasick.Automaton) -> tuple[float, float, float]:
+def features(text: str, matcher: ahocorasick.Automaton, most: int = PIECE) -> tuple[float, float, float]:
     """Summed weights (log), summed weights a hundred words (log), and distinct terms hit (log)."""
-    folded = fold(text)
-    hits, spared = [], []
-    for end, (t, w) in matcher.iter(folded):
-        (spared if w is None else hits).append((end - len(t) + 1, end, t, w))
-    if spared:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _, _ in spared)]
-    if not hits:
-        return 0.0, 0.0, 0.0
-    total = sum(h[3] for h in hits)
-    return math.log1p(total), math.log1p(100 * total / (10 + folded.count(" "))), math.log1p(len({h[2] for h in hits}))
+    total, spaces, seen = 0.0, 2, set()
+    for piece in pieces(text, most):
+        folded = fold(piece)
+        spaces += folded.count(" ") - 2
+        for _, (t, w) in matcher.iter(_SPARED.sub("", folded) if _SPARED.search(folded) else folded):
+            total += w
+            seen.add(t)
+    return math.log1p(total), math.log1p(100 * total / (10 + spaces)), math.log1p(len(seen))
 
 
 def _featured(lexicon: dict[str, float], keep: list[str]):
