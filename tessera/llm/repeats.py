@@ -27,16 +27,16 @@ BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 class Shard:
     """Word hashes of a shard in one row, and the windows of each level."""
 
-    def __init__(self, uri: str, window: int):
+    def __init__(self, uris: list[str], window: int, mask: np.uint64):
         ids, rows, ends, at = [], [], [np.zeros(1, np.int64)], 0
-        for doc_ids, texts in read_shard(uri):
+        for doc_ids, texts in read_shard(uris):
             raw, stops = text_bytes(texts)
             hashes, stops = word_hashes(raw, stops)
             rows.append(hashes)
             ids.append(doc_ids)
             ends.append(stops[1:] + at)
             at += len(hashes)
-        self.window = window
+        self.window, self.mask = window, mask
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.ends = np.concatenate(ends)  # document k has the words ends[k] to ends[k + 1]
         self.words = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
@@ -53,7 +53,7 @@ class Shard:
             self.keys1, self.own1 = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             self.repeated1 = np.zeros(0, bool)
             return
-        v = mixed(rolling(self.words, short, BASE))
+        v = mixed(rolling(self.words, short, BASE)) & self.mask
         self.anchor = leftmost_least(v, self.window - short + 1)[self.starts]
         places = np.flatnonzero(np.bincount(self.anchor, minlength=len(v)))
         self.keys1, back, counts = np.unique(v[places], return_inverse=True, return_counts=True)
@@ -75,7 +75,7 @@ class Shard:
         ahead = self.anchor - self.starts <= self.window - half  # the half window starts with the stand-in, or ends with it
         place = np.where(ahead, self.anchor, self.anchor + short - half)
         places = np.unique(place)
-        self.keys2, back, counts = np.unique(mixed(g[places]), return_inverse=True, return_counts=True)
+        self.keys2, back, counts = np.unique(mixed(g[places]) & self.mask, return_inverse=True, return_counts=True)
         self.repeated2 = counts > 1
         self.own2 = back[np.searchsorted(places, place)]
 
@@ -117,7 +117,7 @@ class Shard:
 
 def smaller_elsewhere(table: pa.Table) -> np.ndarray:
     """Whether another entry of the bucket has the same window and a smaller doc_id."""
-    cols = [unpack(d, n, np.uint64, np.uint32, np.int64) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
+    cols = [unpack(d, n, np.uint32, np.int64) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
     key, more, owner = (np.concatenate(c) for c in zip(*cols, strict=True))
     order = np.lexsort((owner, more, key))
     k, m, o = key[order], more[order], owner[order]
@@ -137,28 +137,28 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if window < 4:
         raise ValueError("a window has four words at least")
     staged = stage(docs, key=key, text=text)
-    buckets = staged.buckets
+    buckets, mask = staged.buckets, staged.mask
 
-    def ask1(shard, uri, answers):
-        s = Shard(uri, window)
+    def ask1(shard, uris, answers):
+        s = Shard(uris, window, mask)
         s.level1()
         return send(shard, s.keys1, buckets)
 
-    def ask2(shard, uri, answers):
-        s = Shard(uri, window)
+    def ask2(shard, uris, answers):
+        s = Shard(uris, window, mask)
         s.level2(answers, buckets)
         return send(shard, s.keys2, buckets)
 
-    def ask3(shard, uri, answers):
-        s = Shard(uri, window)
+    def ask3(shard, uris, answers):
+        s = Shard(uris, window, mask)
         s.level3(answers, buckets)
         return send(shard, s.key[s.first], buckets, s.more[s.first], s.owner[s.first])
 
-    def finish(shard, uri, answers):
-        s = Shard(uri, window)
+    def finish(shard, uris, answers):
+        s = Shard(uris, window, mask)
         gone = s.covered(answers, buckets)
         k = 0
-        for doc_ids, texts in read_shard(uri):
+        for doc_ids, texts in read_shard(uris):
             rows = []
             for doc_id, value in zip(doc_ids.tolist(), texts, strict=True):
                 words = value.as_buffer().to_pybytes().split()

@@ -1,21 +1,26 @@
-"""Operator 6: removal of repeated byte strings by a sampled suffix sort in the manner of difference covers.
-
-A string of ``length`` bytes (50) goes where it also starts in a document with a smaller doc_id. The suffixes that start
-with such strings needn't all be sorted: it is enough to sort a sample of suffixes by their first ``TUPLE`` bytes, if
-any two equal strings hold a sampled place at the same distance from their starts. Two samples have that property:
-
-* ``difference``: places whose position in the document, modulo 31, is in a difference cover (6 of 31);
-* ``minimum``: the place with the smallest tuple hash in each string (about 1 of 16), the same in equal strings.
-
-1. Sampled tuples get names (64-bit hashes), and names that one document alone holds are discarded: nothing repeated
-   starts around them.
-2. What is left meets in the buckets of its names, each with the bytes around it (30 before, 50 after). There the
-   remaining suffixes, one for each distance from 0 to 30, are merged with the sampled ones by the names of their full
-   strings; equal ones stand next to each other, and all but those of the smallest doc_id are marked.
-3. The marks go back to the shards, which cut the bytes they cover.
-
-A shard sends equal surroundings once, for their smallest doc_id. Names that many shards hold (over ``CROWD``) would
-gather in one bucket; their strings are sent each to the bucket of its own hash instead, once for each shard.
+"""Operator 6: removal of repeated byte strings by a suffix sort with a difference cover, to a depth of 50 bytes.
+
+A string of ``LENGTH`` bytes (50) goes where it also starts in a document with a smaller doc_id. Equal strings are equal
+beginnings of suffixes, so the suffixes are sorted to that depth and neighbours compared. As in difference-cover suffix
+sorting, a sample of suffixes is sorted first: the places whose position in their document, modulo ``PERIOD`` (31), is in
+a perfect difference set (6 of 31). Any two places have a common distance to sampled places of at most 30.
+
+1. Discarding. Sampled tuples of ``TUPLE`` (20) bytes, cut to short hashes, meet in buckets; nothing repeated starts
+   around a tuple that is sampled once in the corpus. The other sampled places go on, each with as many bytes to the left
+   and right as strings around it reach (30 and 50 at most).
+2. Sorting sampled tuples. What is left is dealt out by ranges of the tuple's bytes, sorted, and named by rank.
+3. Recursion on names. Places whose names tie are ranked by the pair of their name and the name of the next tuple, until
+   ranks reach the depth or none tie.
+4. Merging. For each distance from 0 to 30, the suffixes that start so far before a sampled place are ordered by the bytes
+   before it and the sampled rank. Neighbours with a common prefix of 50 bytes are equal strings, and all but those of the
+   smallest doc_id are marked. Comparisons are of bytes, not of hashes.
+5. The marks go back to the shards, which cut the bytes they cover.
+
+A shard sends equal surroundings once, for their smallest doc_id. Tuples that many shards hold (over ``CROWD``) would
+gather in one range; their strings are dealt out by the hash of the whole string instead (96 bits), once for each shard.
+Both ways give the same result.
+
+A shard of n bytes takes some 20 n bytes of memory at its peak, and surroundings are made ``AT_ONCE`` at a time.
 
 Null text is the empty text; a null doc_id counts as the largest; rows that share a doc_id don't count as earlier than
 each other; shorter documents stay whole; an empty table gives an empty result.
@@ -23,13 +28,16 @@ each other; shorter documents stay whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .exchange import ANSWER, NO_ID, QUESTION, answer, cuts, each_shard, flags_of, leftmost_least, mixed, read_shard, rolling, send, stage, text_bytes, unpack
+from .exchange import ANSWER, NO_ID, QUESTION, answer, answers, cuts, each_shard, flags_of, mixed, packed, read_shard, rolling, send, sent, splitters, stage, text_bytes, unpack
 from .repeats import smaller_elsewhere
 
 LENGTH, TUPLE, PERIOD = 50, 20, 31
@@ -37,257 +45,287 @@ LENGTH, TUPLE, PERIOD = 50, 20, 31
 COVER = (1, 5, 11, 24, 25, 27)
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 CROWD = 64
-SLICE = 2 << 20
 BEFORE = PERIOD - 1
 AROUND = BEFORE + LENGTH
+#: Bytes that are looked at, places whose bytes are copied, and surroundings that are made at once.
+PIECE, COPIED, AT_ONCE = 1 << 20, 20_000, 200_000
+_SAMPLED = np.isin(np.arange(PERIOD), COVER)
+_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(OTHER))
 
 
-def numbers(raw: np.ndarray) -> np.ndarray:
-    """Bytes as spread 64-bit numbers."""
-    return _NUMBERS[raw]
+def words_of(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as columns of numbers that sort like them, the first column first."""
+    n, width = rows.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = rows
+    return list(wide.view(">u8").astype(np.uint64).T)
 
 
-_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(OTHER))
+def names(*columns: np.ndarray) -> np.ndarray:
+    """Dense ranks of rows of numbers, equal for equal rows, the first column weighing most."""
+    order = np.lexsort(columns[::-1])
+    first = np.zeros(len(order), bool)
+    for c in columns:
+        first[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(first)
+    return out
+
+
+def ranks(rows: np.ndarray) -> np.ndarray:
+    """Ranks of rows of bytes by tuples: names of the first tuples, then of pairs of names as long as some tie."""
+    found = names(*words_of(rows[:, :TUPLE]))
+    for k in range(TUPLE, rows.shape[1], TUPLE):
+        if found.max(initial=-1) == len(found) - 1:
+            break
+        found = names(found, names(*words_of(rows[:, k : k + TUPLE])))
+    return found
+
+
+def common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row in ``order`` shares with the one before it."""
+    out = np.zeros(len(order), np.int16)
+    for k in range(1, len(order), COPIED):
+        a, b = rows[order[k : k + COPIED]], rows[order[k - 1 : k - 1 + len(order[k : k + COPIED])]]
+        other = a != b
+        out[k : k + COPIED] = np.where(other.any(1), other.argmax(1), rows.shape[1])
+    return out
+
+
+def marks(around: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each surrounding a bit for each distance: the string there has a smaller doc_id among the surroundings."""
+    out = np.zeros(len(owner), np.uint32)
+    name = names(*words_of(around[:, BEFORE : BEFORE + TUPLE]))
+    some = np.flatnonzero(np.bincount(name, minlength=1)[name] > 1)  # names of one entry have nothing to meet
+    if not len(some):
+        return out
+    around, left, right, owner, name = around[some], left[some].astype(np.int64), right[some].astype(np.int64), owner[some], name[some]
+    ahead = np.ascontiguousarray(around[:, BEFORE:])
+    behind = np.ascontiguousarray(around[:, :BEFORE][:, ::-1])
+    by_suffix = np.argsort(ranks(ahead), kind="stable")
+    by_prefix = np.lexsort((*words_of(behind)[::-1], name))
+    alike, before = common(ahead, by_suffix), common(behind, by_prefix)
+    before[np.flatnonzero(np.diff(name[by_prefix])) + 1] = -1
+    n = len(some)
+    suffix_class, prefix_class = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    for j in range(PERIOD):  # the suffixes that start j bytes before the sampled places
+        suffix_class[by_suffix] = np.cumsum(alike < LENGTH - j)
+        prefix_class[by_prefix] = np.cumsum(before < j)
+        there = np.flatnonzero((left >= j) & (right >= LENGTH - j))
+        if len(there) < 2:
+            continue
+        place = prefix_class[there] * np.uint64(n + 1) + suffix_class[there]
+        order = np.argsort(place)
+        there, place = there[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        least = np.repeat(np.minimum.reduceat(owner[there], first), np.diff(np.append(first, len(there))))
+        hit = there[owner[there] > least]
+        out[some[hit]] |= np.uint32(1 << j)
+    return out
 
 
 class Shard:
     """The bytes of a shard in one row, and its sampled places."""
 
-    def __init__(self, uri: str, sample: str):
-        ids, rows, ends, at = [], [], [np.zeros(1, np.int64)], 0
-        for doc_ids, texts in read_shard(uri):
+    def __init__(self, uris: list[str], mask: np.uint64):
+        ids, rows, ends, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], 0
+        for doc_ids, texts in read_shard(uris):
             raw, stops = text_bytes(texts)
-            rows.append(raw.copy())
+            rows.append(raw)
             ids.append(doc_ids)
             ends.append(stops[1:] + at)
             at += len(raw)
-        self.sample = sample
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.ends = np.concatenate(ends)
-        self.raw = np.concatenate(rows) if rows else np.zeros(0, np.uint8)
-        if len(self.raw) >= 1 << 32:
-            raise ValueError("a shard holds less than 4 GB of text; read the documents in more partitions")
-
-    def _groups(self):
-        """Ranges of documents of about ``SLICE`` bytes."""
+        self.mask, self.ids, self.ends, self.raw = mask, np.concatenate(ids), np.concatenate(ends), np.concatenate(rows)
+        self._sample()
+
+    def _sample(self) -> None:
+        """Sampled places, the distinct hashes of their tuples, and the number of each place's hash."""
+        places, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        n = len(self.raw)
+        for k in range(0, n, PIECE):
+            at = np.arange(k, min(k + PIECE, n))
+            doc = np.searchsorted(self.ends, at, side="right") - 1
+            lo, hi = self.ends[doc], self.ends[doc + 1]
+            at = at[_SAMPLED[(at - lo) % PERIOD] & (hi - lo >= LENGTH) & (at + TUPLE <= hi)]
+            places.append(at)
+            codes.append(self._codes(at))
+        self.place = np.concatenate(places)
+        self.keys, back, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        self.key_of, self.repeated = back.astype(np.int32), counts > 1
+
+    def _codes(self, at: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        x = np.lib.stride_tricks.sliding_window_view(self.raw, TUPLE)[at].view("<u4").astype(np.uint64)
+        h = mixed(x[:, 0] | x[:, 1] << np.uint64(32))
+        h = mixed(h + (x[:, 2] | x[:, 3] << np.uint64(32)) * np.uint64(BASE))
+        return mixed(h ^ x[:, 4] * np.uint64(OTHER)) & self.mask
+
+    def survive(self, answers: dict, buckets: int) -> None:
+        """The sampled places whose tuples occur again, with the bytes on each side that strings around them reach."""
+        live = (self.repeated | flags_of(self.keys, buckets, answers, 1))[self.key_of]
+        crowded = flags_of(self.keys, buckets, answers, 2)[self.key_of]
+        on = np.flatnonzero(live)
+        self.at = p = self.place[on]
+        doc = np.searchsorted(self.ends, p, side="right") - 1
+        self.owner = self.ids[doc]
+        self.left = np.minimum(p - self.ends[doc], BEFORE).astype(np.uint8)
+        self.right = np.minimum(self.ends[doc + 1] - p, LENGTH).astype(np.uint8)
+        self.crowded, self.code = crowded[on], self.keys[self.key_of[on]]
+
+    def around(self, which: np.ndarray) -> np.ndarray:
+        """The bytes around places, zero beyond what their strings reach."""
+        p, out = self.at[which], np.zeros((len(which), AROUND), np.uint8)
+        steps = np.arange(-BEFORE, LENGTH, dtype=np.int16)
+        for k in range(0, len(which), COPIED):
+            part = which[k : k + COPIED]
+            inside = (steps >= -self.left[part, None].astype(np.int16)) & (steps < self.right[part, None].astype(np.int16))
+            out[k : k + COPIED] = np.where(inside, self.raw[np.clip(p[k : k + COPIED, None] + steps, 0, len(self.raw) - 1)], 0)
+        return out
+
+    def surroundings(self) -> Iterator[Surroundings]:
+        """Equal surroundings together, ``AT_ONCE`` places at a time by their hashes."""
+        calm = np.flatnonzero(~self.crowded)
+        calm = calm[np.argsort(self.code[calm], kind="stable")]
         k = 0
-        while k < len(self.ids):
-            j = int(np.searchsorted(self.ends, self.ends[k] + SLICE, side="right")) - 1
-            j = min(max(j, k + 1), len(self.ids))
-            yield k, j
+        while k < len(calm):
+            j = min(k + AT_ONCE, len(calm))
+            j = int(np.searchsorted(self.code[calm], self.code[calm[j - 1]], side="right"))  # whole hashes
+            yield Surroundings(self, calm[k:j])
             k = j
 
-    def sampled(self) -> None:
-        """Sampled places, the document of each, and their names; ``keys`` are the distinct names."""
-        places, docs, names = [], [], []
-        for k, j in self._groups():
-            lo, hi = self.ends[k], self.ends[j]
-            n = int(hi - lo)
-            if n < LENGTH:
-                continue
-            sizes = np.diff(self.ends[k : j + 1])
-            doc = np.repeat(np.arange(k, j), sizes)
-            stop = np.repeat(self.ends[k + 1 : j + 1] - lo, sizes)
-            v = mixed(rolling(numbers(self.raw[lo:hi]), TUPLE, BASE))
-            if self.sample == "minimum":
-                starts = np.flatnonzero(stop[: n - LENGTH + 1] >= np.arange(n - LENGTH + 1) + LENGTH)
-                if not len(starts):
-                    continue
-                at = np.flatnonzero(np.bincount(leftmost_least(v, PERIOD)[starts], minlength=len(v)))
-            else:
-                inside = np.arange(n) - np.repeat(self.ends[k:j] - lo, sizes)
-                chosen = np.isin(np.arange(PERIOD), COVER)[inside % PERIOD] & np.repeat(sizes >= LENGTH, sizes)
-                at = np.flatnonzero(chosen[: len(v)] & (stop[: len(v)] >= np.arange(len(v)) + TUPLE))
-            places.append((at + lo).astype(np.uint32))
-            docs.append(doc[at].astype(np.int32))
-            names.append(v[at])
-        self.place = np.concatenate(places) if places else np.zeros(0, np.uint32)
-        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-        name = np.concatenate(names) if names else np.zeros(0, np.uint64)
-        self.keys, back, counts = np.unique(name, return_inverse=True, return_counts=True)
-        self.key_of = back.astype(np.int32)
-        self.repeated = counts > 1
-
-    def survivors(self, answers: dict, buckets: int) -> None:
-        """Discards names that occur once, parts crowded from other names, and gathers equal surroundings."""
-        self.sampled()
-        live = (self.repeated | flags_of(self.keys, buckets, answers, 1))[self.key_of]
-        crowded = flags_of(self.keys, buckets, answers, 2)[self.key_of] & live
-        self._contexts(np.flatnonzero(live & ~crowded))
-        self._crowd(np.flatnonzero(crowded))
-
-    def _around(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes around places, zero outside the document, and how many there are on each side."""
-        p, lo, hi = self.place[which].astype(np.int64), self.ends[self.doc[which]], self.ends[self.doc[which] + 1]
-        left, right = np.minimum(p - lo, BEFORE).astype(np.uint8), np.minimum(hi - p, LENGTH).astype(np.uint8)
-        out = np.zeros((len(which), AROUND), np.uint8)
-        steps = np.arange(-BEFORE, LENGTH)
-        for k in range(0, len(which), 20_000):
-            at = p[k : k + 20_000, None] + steps
-            there = (steps >= -left[k : k + 20_000, None].astype(np.int64)) & (steps < right[k : k + 20_000, None])
-            out[k : k + 20_000] = np.where(there, self.raw[np.clip(at, 0, max(len(self.raw) - 1, 0))], 0)
-        return out, left, right
-
-    def _contexts(self, which: np.ndarray) -> None:
-        around, left, right = self._around(which)
-        owner = self.ids[self.doc[which]]
-        key = self.keys[self.key_of[which]]
-        sides = left.astype(np.uint64) * np.uint64(BASE) + right.astype(np.uint64) * np.uint64(OTHER)
-        parts = [rolling(_NUMBERS[around[k : k + 20_000]], AROUND, BASE)[:, 0] for k in range(0, len(which), 20_000)]
-        whole = mixed(np.concatenate([np.zeros(0, np.uint64), *parts]) + sides)
-        order = np.lexsort((owner, whole, key))
-        key, whole = key[order], whole[order]
-        self.c_place, self.c_owner = self.place[which][order].astype(np.int64), owner[order]
-        self.c_left, self.c_right = left[order], right[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
-        self.c_group = np.cumsum(first) - 1
-        lead = np.flatnonzero(first)
-        self.lead_key, self.lead_owner = key[lead], self.c_owner[lead]
-        self.lead_left, self.lead_right, self.lead_around = self.c_left[lead], self.c_right[lead], around[order[lead]]
-
-    def _crowd(self, which: np.ndarray) -> None:
+    def crowds(self) -> None:
         """The full strings around crowded places, sorted by hash and doc_id."""
-        starts, owners, keys, more = [], [], [], []
-        for k in range(0, len(which), 20_000):
-            part = which[k : k + 20_000]
-            around, left, right = self._around(part)
-            ok, h, m = strings(around, left, right)
-            e, c = np.nonzero(ok)
-            starts.append(self.place[part][e].astype(np.int64) - BEFORE + c)
-            owners.append(self.ids[self.doc[part]][e])
-            keys.append(h[e, c])
-            more.append(m[e, c])
-        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        start, at = np.unique(join(starts, np.int64), return_index=True)  # a string may lie around several places
-        owner, key, extra = join(owners, np.int64)[at], join(keys, np.uint64)[at], join(more, np.uint32)[at]
+        which = np.flatnonzero(self.crowded)
+        starts, owners, keys, more = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64, np.uint32))
+        for k in range(0, len(which), COPIED):
+            part = which[k : k + COPIED]
+            x, c = _NUMBERS[self.around(part)], np.arange(PERIOD)
+            e, c = np.nonzero((self.left[part, None] >= BEFORE - c) & (self.right[part, None] >= LENGTH - (BEFORE - c)))
+            start, one = np.unique(self.at[part][e] - BEFORE + c, return_index=True)  # a string may lie around several places
+            e, c = e[one], c[one]
+            starts.append(start)
+            owners.append(self.owner[part][e])
+            keys.append(mixed(rolling(x, LENGTH, BASE)[e, c]))
+            more.append((mixed(rolling(x, LENGTH, OTHER)[e, c]) >> np.uint64(32)).astype(np.uint32))
+        start, one = np.unique(np.concatenate(starts), return_index=True)
+        owner, key, extra = (np.concatenate(x)[one] for x in (owners, keys, more))
         order = np.lexsort((owner, extra, key))
         self.w_start, self.w_owner, self.w_key, self.w_more = start[order], owner[order], key[order], extra[order]
         self.w_first = np.ones(len(order), bool)
         self.w_first[1:] = (self.w_key[1:] != self.w_key[:-1]) | (self.w_more[1:] != self.w_more[:-1])
         self.w_group = np.cumsum(self.w_first) - 1
 
-    def covered(self, answers: dict, buckets: int) -> np.ndarray:
+    def covered(self, answers: dict, buckets: int, cut: np.ndarray) -> np.ndarray:
         """Which bytes go."""
-        self.survivors(answers, buckets)
-        masks = np.zeros(len(self.lead_key), np.uint32)
-        for b, lo, hi in cuts(self.lead_key, buckets):
-            if (data := answers.get((3, b))) is not None:
-                masks[lo:hi] = np.frombuffer(data, np.uint32)
-        mask = masks[self.c_group]
-        larger = self.c_owner > self.lead_owner[self.c_group] if len(self.c_group) else np.zeros(0, bool)
-        gone = []
-        for c in range(PERIOD):  # the string that starts c - BEFORE from the place
-            ok = (self.c_left >= BEFORE - c) & (self.c_right >= LENGTH - (BEFORE - c)) & (larger | ((mask >> np.uint32(c)) & 1).astype(bool))
-            gone.append(self.c_place[ok] - BEFORE + c)
+        self.survive(answers, buckets)
+        gone = [np.zeros(0, np.int64)]
+        for level, s in enumerate(self.surroundings(), 5):
+            found = np.zeros(len(s.lead), np.uint32)
+            for b, lo, hi in s.ranges(cut):
+                if (data := answers.get((level, b))) is not None:
+                    found[lo:hi] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+            at, owner, left, right = (x[s.which] for x in (self.at, self.owner, self.left, self.right))
+            larger, found = owner > s.owner[s.group], found[s.group]
+            for j in range(PERIOD):
+                gone.append(np.unique(at[(left >= j) & (right >= LENGTH - j) & (larger | (found >> np.uint32(j) & 1).astype(bool))] - j))
+        self.crowds()
         w = flags_of(self.w_key[self.w_first], buckets, answers, 4)[self.w_group] if len(self.w_key) else np.zeros(0, bool)
         if len(self.w_key):
             w = w | (self.w_owner > self.w_owner[self.w_first][self.w_group])
         gone.append(self.w_start[w])
-        n = len(self.raw)
-        starts = np.zeros(n + 1, np.int32)
-        starts[np.concatenate(gone)] = 1
-        depth = starts.copy()
-        depth[LENGTH:] -= starts[: max(n + 1 - LENGTH, 0)]
-        return np.cumsum(depth, dtype=np.int32)[:n] > 0
-
-
-def strings(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place and distance c: whether its string lies in the document, and two hashes of it."""
-    x = _NUMBERS[around]
-    c = np.arange(PERIOD)
-    ok = (left[:, None] >= BEFORE - c) & (right[:, None] >= LENGTH - (BEFORE - c))
-    return ok, mixed(rolling(x, LENGTH, BASE)), (mixed(rolling(x, LENGTH, OTHER)) >> np.uint64(32)).astype(np.uint32)
-
-
-def _columns(table: pa.Table, *kinds) -> list[np.ndarray]:
-    cols = [unpack(d, n, *kinds) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
-    return [np.concatenate(c) for c in zip(*cols, strict=True)]
-
-
-def marks(key: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """For each entry of a bucket a bit for each distance: the string there has a smaller doc_id among the entries."""
-    out = np.zeros(len(key), np.uint32)
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-    sizes = np.diff(edge)
-    names = np.repeat(np.arange(len(sizes)), sizes)
-    some = np.flatnonzero((sizes > 1)[names])  # names of one entry have nothing to meet
-    names = names[some]
-    lo = 0
-    while lo < len(some):  # whole names at a time, about 30,000 entries
-        hi = int(np.searchsorted(names, names[min(lo + 30_000, len(some)) - 1], side="right"))
-        e = order[some[lo:hi]]
-        ok, h, m = strings(around[e], left[e], right[e])
-        at, c = np.nonzero(ok)
-        h = h[at, c] ^ (m[at, c].astype(np.uint64) << np.uint64(16)) ^ mixed(c.astype(np.uint64) + np.uint64(1))
-        by = np.argsort(h, kind="stable")
-        s = h[by]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        if len(s):
-            own = owner[e][at[by]]
-            least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(s))))
-            hit = own > least
-            np.bitwise_or.at(out, e[at[by]][hit], (np.uint32(1) << c[by][hit].astype(np.uint32)).astype(np.uint32))
-        lo = hi
-    return out
+        starts = np.unique(np.concatenate(gone))
+        step = np.zeros(len(self.raw) + 1, np.int8)
+        if len(starts):
+            apart = np.flatnonzero(np.diff(starts) > LENGTH)
+            step[starts[np.concatenate([[0], apart + 1])]] += 1
+            step[starts[np.concatenate([apart, [len(starts) - 1]])] + LENGTH] -= 1
+        return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
+class Surroundings:
+    """Some places of a shard by their surroundings: equal ones are a group, led by the one of the smallest doc_id."""
+
+    def __init__(self, shard: Shard, which: np.ndarray):
+        around = shard.around(which)
+        sides = words_of(np.column_stack([around[:, :BEFORE], around[:, BEFORE + TUPLE :], shard.left[which], shard.right[which]]))
+        whole = mixed(sum((mixed(w + np.uint64(k)) * np.uint64(BASE) for k, w in enumerate(sides)), np.zeros(len(which), np.uint64)))
+        tuples = words_of(around[:, BEFORE : BEFORE + TUPLE])
+        order = np.lexsort((shard.owner[which], whole, *tuples[::-1]))
+        self.which = which[order]
+        first = np.zeros(len(order), bool)
+        first[:1] = True
+        for c in (*tuples, whole):
+            first[1:] |= c[order[1:]] != c[order[:-1]]
+        self.group, self.lead = np.cumsum(first) - 1, order[first]
+        self.owner, self.left, self.right = (x[which[self.lead]] for x in (shard.owner, shard.left, shard.right))
+        self.tuples = np.ascontiguousarray(around[self.lead, BEFORE : BEFORE + TUPLE])
+        self.bytes = around[self.lead]
+
+    def ranges(self, cut: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(range, from, to) over the groups, which are sorted by tuple."""
+        at = np.searchsorted(cut, self.tuples.view(f"S{TUPLE}").reshape(-1), side="right")
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            yield int(at[lo]), lo, hi
+
+
+def remove_shared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", crowd: int = CROWD, **sizes: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
+    spark = docs.sparkSession
+    staged = stage(docs, key=key, text=text, **sizes)
+    buckets, mask = staged.buckets, staged.mask
+    shared_cut = spark.sparkContext.broadcast(splitters(staged, buckets))  # TUPLE bytes for each bucket
 
+    def tuples(shard, uris, _):
+        return send(shard, Shard(uris, mask).keys, buckets)
 
-def remove_shared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: str = "difference", crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
-    staged = stage(docs, key=key, text=text)
-    buckets = staged.buckets
-
-    def names(shard, uri, answers):
-        s = Shard(uri, sample)
-        s.sampled()
-        return send(shard, s.keys, buckets)
-
-    def name_answers(key, table):
-        table = table.sort_by("shard")
-        name = _columns(table, np.uint64)[0]
-        _, back, counts = np.unique(name, return_inverse=True, return_counts=True)
+    def tuple_answers(key, table):
+        table, bucket = table.sort_by("shard"), key[0].as_py()
+        found = np.concatenate([unpack(d, n)[0] for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)])
+        _, back, counts = np.unique(found, return_inverse=True, return_counts=True)
         shards, sizes = table.column("shard").to_pylist(), table.column("n").to_pylist()
-        return pa.concat_tables([answer(level, key[0].as_py(), shards, sizes, counts[back] > least) for level, least in ((1, 1), (2, crowd))])
+        return pa.concat_tables([answer(level, bucket, shards, sizes, counts[back] > least) for level, least in ((1, 1), (2, crowd))])
 
-    def surroundings(shard, uri, answers):
-        s = Shard(uri, sample)
-        s.survivors(answers, buckets)
-        yield from send(shard, s.lead_key, buckets, s.lead_owner, s.lead_left, s.lead_right, s.lead_around)
-        for batch in send(shard, s.w_key[s.w_first], buckets, s.w_more[s.w_first], s.w_owner[s.w_first]):
-            yield batch.set_column(0, "bucket", pa.array(np.asarray(batch.column("bucket")) + buckets, pa.int32()))
+    def surroundings(shard, uris, got):
+        s = Shard(uris, mask)
+        s.survive(got, buckets)
+        for level, x in enumerate(s.surroundings(), 5):
+            level_of = np.full(len(x.lead), level, np.uint64)  # stands where keys stand elsewhere
+            yield from sent(shard, ((b, packed(level_of[lo:hi], x.left[lo:hi], x.right[lo:hi], x.bytes[lo:hi], x.owner[lo:hi]), hi - lo) for b, lo, hi in x.ranges(shared_cut.value)))
+        s.crowds()
+        yield from send(shard, s.w_key[s.w_first], buckets, s.w_more[s.w_first], s.w_owner[s.w_first], first=buckets)
 
     def string_answers(key, table):
-        table, bucket = table.sort_by("shard"), key[0].as_py()
-        shards, sizes = table.column("shard").to_pylist(), table.column("n").to_pylist()
+        bucket = key[0].as_py()
         if bucket >= buckets:
-            return answer(4, bucket - buckets, shards, sizes, smaller_elsewhere(table))
-        found = marks(*_columns(table, np.uint64, np.int64, np.uint8, np.uint8, (np.uint8, AROUND)))
-        rows, at = [], 0
-        for s, n in zip(shards, sizes, strict=True):
-            if found[at : at + n].any():
-                rows.append((s, 3, bucket, found[at : at + n].tobytes()))
+            table = table.sort_by("shard")
+            return answer(4, bucket - buckets, table.column("shard").to_pylist(), table.column("n").to_pylist(), smaller_elsewhere(table))
+        rows = [unpack(d, n, np.uint8, np.uint8, (np.uint8, AROUND), np.int64) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        level, left, right, around, owner = (np.concatenate(c) for c in zip(*rows, strict=True))
+        found, at, out = marks(around, left, right, owner), 0, []
+        for shard, n in zip(table.column("shard").to_pylist(), table.column("n").to_pylist(), strict=True):
+            out.append(answers(int(level[at]), bucket, [shard], [n], found[at : at + n], lambda x: zstandard.ZstdCompressor().compress(x.tobytes())))
             at += n
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("shard", "level", "bucket", "bits"), cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)})
+        return pa.concat_tables(out)
 
-    def finish(shard, uri, answers):
-        s = Shard(uri, sample)
-        gone = s.covered(answers, buckets)
-        for k, j in s._groups():
+    def finish(shard, uris, got):
+        s = Shard(uris, mask)
+        gone, k = s.covered(got, buckets, shared_cut.value), 0
+        for doc_ids, _ in read_shard(uris):
             rows = []
-            for d in range(k, j):
+            for d in range(k, k + len(doc_ids)):
                 lo, hi = int(s.ends[d]), int(s.ends[d + 1])
                 lost = gone[lo:hi]
-                removed = int(lost.sum())
-                spans = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if removed else 0
+                removed = int(np.count_nonzero(lost))
+                spans = int(lost[0]) + int(np.count_nonzero(lost[1:] & ~lost[:-1])) if removed else 0
                 kept = s.raw[lo:hi][~lost] if removed else s.raw[lo:hi]
                 rows.append((None if s.ids[d] == NO_ID else int(s.ids[d]), hi - lo, removed, spans, kept.tobytes()))
+            k += len(doc_ids)
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = written(each_shard(staged, names, QUESTION).groupBy("bucket").applyInArrow(name_answers, ANSWER), "suffixes-1")
+    found = written(each_shard(staged, tuples, QUESTION).groupBy("bucket").applyInArrow(tuple_answers, ANSWER), "suffixes-1")
     found = found.union(written(each_shard(staged, surroundings, QUESTION, found).groupBy("bucket").applyInArrow(string_answers, ANSWER), "suffixes-2"))
     return each_shard(staged, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", found)
 

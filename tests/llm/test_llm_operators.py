@@ -214,13 +214,13 @@ def test_repeats(docs, window):
     assert got == repeats.brute_force([r[:2] for r in rows_of()], window)
 
 
-@pytest.mark.parametrize("options", [{}, {"sample": "minimum"}, {"sample": "difference", "crowd": 1}, {"sample": "minimum", "crowd": 1}])
+@pytest.mark.parametrize("options", [{}, {"crowd": 1}, {"shard": 2000, "bucket": 1500}, {"crowd": 1, "shard": 2000, "bucket": 1500}])
 def test_shared_strings(docs, options):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.remove_shared(clash(docs), **options).collect()}
     assert got == suffixes.brute_force([r[:2] for r in rows_of()])
 
 
-@pytest.mark.parametrize("options", [{}, {"sample": "minimum"}])
+@pytest.mark.parametrize("options", [{}, {"shard": 1, "bucket": 40}])
 def test_short_shards(spark, options):
     """A file of each size from nothing to a string and one byte."""
     rows = [(n, ("ab" * 30)[:n]) for n in range(52)]
