@@ -8,6 +8,7 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -17,8 +18,13 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,text:string>>"
 SEGMENT = "array<struct<start:int,end:int,text:string,kind:string>>"
 
-_SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+(?=\s|$)|$)|[.!?]+", re.S)
-_CONNECTIVE = re.compile(r"(?=\b(?:but|because|so that|unless|although|however|then|while|whereas)\b)", re.I)
+# The terminal signs, the connectives and the negations that results depend on.
+_TERMINAL = re.compile(r"[.!?]+[\"'’”)}\]]*\s+")
+CONNECTIVES = ("because", "but", "so", "then", "when", "whenever", "once", "if", "unless", "until", "while", "after", "before", "although", "however")
+NEGATED_BEFORE = frozenset(("not", "never", "nothing", "cannot", "cant", "without"))
+NEGATED_AFTER = frozenset(("no", "nothing", "nobody", "none"))
+
+_CONNECTIVE = re.compile(rf"\s+(?=(?:{'|'.join(CONNECTIVES)})\b)", re.I)
 _WORD = re.compile(r"\S+")
 
 
@@ -63,29 +69,31 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int] | None:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    found = (_trimmed(text, m.start(), m.end()) for m in _SENTENCE.finditer(text))
-    return [s for s in found if s]
+    """The stretches between terminal signs that white space follows, the signs and closing marks with what they end."""
+    return _parts(text, 0, len(text), (m.end() for m in _TERMINAL.finditer(text)))
+
+
+def _parts(text: str, start: int, end: int, cuts: Iterable[int]) -> list[tuple[int, int]]:
+    """What lies between the cuts, without outer white space; blank parts drop out."""
+    edges = [start, *cuts, end]
+    return [span for a, b in zip(edges, edges[1:], strict=False) if (span := _trimmed(text, a, b))]
 
 
 def segments(text: str | None, most: int = 32) -> list[tuple[int, int, str, str]]:
-    """Sentences; longer ones cut before connectives; what is longer still, into runs of ``most`` words."""
+    """Sentences, cut before connectives; a part of more than ``most`` words goes into runs of so many.
+
+    The kind is sentence for an uncut one, discourse for a part of one, fallback for a run.
+    """
     text, out = text or "", []
     for a, b in sentences(text):
-        if len(_WORD.findall(text[a:b])) <= most:
-            out.append((a, b, text[a:b], "sentence"))
-            continue
-        cuts = [a, *(a + m.start() for m in _CONNECTIVE.finditer(text[a:b]) if m.start()), b]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            span = _trimmed(text, lo, hi)
-            if not span:
-                continue
-            words = [(span[0] + m.start(), span[0] + m.end()) for m in _WORD.finditer(text[span[0] : span[1]])]
+        parts = _parts(text, a, b, (m.start() for m in _CONNECTIVE.finditer(text, a, b)))
+        for lo, hi in parts:
+            words = [m.span() for m in _WORD.finditer(text, lo, hi)]
             if len(words) <= most:
-                out.append((*span, text[span[0] : span[1]], "discourse" if len(cuts) > 2 else "fallback"))
+                out.append((lo, hi, text[lo:hi], "sentence" if len(parts) == 1 else "discourse"))
             else:
-                for k in range(0, len(words), most):
-                    run = words[k : k + most]
-                    out.append((run[0][0], run[-1][1], text[run[0][0] : run[-1][1]], "fallback"))
+                runs = (words[k : k + most] for k in range(0, len(words), most))
+                out += [(r[0][0], r[-1][1], text[r[0][0] : r[-1][1]], "fallback") for r in runs]
     return out
 
 
@@ -145,10 +153,19 @@ def fuzzy_names(text: str | None, names: tuple[str, ...], ratio: float = 0.84) -
     return sorted(found)
 
 
-def negated_near(words: list[str], predicate: str, before: int = 4, after: int = 2) -> bool:
-    """Whether a negation stands within so many words around some occurrence of the predicate."""
-    no = {"not", "no", "never", "without", "cannot", "can't", "don't", "doesn't", "isn't", "won't"}
-    return any(w == predicate and no & set(words[max(0, k - before) : k] + words[k + 1 : k + 1 + after]) for k, w in enumerate(words))
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+def negated_near(text: str | None, phrase: str) -> bool:
+    """Whether a negation stands near some occurrence of the phrase between other than letters and digits.
+
+    One list counts among the last four words of the 48 characters before it, another among the first two of the 24 after.
+    """
+    for a, b, _ in bounded_spans(text, phrase):
+        before, after = _TOKEN.findall(text[max(0, a - 48) : a].lower()), _TOKEN.findall(text[b : b + 24].lower())
+        if NEGATED_BEFORE.intersection(before[-4:]) or NEGATED_AFTER.intersection(after[:2]):
+            return True
+    return False
 
 
 def strict_object(raw: str | None, keys: frozenset[str]) -> str | None:

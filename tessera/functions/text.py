@@ -88,6 +88,15 @@ def mentioned(text: Column, names: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike(rf"(^|[^a-z0-9]){_quoted(n.lower())}($|[^a-z0-9])"), F.lit(n)) for n in names]))
 
 
+def token_chunks(text: Column, size: int) -> Column:
+    """The tokens of a text in consecutive runs of ``size`` (the last may be shorter), each joined by spaces.
+
+    One pass over the text; windows made so don't carry the whole text with them.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+    return F.regexp_extract_all(plain, F.lit(f"(?:[^ ]+ ?){{1,{size}}}"), F.lit(0))
+
+
 def chunk_starts(n: Column, size: int, stride: int) -> Column:
     """Starts of windows of ``size`` over n items, each ``stride`` on; one window at least."""
     return F.sequence(F.lit(0), F.greatest(F.lit(0), n - size), F.lit(stride))
@@ -114,16 +123,8 @@ def head_token(row: Column, function_words: tuple[str, ...]) -> Column:
 
 def contains_phrase(row: Column, phrase: tuple[str, ...]) -> Column:
     """Whether the tokens stand side by side in the row; the last may be a beginning of three characters or more."""
-    *head, last = phrase
-    n = len(phrase)
-
-    def at(i: Column) -> Column:
-        found = F.slice(row, i, n)
-        ending = F.element_at(found, n)
-        close = ending.startswith(last) if len(last) >= 3 else ending == last
-        return reduce(lambda a, b: a & b, [F.element_at(found, k + 1) == w for k, w in enumerate(head)], close)
-
-    return F.coalesce(F.when(F.size(row) >= n, F.exists(F.sequence(F.lit(1), F.greatest(F.size(row) - n + 1, F.lit(1))), at)), F.lit(False))
+    wanted = " " + " ".join(map(_quoted, phrase)) + ("[^ ]* " if len(phrase[-1]) >= 3 else " ")
+    return F.coalesce(F.concat(F.lit(" "), F.array_join(row, " "), F.lit(" ")).rlike(wanted), F.lit(False))
 
 
 def is_subsequence(row: Column, wanted: tuple[str, ...]) -> Column:

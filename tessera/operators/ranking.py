@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Weights of sources; guides are weighed by rank and rating instead.
-SOURCE_WEIGHTS = {"discord": 1.6, "crossref": 0.9, "wiki": 1.1, "video": 1.0}
-RANK_WEIGHTS = {"top": 2.0, "jungle": 1.8}
+# Weights of sources; guides are weighed by the rank of their author (no rank counts 1) and their rating.
+SOURCE_WEIGHTS = {"discord": 1.6, "aoe2_crossref": 0.9, "aoe2_wiki": 1.1, "aoe2_pdf": 2.0, "aoe2_video": 1.0, "aoe2_coaching": 1.0}
+GUIDES = "mobafire_guide"
+RANK_WEIGHTS = {"": 1.0, "diamond": 1.0, "emerald": 0.7, "master": 1.4, "grandmaster": 1.8, "challenger": 2.0}
 
 
 def same_text(column: str, value: str | None) -> Column:
@@ -34,8 +35,8 @@ def concat_stores(stores: dict[str, DataFrame | None]) -> DataFrame:
 
 
 def source_weight(source: Column, rank: Column, rating: Column) -> Column:
-    guide = aliased_number(rank, RANK_WEIGHTS, 1.0) * (1 + F.least(F.greatest((F.coalesce(rating, F.lit(8.5)) - 8.5) * 0.05, F.lit(0.0)), F.lit(0.15)))
-    return F.when(source == "guide", guide).otherwise(aliased_number(F.coalesce(source, F.lit("discord")), SOURCE_WEIGHTS, 1.0))
+    guide = aliased_number(F.lower(rank), RANK_WEIGHTS, 1.0) * (1 + F.least(F.greatest((F.coalesce(rating, F.lit(8.5)) - 8.5) * 0.05, F.lit(0.0)), F.lit(0.15)))
+    return F.when(source == GUIDES, guide).otherwise(aliased_number(F.coalesce(source, F.lit("discord")), SOURCE_WEIGHTS, 1.0))
 
 
 def aliased_number(key: Column, values: dict[str, float], default: float) -> Column:
@@ -119,9 +120,28 @@ def nearest_consumed(left: DataFrame, right: DataFrame, key: str, within: int) -
     return rows.groupBy(key).applyInPandas(fold, "event_id long, nearest long, gap long")
 
 
+def numbered(df: DataFrame, lead: list[str], order: str, name: str, parts: int = 200) -> DataFrame:
+    """Adds each row's place, from 1, in the order of ``lead`` (columns of few values) and a number, without one task for all.
+
+    Rows are numbered within ranges of the number, cut at approximate quantiles (which decide on balance alone), and the
+    ranges' sizes, a row for each, are added up.
+    """
+    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = df.withColumn("_part", part)
+    by = [*lead, "_part"]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, 0)) - F.col("_size")).drop("_size")
+    same = sizes.select(*[F.col(c).alias(f"_b{k}") for k, c in enumerate(by)], "_before")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(by)])
+    placed = rows.join(same, on).withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy(*by).orderBy(order)))
+    return placed.drop("_part", "_before", *[f"_b{k}" for k in range(len(by))])
+
+
 def evenly(df: DataFrame, order: str, most: int) -> DataFrame:
-    """At most ``most`` rows, evenly spaced in order, both ends included."""
-    ranked = df.withColumn("_i", F.row_number().over(W.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy()))
+    """At most ``most`` rows, evenly spaced in the order of a number, both ends included."""
+    n = df.count()
+    ranked = numbered(df, [], order, "_i").withColumn("_i", F.col("_i") - 1).withColumn("_n", F.lit(n))
     # Row i is chosen where it is the rounded place of some k; k can only be the one next to i * (most - 1) / (n - 1).
     step = (F.col("_n") - 1) / F.lit(float(most - 1))
     near = F.floor(F.col("_i") / step)

@@ -61,7 +61,7 @@ def blended(similarity: Column, preferred: list[str]) -> Column:
     """Half similarity, half trust, a bonus for preferred types, all times the source's weight; 0 counts as unknown."""
     known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.lit(0.5))
     trust = 0.6 * known("confidence") + 0.4 * known("source_score")
-    return (0.5 * similarity + 0.5 * trust + preferred_bonus(F.col("insight_type"), preferred)) * source_weight(F.col("source"), F.col("role"), F.col("rating"))
+    return (0.5 * similarity + 0.5 * trust + preferred_bonus(F.col("insight_type"), preferred)) * source_weight(F.col("source"), F.col("rank"), F.col("rating"))
 
 
 def retrieve(facts: DataFrame, question: str, vector: list[float], k: int, preferred: list[str] | None = None, *, exclude: DataFrame | None = None) -> DataFrame:

@@ -29,6 +29,12 @@ def context_windows(df: DataFrame, size: int, overlap: int, *, text: str = "text
     return w.withColumn("words", F.slice("_w", F.col("start") + 1, size)).drop("_w", text)
 
 
+def token_windows(df: DataFrame, size: int, *, text: str = "text") -> DataFrame:
+    """One row for each run of ``size`` tokens of a text, the last perhaps shorter: k (from 0) and w, the tokens."""
+    out = df.select(*[c for c in df.columns if c != text], F.posexplode(T.token_chunks(F.col(text), size)).alias("k", "w"))
+    return out.withColumn("w", F.split(F.trim("w"), " "))
+
+
 def coalesced(spans: DataFrame, group: list[str]) -> DataFrame:
     """start and end of the islands that overlapping or touching spans form within a group."""
     order = W.partitionBy(*group).orderBy("start", "end")
@@ -52,9 +58,14 @@ def lexical_candidates(queries: DataFrame, documents: DataFrame, size: int, stri
     sums, so a common word costs as many rows as windows hold it, times the queries that ask for it.
     """
     q = queries.select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("q")).withColumn("nq", F.size("q"))
-    d = documents.select("doc_id", T.tokens(F.col("text")).alias("t"))
-    d = d.withColumn("start", F.explode(T.chunk_starts(F.size("t"), size, stride)))
-    d = d.select("doc_id", "start", F.array_distinct(F.slice("t", F.col("start") + 1, size)).alias("w")).withColumn("nw", F.size("w"))
+    if size % stride:
+        raise ValueError("a window is a whole number of strides")
+    # A window is some chunks in a row, the last ones of a text fewer; the text itself isn't carried along.
+    chunk = lambda k, j: F.coalesce(F.get(F.col("c"), k + j), F.lit(""))
+    d = documents.select("doc_id", F.explode(F.array(T.token_chunks(F.col("text"), stride))).alias("c"))
+    window = lambda k: F.struct((k * stride).alias("start"), F.concat(*[x for j in range(size // stride) for x in (chunk(k, j), F.lit(" "))]).alias("w"))
+    d = d.where(F.size("c") > 0).select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), F.size("c") - 1), window)))
+    d = d.select("doc_id", "start", F.array_distinct(F.array_remove(F.split("w", " "), "")).alias("w")).withColumn("nw", F.size("w"))
     shared = q.select("item_id", "nq", F.explode("q").alias("token")).join(d.select("doc_id", "start", "nw", F.explode("w").alias("token")), "token")
     counts = shared.groupBy("item_id", "doc_id", "start", "nq", "nw").agg(F.count(F.lit(1)).alias("n"))
     score = F.round(F.lit(0.8) * F.col("n") / F.col("nq") + F.lit(0.2) * F.col("n") / F.col("nw"), 6)

@@ -40,11 +40,11 @@ def _(spark, sf):
     return files.paged_text(table(spark, sf, "conversations").withColumnRenamed("turn", "page"), "conv_id")
 
 
-@register("s22_text_fallbacks", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(substr(text, 1, 50)), '') ELSE nullif(trim(lang), '') END AS text, CASE WHEN doc_id % 3 = 0 AND nullif(trim(substr(text, 1, 50)), '') IS NOT NULL THEN 0 ELSE 1 END AS source FROM documents WHERE text IS NOT NULL""")
+@register("s22_text_fallbacks", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(text), '') ELSE nullif(trim(lang), '') END AS text, CASE WHEN doc_id % 3 = 0 AND nullif(trim(text), '') IS NOT NULL THEN 0 ELSE 1 END AS source FROM documents WHERE text IS NOT NULL""")
 def _(spark, sf):
     """A text from the first source that has one."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
-    a = d.where("doc_id % 3 = 0").select("doc_id", F.substring("text", 1, 50).alias("text"))
+    a = d.where("doc_id % 3 = 0").select("doc_id", "text")
     b = d.select("doc_id", F.col("lang").alias("text"))
     return files.first_text(d, "doc_id", [a, b])
 
@@ -96,7 +96,7 @@ def _(spark, sf):
 
 def words(spark, sf):
     """Dependency trees: one sentence an order, each word's head at half its number."""
-    l = table(spark, sf, "lineitem").where("l_orderkey < 3000")
+    l = table(spark, sf, "lineitem")
     i = F.col("l_linenumber")
     return l.select(
         F.col("l_orderkey").alias("sentence"), i.cast("int").alias("word"), F.floor(i / 2).cast("int").alias("head"), (i * 3).cast("long").alias("start"), (i * 3 + 2).cast("long").alias("end"),
@@ -105,7 +105,7 @@ def words(spark, sf):
     ).distinct()
 
 
-WORDS = """words AS (SELECT DISTINCT l_orderkey AS sentence, l_linenumber AS word, l_linenumber // 2 AS head, l_linenumber * 3 AS a, l_linenumber * 3 + 2 AS b, CASE WHEN l_linenumber = 1 THEN 'root' WHEN l_linenumber % 2 = 0 THEN 'nsubj' ELSE 'obj' END AS deprel FROM lineitem WHERE l_orderkey < 3000),
+WORDS = """words AS (SELECT DISTINCT l_orderkey AS sentence, l_linenumber AS word, l_linenumber // 2 AS head, l_linenumber * 3 AS a, l_linenumber * 3 + 2 AS b, CASE WHEN l_linenumber = 1 THEN 'root' WHEN l_linenumber % 2 = 0 THEN 'nsubj' ELSE 'obj' END AS deprel FROM lineitem),
 sp AS (SELECT DISTINCT sentence, 1 AS id, 6 AS s, 12 AS e FROM words UNION ALL SELECT DISTINCT sentence, 2, 3, 12 FROM words),
 m AS (SELECT w.sentence, id, word, head FROM words w JOIN sp ON w.sentence = sp.sentence AND a < e AND b > s)"""
 
@@ -125,7 +125,7 @@ def _(spark, sf):
     return Y.span_tree_features(w, tree_spans(w)).drop("head_depth")
 
 
-@register("v20_word_flags", """SELECT DISTINCT l_orderkey AS sentence, l_linenumber::INT AS word, l_linenumber % 3 = 0 AS finite, l_linenumber % 4 = 0 AS negated, l_linenumber % 2 = 0 AS predicate, l_linenumber = 1 AS clause_root FROM lineitem WHERE l_orderkey < 3000""")
+@register("v20_word_flags", """SELECT DISTINCT l_orderkey AS sentence, l_linenumber::INT AS word, l_linenumber % 3 = 0 AS finite, l_linenumber % 4 = 0 AS negated, l_linenumber % 2 = 0 AS predicate, l_linenumber = 1 AS clause_root FROM lineitem""")
 def _(spark, sf):
     """What a word's features say."""
     return Y.word_flags(words(spark, sf)).select("sentence", "word", "finite", "negated", "predicate", "clause_root")
@@ -139,7 +139,7 @@ def _(spark, sf):
     return Y.role_evidence(w, tree_spans(w)).select("sentence", "id", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"))
 
 
-@register("x30_parse_violations", """WITH w AS (SELECT DISTINCT l_orderkey AS sentence, l_linenumber AS word, l_linenumber // 2 AS head FROM lineitem WHERE l_orderkey < 3000 AND l_linenumber <= 3)
+@register("x30_parse_violations", """WITH w AS (SELECT DISTINCT l_orderkey AS sentence, l_linenumber AS word, l_linenumber // 2 AS head FROM lineitem WHERE l_linenumber <= 3)
 SELECT 'roots' AS rule, sentence FROM w GROUP BY 2 HAVING count(*) FILTER (head = 0) <> 1
 UNION ALL SELECT DISTINCT 'head_missing', sentence FROM w WHERE head <> 0 AND NOT EXISTS (SELECT 1 FROM w x WHERE x.sentence = w.sentence AND x.word = w.head)
 UNION ALL SELECT DISTINCT 'unreached', sentence FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.sentence = w.sentence AND x.word = 1) AND word >= 1""")

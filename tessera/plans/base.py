@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tessera.session import table
 
 ROLES = ("top", "jungle", "mid", "bottom", "support")
-SOURCES = ("discord", "guide", "wiki", "video", "crossref")
+SOURCES = ("discord", "mobafire_guide", "aoe2_wiki", "aoe2_video", "aoe2_crossref", "aoe2_pdf")
+RANKS = ("", "diamond", "Emerald", "master", "Grandmaster", "challenger", "unranked")
 STATUSES = ("pending", "transcribed", "analyzed", "no_transcript", "error")
 
 
@@ -26,7 +27,7 @@ def _pick_sql(values: tuple[str, ...], index: str) -> str:
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, video_id, text, insight_type, subject, subject_type, game, role, source, rating, source_score, confidence, embedding."""
+    """id, video_id, text, insight_type, subject, subject_type, game, role, source, rank, rating, source_score, confidence, embedding."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label"), F.col("embedding"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("game"), F.col("source").alias("site"))
     i = F.col("id")
@@ -40,6 +41,7 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
         "game",
         pick(ROLES, i).alias("role"),
         pick(SOURCES, F.floor(i / 3)).alias("source"),
+        pick(RANKS, F.floor(i / 2)).alias("rank"),
         (F.lit(8.0) + (i % 21) / F.lit(10.0)).alias("rating"),
         F.when(i % 7 == 0, F.lit(None).cast("double")).otherwise((i % 11) / F.lit(10.0)).alias("source_score"),
         F.when(i % 13 == 0, F.lit(None).cast("double")).otherwise((i % 9) / F.lit(8.0)).alias("confidence"),
@@ -50,7 +52,7 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 INSIGHTS = f"""insights AS (
   SELECT e.vec_id AS id, (e.vec_id // 5)::BIGINT AS video_id, d.text, 'type' || (e.label % 4) AS insight_type, d.source AS subject,
          CASE e.vec_id % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'entity' END AS subject_type, d.lang AS game,
-         {_pick_sql(ROLES, "e.vec_id")} AS role, {_pick_sql(SOURCES, "e.vec_id // 3")} AS source,
+         {_pick_sql(ROLES, "e.vec_id")} AS role, {_pick_sql(SOURCES, "e.vec_id // 3")} AS source, {_pick_sql(RANKS, "e.vec_id // 2")} AS rank,
          8.0::DOUBLE + (e.vec_id % 21) / 10.0::DOUBLE AS rating,
          CASE WHEN e.vec_id % 7 = 0 THEN NULL ELSE (e.vec_id % 11) / 10.0::DOUBLE END AS source_score,
          CASE WHEN e.vec_id % 13 = 0 THEN NULL ELSE (e.vec_id % 9) / 8.0::DOUBLE END AS confidence, e.embedding

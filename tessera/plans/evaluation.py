@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.operators import intervals as I
 from tessera.operators import metrics as M
 from tessera.operators import scoring
@@ -13,8 +12,10 @@ from tessera.session import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-#: Words of each document that make its window, and of the longest span.
+#: Words of a window (documents are cut into windows from start to end), and of the longest span.
 WINDOW_WORDS, SPAN_WORDS = 20, 3
+#: A window's number is that of its document times this, plus its place there.
+WINDOWS = 1 << 20
 
 
 def register(name: str, sql: str | None = None):
@@ -27,15 +28,21 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def text_windows(spark, sf):
+    """window and w, its words."""
+    d = N.token_windows(table(spark, sf, "documents").select("doc_id", "text"), WINDOW_WORDS)
+    return d.select((F.col("doc_id") * WINDOWS + F.col("k")).alias("window"), "w")
+
+
 def spans(spark, sf):
     """window, start, end (word numbers, half open), phrase, score, positive: all runs of words of each window."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("window"), F.slice(T.tokens(F.col("text")), 1, WINDOW_WORDS).alias("w"))
-    g = N.ngrams(d, "w", SPAN_WORDS).select("window", (F.col("start") - 1).cast("long").alias("start"), (F.col("start") - 1 + F.col("size")).cast("long").alias("end"), "phrase")
+    g = N.ngrams(text_windows(spark, sf), "w", SPAN_WORDS).select("window", (F.col("start") - 1).cast("long").alias("start"), (F.col("start") - 1 + F.col("size")).cast("long").alias("end"), "phrase")
     h = F.col("window") * 7 + F.col("start") * 13 + F.col("end") * 29
     return g.withColumn("score", (h % 101) / F.lit(100.0)).withColumn("positive", (F.col("start") * 5 + F.col("end") * 3 + F.col("window")) % 17 == 0)
 
 
-SPANS = f"""w AS (SELECT doc_id AS win, list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), 1, {WINDOW_WORDS}) AS w FROM documents),
+SPANS = f"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
+w AS (SELECT doc_id * {WINDOWS} + k AS win, t[k * {WINDOW_WORDS} + 1 : k * {WINDOW_WORDS} + {WINDOW_WORDS}] AS w FROM (SELECT doc_id, t, unnest(range(0, (len(t) + {WINDOW_WORDS - 1}) // {WINDOW_WORDS})) AS k FROM t)),
 spans AS (SELECT win, s - 1 AS a, s - 1 + n AS b, array_to_string(w[s : s + n - 1], ' ') AS phrase, ((win * 7 + (s - 1) * 13 + (s - 1 + n) * 29) % 101) / 100.0::DOUBLE AS score, ((s - 1) * 5 + (s - 1 + n) * 3 + win) % 17 = 0 AS positive
   FROM (SELECT win, w, unnest(range(1, len(w) + 1)) AS s FROM w), range(1, {SPAN_WORDS + 1}) r(n) WHERE s + n - 1 <= len(w))"""
 
@@ -53,7 +60,7 @@ def _(spark, sf):
 SELECT s.win AS "window", s.a AS start, s.b AS stop, count(DISTINCT segment) AS n_segments, min(segment) AS first_segment FROM spans s JOIN seg g ON s.win = g.win AND s.a < g.b AND s.b > g.a GROUP BY 1, 2, 3""")
 def _(spark, sf):
     """Which segments a span touches."""
-    seg = table(spark, sf, "documents").select(F.col("doc_id").alias("window"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("segment"))
+    seg = text_windows(spark, sf).select("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("segment"))
     seg = seg.withColumn("start", F.col("segment") * 5).withColumn("end", F.col("segment") * 5 + 5)
     m = I.membership(spans(spark, sf).select("window", "start", "end"), seg, ["window"])
     return m.select("window", "start", F.col("end").alias("stop"), F.size("segments").cast("long").alias("n_segments"), F.array_min("segments").alias("first_segment"))
@@ -83,7 +90,7 @@ SELECT p.win AS "window", sa AS source_start, ta AS target_start, sb AS source_s
 def _(spark, sf):
     """The stretch of text that bears a pair."""
     fits = spark.createDataFrame([("state", "action", "enables")], "source_kind string, target_kind string, edge string")
-    seg = table(spark, sf, "documents").select(F.col("doc_id").alias("window"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
+    seg = text_windows(spark, sf).select("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
     seg = seg.select("window", (F.col("k") * 5).alias("start"), (F.col("k") * 5 + 5).alias("end"))
     e = I.envelope(I.near_pairs(nodes(spark, sf), ["window"], fits, 6, 2), seg, ["window"])
     return e.withColumnsRenamed({"source_end": "source_stop", "target_end": "target_stop", "from": "low", "to": "high"})

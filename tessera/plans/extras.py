@@ -15,7 +15,7 @@ from tessera.operators import ranking, retrieval, routing, vectors
 from tessera.session import table
 
 from .base import INSIGHTS, VIDEOS, insights, pick, videos
-from .evaluation import CAND, SPANS, candidates, spans
+from .evaluation import CAND, SPANS, candidates, spans, text_windows
 from .maintenance import REL, relations
 
 QUERIES: dict = {}
@@ -205,10 +205,10 @@ def _(spark, sf):
     return i.groupBy("role").agg(F.min("id").alias("plain"), F.max("id").alias("reasoned"))
 
 
-@register("x39_analysis_specs", f"""WITH {VIDEOS} SELECT video_id, CASE WHEN game = 'en' AND source = 'guide' THEN 'guide-en' WHEN game = 'en' THEN 'plain-en' ELSE 'plain' END AS spec FROM videos""")
+@register("x39_analysis_specs", f"""WITH {VIDEOS} SELECT video_id, CASE WHEN game = 'en' AND source = 'mobafire_guide' THEN 'guide-en' WHEN game = 'en' THEN 'plain-en' ELSE 'plain' END AS spec FROM videos""")
 def _(spark, sf):
     """How each document is analysed, by game and source."""
-    specs = spark.createDataFrame([("en", "guide", "guide-en"), ("en", None, "plain-en")], "game string, source string, spec string")
+    specs = spark.createDataFrame([("en", "mobafire_guide", "guide-en"), ("en", None, "plain-en")], "game string, source string, spec string")
     exact = specs.where("source IS NOT NULL").select("game", "source", F.col("spec").alias("_e"))
     by_game = specs.where("source IS NULL").select("game", F.col("spec").alias("_g"))
     v = videos(spark, sf).select("video_id", "game", "source").join(exact, ["game", "source"], "left").join(by_game, "game", "left")
@@ -267,7 +267,7 @@ def _(spark, sf):
 @register("x19_span_validity", f"""WITH {SPANS} SELECT s.win AS "window", count(*) AS spans, count(*) FILTER (array_to_string(w.w[a + 1 : b], ' ') <> phrase) AS broken FROM spans s JOIN w ON s.win = w.win GROUP BY 1""")
 def _(spark, sf):
     """Spans whose text isn't what their offsets say."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("window"), F.slice(T.tokens(F.col("text")), 1, 20).alias("w"))
+    d = text_windows(spark, sf)
     j = spans(spark, sf).join(d, "window")
     again = F.array_join(F.slice("w", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), " ")
     return j.groupBy("window").agg(F.count(F.lit(1)).alias("spans"), F.count_if(again != F.col("phrase")).alias("broken"))

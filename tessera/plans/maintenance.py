@@ -121,11 +121,11 @@ def _(spark, sf):
     return G.bounded_search(r, ["s7"], 2, 1000).select("node", "hop", F.round("confidence", 6).alias("confidence"))
 
 
-@register("v17_tree_depths", """WITH RECURSIVE w AS (SELECT l_orderkey AS sentence, l_linenumber::INT AS word, (l_linenumber // 2)::INT AS head FROM lineitem WHERE l_orderkey < 1000),
+@register("v17_tree_depths", """WITH RECURSIVE w AS (SELECT l_orderkey AS sentence, l_linenumber::INT AS word, (l_linenumber // 2)::INT AS head FROM lineitem),
 t AS (SELECT sentence, word, 0 AS depth FROM w WHERE head = 0 UNION ALL SELECT w.sentence, w.word, t.depth + 1 FROM w JOIN t ON w.sentence = t.sentence AND w.head = t.word) SELECT DISTINCT sentence, word, depth FROM t""")
 def _(spark, sf):
     """Depths in dependency trees."""
-    w = table(spark, sf, "lineitem").where("l_orderkey < 1000").select(F.col("l_orderkey").alias("sentence"), F.col("l_linenumber").cast("int").alias("word"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("head")).distinct()
+    w = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sentence"), F.col("l_linenumber").cast("int").alias("word"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("head")).distinct()
     return G.tree_depths(w)
 
 
@@ -229,12 +229,12 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.when(t.rlike("steel|tin"), "hard").when(t.rlike("copper"), "soft").otherwise(F.col("p_type")).alias("category"))
 
 
-@register("r1_pending_work", f"WITH {VIDEOS} SELECT video_id, row_number() OVER (ORDER BY game, video_id) AS place FROM videos WHERE status IN ('pending', 'transcribed') AND coalesce(source, '') <> 'wiki'")
+@register("r1_pending_work", f"WITH {VIDEOS} SELECT video_id, row_number() OVER (ORDER BY game, video_id) AS place FROM videos WHERE status IN ('pending', 'transcribed') AND coalesce(source, '') <> 'aoe2_wiki'")
 def _(spark, sf):
     """What is still to be done, in order."""
     from pyspark.sql import Window as W
 
-    v = videos(spark, sf).where(F.col("status").isin("pending", "transcribed") & (F.coalesce("source", F.lit("")) != "wiki"))
+    v = videos(spark, sf).where(F.col("status").isin("pending", "transcribed") & (F.coalesce("source", F.lit("")) != "aoe2_wiki"))
     return v.select("video_id", F.row_number().over(W.orderBy("game", "video_id")).cast("long").alias("place"))
 
 
@@ -259,10 +259,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").groupBy("source", (F.col("doc_id") % 5).alias("fold")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("lang").alias("langs"))
 
 
-@register("x30_feature_maps", """SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders WHERE o_custkey < 100""")
+@register("x30_feature_maps", """SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders""")
 def _(spark, sf):
     """Features written as key=value lists."""
-    o = table(spark, sf, "orders").where("o_custkey < 100").withColumn("feats", F.concat(F.lit("Status="), "o_orderstatus", F.lit("|Priority="), "o_orderpriority"))
+    o = table(spark, sf, "orders").withColumn("feats", F.concat(F.lit("Status="), "o_orderstatus", F.lit("|Priority="), "o_orderpriority"))
     m = F.str_to_map("feats", F.lit("\\|"), F.lit("="))
     return o.select("o_orderkey", m["Status"].alias("status"), m["Priority"].alias("priority"))
 

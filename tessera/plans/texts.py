@@ -187,14 +187,14 @@ def _(spark, sf):
     return d.select("doc_id", "n", "s.start", "s.end")
 
 
-@register("t30_coalesced_spans", """WITH s AS (SELECT l_orderkey, l_linenumber * 3 AS a, l_linenumber * 3 + (l_quantity::BIGINT % 7) AS b FROM lineitem WHERE l_orderkey < 5000),
+@register("t30_coalesced_spans", """WITH s AS (SELECT l_orderkey, l_linenumber * 3 AS a, l_linenumber * 3 + (l_quantity::BIGINT % 7) AS b FROM lineitem),
 m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT l_orderkey AS id, min(a)::BIGINT AS start, max(b)::BIGINT AS stop FROM g GROUP BY l_orderkey, island""")
 def _(spark, sf):
     """Spans that overlap or touch become one."""
     a = F.col("l_linenumber").cast("long") * 3
-    s = table(spark, sf, "lineitem").where("l_orderkey < 5000").select(F.col("l_orderkey").alias("id"), a.alias("start"), (a + F.col("l_quantity").cast("long") % 7).alias("end"))
+    s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), a.alias("start"), (a + F.col("l_quantity").cast("long") % 7).alias("end"))
     return N.coalesced(s, ["id"]).withColumnRenamed("end", "stop")
 
 
@@ -213,7 +213,7 @@ def _(spark, sf):
 
 
 @register("t33_lexical_windows", f"""WITH q AS (SELECT item_id, list_distinct({TOK('text')}) AS q FROM benchmark),
-w AS (SELECT doc_id, s AS start, list_distinct(t[s + 1 : s + 120]) AS w FROM (SELECT doc_id, t, unnest(range(0, greatest(0, len(t) - 120) + 1, 60)) AS s FROM (SELECT doc_id, {TOK('text')} AS t FROM documents))),
+w AS (SELECT doc_id, s AS start, list_distinct(t[s + 1 : s + 120]) AS w FROM (SELECT doc_id, t, unnest(range(0, len(t), 60)) AS s FROM (SELECT doc_id, {TOK('text')} AS t FROM documents))),
 p AS (SELECT item_id, doc_id, start, count(*) AS shared FROM (SELECT item_id, unnest(q) AS t FROM q) JOIN (SELECT doc_id, start, unnest(w) AS t FROM w) USING (t) GROUP BY ALL),
 s AS (SELECT p.*, round(0.8 * shared / len(q) + 0.2 * shared / len(w), 6)::DOUBLE AS score FROM p JOIN q USING (item_id) JOIN w USING (doc_id, start))
 SELECT item_id, doc_id, start, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, start) AS r FROM s) WHERE r <= 5""")
@@ -228,19 +228,20 @@ def _(spark, sf):
     return N.resolution(table(spark, sf, "benchmark"), docs(spark, sf))
 
 
-@register("t35_expanded_context", """SELECT doc_id, substr(text, 101, 50) AS core, regexp_replace(substr(text, 51, 150), '^[^ ]* ', '') AS context FROM documents WHERE length(text) > 400""")
+@register("t35_expanded_context", """SELECT doc_id, substr(text, length(text) // 2, 50) AS core, regexp_replace(substr(text, length(text) // 2 - 50, 150), '^[^ ]* ', '') AS context FROM documents WHERE length(text) > 400""")
 def _(spark, sf):
-    """A span with its surroundings, to the next space."""
-    return docs(spark, sf).where(F.length("text") > 400).select("doc_id", F.substring("text", 101, 50).alias("core"), F.regexp_replace(F.substring("text", 51, 150), "^[^ ]* ", "").alias("context"))
+    """The span in the middle of each text with its surroundings, to the next space."""
+    middle = F.floor(F.length("text") / 2).cast("int")
+    return docs(spark, sf).where(F.length("text") > 400).select("doc_id", F.substring("text", middle, F.lit(50)).alias("core"), F.regexp_replace(F.substring("text", middle - 50, F.lit(150)), "^[^ ]* ", "").alias("context"))
 
 
-@register("t37_mention_candidates", """WITH t AS (SELECT doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), 1, 30) AS w FROM documents),
-g AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t), range(1, 5) r(n) WHERE i + n - 1 <= len(w))
-SELECT doc_id, phrase, count(*) AS n, min(i)::BIGINT AS first FROM g GROUP BY doc_id, phrase""")
+@register("t37_mention_candidates", f"""WITH t AS (SELECT doc_id, {TOK('text')} AS t FROM documents), w AS (SELECT doc_id, k, t[k * 40 + 1 : k * 40 + 40] AS w FROM (SELECT doc_id, t, unnest(range(0, (len(t) + 39) // 40)) AS k FROM t)),
+g AS (SELECT doc_id, n, length(array_to_string(w[i : i + n - 1], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 33) r(n) WHERE i + n - 1 <= len(w))
+SELECT doc_id, n AS size, count(*) AS spans, sum(c)::BIGINT AS chars FROM g GROUP BY doc_id, n""")
 def _(spark, sf):
-    """All runs of up to four words, equal ones together."""
-    d = docs(spark, sf).select("doc_id", F.slice(T.tokens(F.col("text")), 1, 30).alias("w"))
-    return N.ngrams(d, "w", 4).groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min("start").cast("long").alias("first"))
+    """All runs of 1 to 32 words of each window of forty, summed up by length."""
+    g = N.ngrams(N.token_windows(docs(spark, sf), 40), "w", 32)
+    return g.groupBy("doc_id", F.col("size").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("spans"), F.sum(F.length("phrase")).alias("chars"))
 
 
 CUES = (("because", "reason"), ("with", "manner"), ("that", "clause"), ("of the", "relation"))
@@ -277,10 +278,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Whether a negation stands near a word."""
     @F.pandas_udf("boolean")
-    def negated(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda w: S.negated_near(list(w), "the"))
+    def negated(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: S.negated_near(t, "the"), na_action=None)
 
-    return docs(spark, sf).select("doc_id", negated(T.tokens(F.col("text"))).alias("negated"))
+    return docs(spark, sf).select("doc_id", negated("text").alias("negated"))
 
 
 @register("t51_head_tokens", f"""SELECT item_id, coalesce(list_filter({TOK('text')}, lambda t: t NOT IN ('of', 'the', 'a', 'in'))[-1], {TOK('text')}[-1]) AS head FROM benchmark""")
@@ -289,11 +290,11 @@ def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.head_token(T.tokens(F.col("text")), ("of", "the", "a", "in")).alias("head"))
 
 
-@register("t52_neighbour_characters", """SELECT doc_id, right(rtrim(substr(text, 1, 20)), 1) AS before, left(ltrim(substr(text, 41)), 1) AS after, regexp_matches(substr(text, 21, 20), '[,;:.!?]') AS inner_sign FROM documents WHERE length(text) > 60 AND NOT regexp_matches(text, '[^\\x20-\\x7E]')""")
+@register("t52_neighbour_characters", """SELECT doc_id, right(rtrim(substr(text, 1, length(text) // 2)), 1) AS before, left(ltrim(substr(text, length(text) // 2 + 21)), 1) AS after, regexp_matches(substr(text, length(text) // 2 + 1, 20), '[,;:.!?]') AS inner_sign FROM documents WHERE length(text) > 60""")
 def _(spark, sf):
     """What stands next to a span, and signs inside it."""
-    d = docs(spark, sf).where((F.length("text") > 60) & ~F.col("text").rlike(r"[^\x20-\x7E]"))
-    return d.select("doc_id", F.right(F.rtrim(F.substring("text", 1, 20)), F.lit(1)).alias("before"), F.left(F.ltrim(F.substring("text", 41, 1_000_000)), F.lit(1)).alias("after"), F.substring("text", 21, 20).rlike("[,;:.!?]").alias("inner_sign"))
+    d, half = docs(spark, sf).where(F.length("text") > 60), F.floor(F.length("text") / 2).cast("int")
+    return d.select("doc_id", F.right(F.rtrim(F.substring("text", F.lit(1), half)), F.lit(1)).alias("before"), F.left(F.ltrim(F.substring("text", half + 21, F.length("text"))), F.lit(1)).alias("after"), F.substring("text", half + 1, F.lit(20)).rlike("[,;:.!?]").alias("inner_sign"))
 
 
 @register("t54_rank_extraction", """SELECT page_id, regexp_extract(url, '/(en|fr|de|es)/', 1) AS lang, regexp_extract(url, '([0-9]+)', 1) AS number FROM pages""")

@@ -29,7 +29,8 @@ def test_tokens_and_keys(spark):
 def test_phrases(spark):
     row = F.array(*[F.lit(w) for w in "push the wave slowly then roam".split()])
     assert one(spark, T.contains_phrase(row, ("the", "wav")))
-    assert not one(spark, T.contains_phrase(row, ("the", "wa")))
+    assert not one(spark, T.contains_phrase(row, ("the", "wa"))) and one(spark, T.contains_phrase(row, ("roam",)))
+    assert not one(spark, T.contains_phrase(row, ("roam", "push"))) and not one(spark, T.contains_phrase(F.lit(None).cast("array<string>"), ("a",)))
     assert one(spark, T.is_subsequence(row, ("push", "then", "roam"))) and not one(spark, T.is_subsequence(row, ("then", "push")))
     assert one(spark, T.head_token(row, ("roam", "then"))) == "slowly"
 
@@ -88,7 +89,11 @@ def test_centroids_and_neighbours(spark):
 
 
 def test_weights_and_bonuses(spark):
-    assert one(spark, ranking.source_weight(F.lit("guide"), F.lit("top"), F.lit(9.5))) == pytest.approx(2.10)
+    guide = F.lit(ranking.GUIDES)
+    assert one(spark, ranking.source_weight(guide, F.lit("Challenger"), F.lit(9.5))) == pytest.approx(2.10)
+    assert one(spark, ranking.source_weight(guide, F.lit("emerald"), F.lit(99.0))) == pytest.approx(0.7 * 1.15)
+    assert one(spark, ranking.source_weight(guide, F.lit(None).cast("string"), F.lit(None).cast("double"))) == 1.0
+    assert one(spark, ranking.source_weight(F.lit("aoe2_pdf"), F.lit("challenger"), F.lit(9.5))) == 2.0
     assert one(spark, ranking.source_weight(F.lit(None).cast("string"), F.lit(""), F.lit(1.0))) == pytest.approx(1.6)
     types = [f"t{i}" for i in range(8)]
     got = [one(spark, ranking.preferred_bonus(F.lit(t), types)) for t in types]
@@ -167,6 +172,16 @@ def test_segments():
     assert [k for *_, k in found][:2] == ["sentence", "sentence"]
     assert all(text[a:b] == t and t.strip() == t and len(t.split()) <= 32 for a, b, t, _ in found)
     assert " ".join(t for *_, t, _ in [(a, b, t, k) for a, b, t, k in found]).split() == text.split()
+    for text in ("Pi is 3.14 today. Next one.", 'He said "Go." Then she left.', "See example.com for more. ", "a.b.c!? d", " no end so it goes ", "...", "He said “go!”)] Next move."):
+        found = S.segments(text)
+        assert "".join("".join(t.split()) for *_, t, _ in found) == "".join(text.split())
+        assert all(text[a:b] == t for a, b, t, _ in found)
+    assert [t for *_, t, _ in S.segments("Pi is 3.14 today. Next one.")] == ["Pi is 3.14 today.", "Next one."]
+    assert [t for *_, t, _ in S.segments('He said "Go." Then she left.')] == ['He said "Go."', "Then she left."]
+    assert [t for *_, t, _ in S.segments("He said “go!”)] Next move.")] == ["He said “go!”)]", "Next move."]
+    got = S.segments("When it misses, you can walk forward because she can't stop you. Once it is back, respect her.")
+    assert [(t, k) for *_, t, k in got] == [("When it misses, you can walk forward", "discourse"), ("because she can't stop you.", "discourse"), ("Once it is back, respect her.", "sentence")]
+    assert [k for *_, k in S.segments(" ".join(f"w{i}" for i in range(70)))] == ["fallback"] * 3
     chunks = S.char_chunks("Aa bb. " * 900, 1000, 200)
     assert all(len(t) <= 1000 and t.endswith(".") for *_, t in chunks) and " ".join(t for *_, t in chunks).split() == ("Aa bb. " * 900).split()
     assert S.char_chunks(None) == [] and S.segments("") == []
@@ -178,6 +193,37 @@ def test_spans():
     assert S.fuzzy_names("Bryton and Saracens", ("Britons", "Saracens")) == [(0, 6, "Britons"), (11, 19, "Saracens")] or S.fuzzy_names("the Saracens", ("Saracens",)) == [(4, 12, "Saracens")]
 
 
+def test_negation_near_a_predicate():
+    assert S.negated_near("You should never fight here", "fight") and S.negated_near("they fight nobody", "fight")
+    assert not S.negated_near("no one may fight", "fight") and not S.negated_near("fight, not flight", "fight")
+    assert not S.negated_near("not a b c d fight", "fight") and S.negated_near("not a b c fight", "fight")
+    assert not S.negated_near("never fighting", "fight") and not S.negated_near("fight for us none", "fight")
+    assert S.negated_near("Fight. Cannot FIGHT", "fight") and not S.negated_near(None, "fight")
+
+
+def test_token_windows(spark):
+    df = spark.createDataFrame([(1, " ".join(f"W{i}," for i in range(45))), (2, None), (3, " .. ")], "id long, text string")
+    got = {(r["id"], r["k"]): r["w"] for r in windows.token_windows(df, 20).collect()}
+    assert got == {(1, k): [f"w{i}" for i in range(20 * k, min(20 * k + 20, 45))] for k in range(3)}
+
+
+def test_last_words_lie_in_a_window(spark):
+    """A quotation of the last words is found, in the window that starts at the last stride."""
+    text = " ".join(f"w{i}" for i in range(179))
+    d = spark.createDataFrame([(7, text), (8, "w1 other")], "doc_id long, text string")
+    q = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(150, 179)))], "item_id string, text string")
+    best = windows.lexical_candidates(q, d, 120, 60, 2).orderBy(F.desc("score")).collect()
+    assert [(r["doc_id"], r["start"]) for r in best] == [(7, 120), (7, 60)] and best[0]["score"] == pytest.approx(0.8 + 0.2 * 29 / 59, abs=1e-6)
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i % 3, (i * 37) % 101) for i in range(101)], "g long, x long")
+    got = ranking.numbered(df, ["g"], "x", "place", 7).collect()
+    want = sorted((r["g"], r["x"]) for r in got)
+    assert [(r["g"], r["x"]) for r in sorted(got, key=lambda r: r["place"])] == want and {r["place"] for r in got} == set(range(1, 102))
+    assert ranking.numbered(df.where("false"), ["g"], "x", "place").count() == 0
+
+
 def test_json():
     assert S.strict_object('```json\n{"a": 1}\n```', frozenset("a")) == '{"a": 1}'
     assert S.strict_object('{"a": 1, "a": 2}', frozenset("a")) is None and S.strict_object('{"b": 1}', frozenset("a")) is None
