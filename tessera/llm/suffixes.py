@@ -16,6 +16,10 @@ a perfect difference set (6 of 31). Any two places have a common distance to sam
    smallest doc_id are marked. Comparisons are of bytes, not of hashes.
 5. The marks go back to the shards, which cut the bytes they cover.
 
+Steps 2 to 5 run twice. The first round takes one residue of the cover alone, which finds the copies that lie at equal
+distances from the starts of their documents. Strings that go by it are done: the one that stays speaks for them. The
+second round takes all residues, over what is left, so that a text copied many times is sent once and not by every shard.
+
 A shard sends equal surroundings once, for their smallest doc_id. Tuples that many shards hold (over ``CROWD``) would
 gather in one range; their strings are dealt out by the hash of the whole string instead (96 bits), once for each shard.
 Both ways give the same result.
@@ -36,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ragged, written
 from .exchange import ANSWER, NO_ID, QUESTION, answer, answers, cuts, each_shard, flags_of, mixed, packed, read_shard, rolling, send, sent, splitters, stage, text_bytes, unpack
 from .repeats import smaller_elsewhere
 
@@ -47,9 +51,10 @@ BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 CROWD = 64
 BEFORE = PERIOD - 1
 AROUND = BEFORE + LENGTH
-#: Bytes that are looked at, places whose bytes are copied, and surroundings that are made at once.
-PIECE, COPIED, AT_ONCE = 1 << 20, 20_000, 200_000
-_SAMPLED = np.isin(np.arange(PERIOD), COVER)
+#: Places whose bytes are compared, and surroundings that are made at once.
+COPIED, AT_ONCE = 20_000, 200_000
+#: Numbers of the first levels of both rounds of answers.
+FIRST_ROUND, SECOND_ROUND = 5, 1 << 20
 _NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(OTHER))
 
 
@@ -135,23 +140,27 @@ class Shard:
             ids.append(doc_ids)
             ends.append(stops[1:] + at)
             at += len(raw)
-        self.mask, self.ids, self.ends, self.raw = mask, np.concatenate(ids), np.concatenate(ends), np.concatenate(rows)
+        self.mask, self.ids, self.ends = mask, np.concatenate(ids), np.concatenate(ends)
+        self.padded = np.concatenate([np.zeros(BEFORE, np.uint8), *rows, np.zeros(LENGTH, np.uint8)])
+        self.raw = self.padded[BEFORE : len(self.padded) - LENGTH]
         self._sample()
 
     def _sample(self) -> None:
         """Sampled places, the distinct hashes of their tuples, and the number of each place's hash."""
-        places, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        n = len(self.raw)
-        for k in range(0, n, PIECE):
-            at = np.arange(k, min(k + PIECE, n))
-            doc = np.searchsorted(self.ends, at, side="right") - 1
-            lo, hi = self.ends[doc], self.ends[doc + 1]
-            at = at[_SAMPLED[(at - lo) % PERIOD] & (hi - lo >= LENGTH) & (at + TUPLE <= hi)]
-            places.append(at)
-            codes.append(self._codes(at))
-        self.place = np.concatenate(places)
-        self.keys, back, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-        self.key_of, self.repeated = back.astype(np.int32), counts > 1
+        sizes = np.diff(self.ends)
+        last = np.where(sizes >= LENGTH, sizes - TUPLE + 1, 0)  # places from which a tuple fits
+        many = last // PERIOD * len(COVER) + np.searchsorted(COVER, last % PERIOD)
+        nth = ragged(np.zeros(len(many), np.int64), many)
+        self.place = np.repeat(self.ends[:-1], many) + nth // len(COVER) * PERIOD + np.array(COVER)[nth % len(COVER)]
+        codes = np.concatenate([np.zeros(0, np.uint64), *(self._codes(self.place[k : k + AT_ONCE]) for k in range(0, len(self.place), AT_ONCE))])
+        order = np.argsort(codes)
+        codes = codes[order]
+        first = np.ones(len(codes), bool)
+        first[1:] = codes[1:] != codes[:-1]
+        self.keys = codes[first]
+        self.key_of = np.empty(len(order), np.int32)
+        self.key_of[order] = np.cumsum(first) - 1
+        self.repeated = np.diff(np.append(np.flatnonzero(first), len(codes))) > 1
 
     def _codes(self, at: np.ndarray) -> np.ndarray:
         if not len(at):
@@ -164,44 +173,76 @@ class Shard:
     def survive(self, answers: dict, buckets: int) -> None:
         """The sampled places whose tuples occur again, with the bytes on each side that strings around them reach."""
         live = (self.repeated | flags_of(self.keys, buckets, answers, 1))[self.key_of]
-        crowded = flags_of(self.keys, buckets, answers, 2)[self.key_of]
-        on = np.flatnonzero(live)
-        self.at = p = self.place[on]
-        doc = np.searchsorted(self.ends, p, side="right") - 1
+        self.crowded = flags_of(self.keys, buckets, answers, 2)[self.key_of[live]]
+        self.code = self.keys[self.key_of[live]]
+        self.at = self.place[live]
+        doc = np.searchsorted(self.ends, self.at, side="right") - 1
         self.owner = self.ids[doc]
-        self.left = np.minimum(p - self.ends[doc], BEFORE).astype(np.uint8)
-        self.right = np.minimum(self.ends[doc + 1] - p, LENGTH).astype(np.uint8)
-        self.crowded, self.code = crowded[on], self.keys[self.key_of[on]]
+        self.aligned = (self.at - self.ends[doc]) % PERIOD == COVER[0]
+        self.first = np.maximum(self.at - BEFORE, self.ends[doc])  # starts of the first and the last string around a place
+        self.last = np.minimum(self.at, self.ends[doc + 1] - LENGTH)
+        self.gone = np.zeros(len(self.raw) + 1, bool)  # starts of strings that go
+
+    def narrow(self, answers: dict, cut: np.ndarray) -> None:
+        """Takes the first round's answers; places keep the strings around them that may still stay."""
+        self.take(answers, cut, FIRST_ROUND, np.flatnonzero(self.aligned & ~self.crowded))
+        edges = np.flatnonzero(np.diff(self.gone.view(np.int8), prepend=0))
+        begin, end = edges[::2], edges[1::2]
+        if not len(begin):
+            return
+        k = np.searchsorted(begin, self.first, side="right") - 1
+        self.first = np.where((k >= 0) & (self.first < end[k]), end[k], self.first)
+        k = np.searchsorted(begin, self.last, side="right") - 1
+        self.last = np.where((k >= 0) & (self.last < end[k]), begin[k] - 1, self.last)
+
+    def reach(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes before and from the places that the strings around them reach."""
+        return (self.at[which] - self.first[which]).astype(np.uint8), (self.last[which] + LENGTH - self.at[which]).astype(np.uint8)
 
     def around(self, which: np.ndarray) -> np.ndarray:
         """The bytes around places, zero beyond what their strings reach."""
-        p, out = self.at[which], np.zeros((len(which), AROUND), np.uint8)
+        out = np.lib.stride_tricks.sliding_window_view(self.padded, AROUND)[self.at[which]]
+        left, right = self.reach(which)
+        short = np.flatnonzero((left < BEFORE) | (right < LENGTH))
         steps = np.arange(-BEFORE, LENGTH, dtype=np.int16)
-        for k in range(0, len(which), COPIED):
-            part = which[k : k + COPIED]
-            inside = (steps >= -self.left[part, None].astype(np.int16)) & (steps < self.right[part, None].astype(np.int16))
-            out[k : k + COPIED] = np.where(inside, self.raw[np.clip(p[k : k + COPIED, None] + steps, 0, len(self.raw) - 1)], 0)
+        for k in range(0, len(short), COPIED):
+            part = short[k : k + COPIED]
+            out[part] *= (steps >= -left[part, None].astype(np.int16)) & (steps < right[part, None].astype(np.int16))
         return out
 
-    def surroundings(self) -> Iterator[Surroundings]:
-        """Equal surroundings together, ``AT_ONCE`` places at a time by their hashes."""
-        calm = np.flatnonzero(~self.crowded)
-        calm = calm[np.argsort(self.code[calm], kind="stable")]
-        k = 0
-        while k < len(calm):
-            j = min(k + AT_ONCE, len(calm))
-            j = int(np.searchsorted(self.code[calm], self.code[calm[j - 1]], side="right"))  # whole hashes
-            yield Surroundings(self, calm[k:j])
+    def surroundings(self, which: np.ndarray, cut: np.ndarray) -> Iterator[Surroundings]:
+        """Equal surroundings of some places together, ``AT_ONCE`` places at a time by their hashes."""
+        which = which[self.first[which] <= self.last[which]]
+        which = which[np.argsort(self.code[which], kind="stable")]
+        code, k = self.code[which], 0
+        while k < len(which):
+            j = int(np.searchsorted(code, code[min(k + AT_ONCE, len(which)) - 1], side="right"))  # whole hashes
+            yield Surroundings(self, which[k:j], cut)
             k = j
 
+    def take(self, answers: dict, cut: np.ndarray, round_: int, which: np.ndarray) -> None:
+        """Marks the strings around some places that go by a round's answers."""
+        for level, s in enumerate(self.surroundings(which, cut), round_):
+            found = np.zeros(len(s.lead), np.uint32)
+            for b, lo, hi in s.ranges():
+                if (data := answers.get((level, b))) is not None:
+                    found[lo:hi] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+            at, owner, (left, right) = self.at[s.which], self.owner[s.which], self.reach(s.which)
+            larger, found = owner > s.owner[s.group], found[s.group]
+            some = np.flatnonzero(larger | (found > 0))
+            at, left, right, larger, found = at[some], left[some], right[some], larger[some], found[some]
+            for j in range(PERIOD):
+                self.gone[at[(left >= j) & (right >= LENGTH - j) & (larger | (found >> np.uint32(j) & 1).astype(bool))] - j] = True
+
     def crowds(self) -> None:
         """The full strings around crowded places, sorted by hash and doc_id."""
-        which = np.flatnonzero(self.crowded)
+        which = np.flatnonzero(self.crowded & (self.first <= self.last))
         starts, owners, keys, more = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64, np.uint32))
         for k in range(0, len(which), COPIED):
             part = which[k : k + COPIED]
             x, c = _NUMBERS[self.around(part)], np.arange(PERIOD)
-            e, c = np.nonzero((self.left[part, None] >= BEFORE - c) & (self.right[part, None] >= LENGTH - (BEFORE - c)))
+            left, right = self.reach(part)
+            e, c = np.nonzero((left[:, None] >= BEFORE - c) & (right[:, None] >= LENGTH - (BEFORE - c)))
             start, one = np.unique(self.at[part][e] - BEFORE + c, return_index=True)  # a string may lie around several places
             e, c = e[one], c[one]
             starts.append(start)
@@ -219,22 +260,13 @@ class Shard:
     def covered(self, answers: dict, buckets: int, cut: np.ndarray) -> np.ndarray:
         """Which bytes go."""
         self.survive(answers, buckets)
-        gone = [np.zeros(0, np.int64)]
-        for level, s in enumerate(self.surroundings(), 5):
-            found = np.zeros(len(s.lead), np.uint32)
-            for b, lo, hi in s.ranges(cut):
-                if (data := answers.get((level, b))) is not None:
-                    found[lo:hi] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
-            at, owner, left, right = (x[s.which] for x in (self.at, self.owner, self.left, self.right))
-            larger, found = owner > s.owner[s.group], found[s.group]
-            for j in range(PERIOD):
-                gone.append(np.unique(at[(left >= j) & (right >= LENGTH - j) & (larger | (found >> np.uint32(j) & 1).astype(bool))] - j))
+        self.narrow(answers, cut)
+        self.take(answers, cut, SECOND_ROUND, np.flatnonzero(~self.crowded))
         self.crowds()
-        w = flags_of(self.w_key[self.w_first], buckets, answers, 4)[self.w_group] if len(self.w_key) else np.zeros(0, bool)
         if len(self.w_key):
-            w = w | (self.w_owner > self.w_owner[self.w_first][self.w_group])
-        gone.append(self.w_start[w])
-        starts = np.unique(np.concatenate(gone))
+            w = flags_of(self.w_key[self.w_first], buckets, answers, 4)[self.w_group] | (self.w_owner > self.w_owner[self.w_first][self.w_group])
+            self.gone[self.w_start[w]] = True
+        starts = np.flatnonzero(self.gone)
         step = np.zeros(len(self.raw) + 1, np.int8)
         if len(starts):
             apart = np.flatnonzero(np.diff(starts) > LENGTH)
@@ -244,30 +276,34 @@ class Shard:
 
 
 class Surroundings:
-    """Some places of a shard by their surroundings: equal ones are a group, led by the one of the smallest doc_id."""
-
-    def __init__(self, shard: Shard, which: np.ndarray):
-        around = shard.around(which)
-        sides = words_of(np.column_stack([around[:, :BEFORE], around[:, BEFORE + TUPLE :], shard.left[which], shard.right[which]]))
-        whole = mixed(sum((mixed(w + np.uint64(k)) * np.uint64(BASE) for k, w in enumerate(sides)), np.zeros(len(which), np.uint64)))
-        tuples = words_of(around[:, BEFORE : BEFORE + TUPLE])
-        order = np.lexsort((shard.owner[which], whole, *tuples[::-1]))
-        self.which = which[order]
-        first = np.zeros(len(order), bool)
-        first[:1] = True
-        for c in (*tuples, whole):
-            first[1:] |= c[order[1:]] != c[order[:-1]]
+    """Some places of a shard by range and surroundings: equal ones that meet are a group, with their smallest doc_id.
+
+    Places are ordered by range, the first bytes of the tuple, and a hash of the surroundings. Where a chance meeting
+    parts equal ones they are two groups, which costs a row and changes nothing.
+    """
+
+    def __init__(self, shard: Shard, which: np.ndarray, cut: np.ndarray):
+        around, (left, right) = shard.around(which), shard.reach(which)
+        words = np.column_stack([around, left, right, np.zeros((len(which), -(AROUND + 2) % 8), np.uint8)]).view(np.uint64)
+        whole = np.zeros(len(which), np.uint64)
+        for k in range(words.shape[1]):
+            whole = mixed(whole * np.uint64(BASE) + words[:, k])
+        tuples = np.ascontiguousarray(around[:, BEFORE : BEFORE + TUPLE])
+        range_ = np.searchsorted(cut, tuples.view(f"S{TUPLE}").reshape(-1), side="right")
+        order = np.argsort((tuples[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64) & np.uint64((1 << 64) - (1 << 24))) | whole >> np.uint64(40))
+        order = order[np.argsort(range_[order].astype(np.uint16 if len(cut) < 1 << 16 else np.int64), kind="stable")]
+        self.which, words = which[order], words[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (words[1:] != words[:-1]).any(1)
         self.group, self.lead = np.cumsum(first) - 1, order[first]
-        self.owner, self.left, self.right = (x[which[self.lead]] for x in (shard.owner, shard.left, shard.right))
-        self.tuples = np.ascontiguousarray(around[self.lead, BEFORE : BEFORE + TUPLE])
-        self.bytes = around[self.lead]
-
-    def ranges(self, cut: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(range, from, to) over the groups, which are sorted by tuple."""
-        at = np.searchsorted(cut, self.tuples.view(f"S{TUPLE}").reshape(-1), side="right")
-        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
+        self.owner = np.minimum.reduceat(shard.owner[self.which], np.flatnonzero(first))
+        self.left, self.right, self.bytes, self.range = left[self.lead], right[self.lead], around[self.lead], range_[self.lead]
+
+    def ranges(self) -> Iterator[tuple[int, int, int]]:
+        """(range, from, to) over the groups."""
+        edges = [0, *(np.flatnonzero(np.diff(self.range)) + 1).tolist(), len(self.range)]
         for lo, hi in zip(edges, edges[1:], strict=False):
-            yield int(at[lo]), lo, hi
+            yield int(self.range[lo]), lo, hi
 
 
 def remove_shared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", crowd: int = CROWD, **sizes: int) -> DataFrame:
@@ -287,12 +323,23 @@ def remove_shared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", c
         shards, sizes = table.column("shard").to_pylist(), table.column("n").to_pylist()
         return pa.concat_tables([answer(level, bucket, shards, sizes, counts[back] > least) for level, least in ((1, 1), (2, crowd))])
 
-    def surroundings(shard, uris, got):
+    def questions(shard, level, s):
+        """A level is a slice of a round; its number stands where keys stand elsewhere."""
+        level_of = np.full(len(s.lead), level, np.uint64)
+        return sent(shard, ((b, packed(level_of[lo:hi], s.left[lo:hi], s.right[lo:hi], s.bytes[lo:hi], s.owner[lo:hi]), hi - lo) for b, lo, hi in s.ranges()))
+
+    def first_round(shard, uris, got):
+        s = Shard(uris, mask)
+        s.survive(got, buckets)
+        for level, x in enumerate(s.surroundings(np.flatnonzero(s.aligned & ~s.crowded), shared_cut.value), FIRST_ROUND):
+            yield from questions(shard, level, x)
+
+    def second_round(shard, uris, got):
         s = Shard(uris, mask)
         s.survive(got, buckets)
-        for level, x in enumerate(s.surroundings(), 5):
-            level_of = np.full(len(x.lead), level, np.uint64)  # stands where keys stand elsewhere
-            yield from sent(shard, ((b, packed(level_of[lo:hi], x.left[lo:hi], x.right[lo:hi], x.bytes[lo:hi], x.owner[lo:hi]), hi - lo) for b, lo, hi in x.ranges(shared_cut.value)))
+        s.narrow(got, shared_cut.value)
+        for level, x in enumerate(s.surroundings(np.flatnonzero(~s.crowded), shared_cut.value), SECOND_ROUND):
+            yield from questions(shard, level, x)
         s.crowds()
         yield from send(shard, s.w_key[s.w_first], buckets, s.w_more[s.w_first], s.w_owner[s.w_first], first=buckets)
 
@@ -326,7 +373,8 @@ def remove_shared(docs: DataFrame, *, key: str = "doc_id", text: str = "text", c
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = written(each_shard(staged, tuples, QUESTION).groupBy("bucket").applyInArrow(tuple_answers, ANSWER), "suffixes-1")
-    found = found.union(written(each_shard(staged, surroundings, QUESTION, found).groupBy("bucket").applyInArrow(string_answers, ANSWER), "suffixes-2"))
+    for k, ask in enumerate((first_round, second_round), 2):
+        found = found.union(written(each_shard(staged, ask, QUESTION, found).groupBy("bucket").applyInArrow(string_answers, ANSWER), f"suffixes-{k}"))
     return each_shard(staged, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", found)
 
 
