@@ -18,7 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own
+    in local mode, and an error on a cluster, whose executors would write to disks that nobody else reads.
 
     A path without a scheme lies in the cluster's default file system, as for Spark itself.
     """
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(found)
     at = sc._jvm.org.apache.hadoop.fs.Path(found)
@@ -115,6 +118,17 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, sizes)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front where a column already has one, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

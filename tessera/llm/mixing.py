@@ -19,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, unused, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+#: Ranges that sources are numbered in.
+RANGES = 200
 #: Hexadecimal digits of the hash, and how many of them each histogram adds.
 DIGITS, STEP = 15, 3
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -39,30 +41,38 @@ def hash_digits(key: Column) -> Column:
     return F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, DIGITS)
 
 
+def weighted(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """Adds to each source its weight: they repeat over the sources in order, null last.
+
+    Sources are numbered within ranges, cut at up to ``RANGES`` of them, so that many of them aren't one task's; which
+    ones cut decides on balance alone.
+    """
+    cuts = sorted(r["source"] for r in sizes.where("source IS NOT NULL").orderBy(F.xxhash64("source"), "source").limit(RANGES).collect())
+    inside = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("source"))) if cuts else F.lit(0)
+    rows = sizes.withColumn("part", F.when(F.col("source").isNull(), F.lit(len(cuts) + 1)).otherwise(inside))
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row for each range
+    counts = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    weight = F.element_at(F.array(*[F.lit(x) for x in weights]), (place % len(weights) + 1).cast("int"))
+    return rows.join(counts, "part").withColumn("weight", weight).drop("part", "before")
+
+
 def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Targets by source: weights repeat over the sources in order, nothing exceeds ``most`` times its source's size.
+    """Targets by source: shares by weight of the whole budget; nothing exceeds ``most`` times its source's size.
 
-    Raising a common level L, each source gets min(weight * L, most * size); sources reach their bound in the order of
-    most * size / weight, so the level follows from running sums in that order.
+    At a common level L each source gets min(weight * L, most * size). The level starts without bounds and rises as those
+    that reach their bound give the excess to the others, a grouped sum each time, until no more reach theirs.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("weight", w).withColumn("bound", F.lit(most) * F.col("source_size"))
-    by_level = Window.orderBy((F.col("bound") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    s = s.select(
-        "source", "source_size", "weight", "bound",
-        (F.lit(share) * F.sum("source_size").over(everything)).alias("budget"),
-        F.coalesce(F.sum("bound").over(before), F.lit(0)).alias("spent"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("waiting"),
-    )
-    level = (F.col("budget") - F.col("spent")) / F.col("waiting")
-    # The level at the first source that it doesn't lift to its bound is the common one.
-    s = s.withColumn("open", level * F.col("weight") < F.col("bound")).withColumn("level", level)
-    found = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.col("spent"))).over(everything)
-    s = s.withColumn("common", found)
-    target = F.when(F.col("common").isNull() | (F.col("weight") * F.col("common") >= F.col("bound")), F.col("bound").cast("double")).otherwise(F.col("weight") * F.col("common"))
+    s = written(weighted(sizes, weights).withColumn("bound", F.lit(most) * F.col("source_size")), "mix-sources")
+    level, closed = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.col("weight") * F.lit(level) >= F.col("bound")
+        total, n, spent, waiting = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("bound"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == closed or not waiting:
+            break
+        level, closed = (share * total - spent) / waiting, n
+    bound = F.col("bound").cast("double")
+    target = bound if not waiting else F.when(F.col("weight") * F.lit(level) >= F.col("bound"), bound).otherwise(F.col("weight") * F.lit(level))
     return s.select("source", "source_size", target.alias("target"))
 
 
@@ -105,7 +115,10 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Adds to each document: _size, _source_size, _target (its source's) and _times, how often the mix takes it."""
+    """Adds to each document, last, _size, _source_size, _target (its source's) and _times, how often the mix takes it.
+
+    Where the input has a column of such a name it stays, and the added one gets more underscores in front.
+    """
     slim = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hash_digits(F.col(key)).alias("digits"))
     rows = written(slim, "mix-rows")
     want = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
@@ -113,17 +126,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     want = want.withColumn("times", times).withColumn("need", F.col("target") - F.col("times") * F.col("source_size"))
     state = thresholds(rows, want)
     drop_written(rows)
-    s = state.select(F.col("source").alias("__t_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("times").alias("__t_base"), F.col("below").alias("__t_below"))
-    out = docs.withColumn("_size", word_count(F.col(text))).withColumn("__t_digits", hash_digits(F.col(key)))
-    out = out.join(s, F.col(source).eqNullSafe(F.col("__t_source")))
-    times = F.col("__t_base") + (F.col("__t_digits") < F.col("__t_below")).cast("int")
-    return out.withColumn("_times", times).drop("__t_source", "__t_base", "__t_below", "__t_digits")
+    size, source_size, target, taken, of, base, below, digits = unused(docs.columns, "_size", "_source_size", "_target", "_times", "_of", "_base", "_below", "_digits")
+    s = state.select(F.col("source").alias(of), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("times").alias(base), F.col("below").alias(below))
+    out = docs.withColumns({size: word_count(F.col(text)), digits: hash_digits(F.col(key))}).join(s, F.col(source).eqNullSafe(F.col(of)))
+    return out.select(*docs.columns, size, source_size, target, (F.col(base) + (F.col(digits) < F.col(below)).cast("int")).alias(taken))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: mixes all documents to 150 % of their words, by weights 5, 2, 1."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = mix(docs)
+    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
 
 

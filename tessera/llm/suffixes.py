@@ -48,7 +48,7 @@ LENGTH, TUPLE, PERIOD = 50, 20, 31
 #: A perfect difference set modulo 31: every difference occurs once.
 COVER = (1, 5, 11, 24, 25, 27)
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-CROWD = 64
+CROWD = 512
 BEFORE = PERIOD - 1
 AROUND = BEFORE + LENGTH
 #: Places whose bytes are compared, and surroundings that are made at once.
