@@ -149,7 +149,11 @@ def test_op2_digests(spark, sf):
 
 
 def test_mixing(spark, docs, empty):
-    got = mixing.mix(clash(docs).drop("_size")).select("doc_id", "source", "_size", "_source_size", "_target", "_times").collect()
+    clashing = clash(docs).withColumns({c: F.lit("u") for c in ("_Times", "__t_source", "_of", "digits", "below", "_part")})
+    out = mixing.mix(clashing)
+    assert out.columns[:-4] == clashing.columns and out.columns[-1] == "__times"
+    assert out.select("_Times", "_size", "__t_source").distinct().collect() == [("u", "x", "u")]
+    got = out.toDF(*clashing.columns, "a_size", "_source_size", "_target", "a_times").select("doc_id", "source", F.col("a_size").alias("_size"), "_source_size", "_target", F.col("a_times").alias("_times")).collect()
     by = defaultdict(list)
     for r in got:
         assert r["_times"] in (0, 1, 2)
@@ -164,6 +168,23 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(single).first()["_times"] in (1, 2)
 
 
+def test_targets_of_many_sources(spark):
+    """Against the level found by trying each source's own bound."""
+    r = random.Random(4)
+    for n in (1, 2, 700):
+        names = sorted({"".join(r.choices("aBé中z", k=6)) for _ in range(n)})
+        sizes = {k: r.choice((0, 1, 5, 300, 10_000)) for k in [*names, None]}
+        got = {x["source"]: x["target"] for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate([*names, None])}
+        budget = 1.5 * sum(sizes.values())
+        reached = lambda level: sum(min(weight[k] * level, 2 * sizes[k]) for k in sizes)  # noqa: E731, B023
+        low, high = 0.0, 2.0 * max(sizes.values()) + 1
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if reached(middle) < budget else (low, middle)
+        assert all(got[k] == pytest.approx(min(weight[k] * high, 2 * sizes[k]), rel=1e-6, abs=1e-6) for k in sizes)
+
+
 def test_mixing_reruns_agree(docs):
     a, b = ({r["doc_id"]: r["_times"] for r in mixing.mix(d).collect()} for d in (docs, docs.repartition(3)))
     assert a == b
