@@ -15,6 +15,7 @@ gives an empty manifest, and other columns are ignored.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -28,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_path, ragged, slices, split_words, text_of
+from .common import file_system, fresh_path, slices, split_words, text_of
 
 MAGIC = b"TSPLANE1"
 BLOCK = 1 << 16
-#: Distinct words in each of the two generations whose ids a worker keeps. This bounds memory, not what is encoded.
-CACHED_WORDS = 250_000
+#: Words, and pieces of words, in each of the two generations whose ids a worker keeps. This bounds memory, not what is encoded.
+CACHED = 250_000
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
@@ -142,73 +143,97 @@ LETTERS = byte_letters()
 
 
 class WordEncoder:
-    """Encodes texts by their words: tokens never span white space, so each distinct word is encoded once.
+    """Encodes texts by their words, where the vocabulary's tokens never span white space.
 
-    A word of characters up to U+017F (the dotted capital I aside) has the same lower case and pieces under Python's
-    rules as under the tokenizer's, so it is cut here by the tokenizer's own pattern and the pieces go to its merges;
-    any other word, or one that holds a special token, goes through the whole tokenizer.
+    Words that weren't met lately are cut into pieces in one pass, and each distinct piece goes through the model's merges
+    once. A word of characters up to U+017F (the dotted capital I aside) has the same lower case and pieces under
+    Python's rules as under the tokenizer's; any other word, or one that holds a special token, goes through the whole
+    tokenizer. So do whole texts, where the file's normaliser and splitter aren't the ones that are coded here.
     """
 
     PLAIN = r"[\x00-įı-ſ]*"
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: What stands in the file of a vocabulary that is cut like this.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLITTERS = [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
     def __init__(self, path: str):
         import regex  # here, so that whoever only reads shards needn't load either library
         from tokenizers import Tokenizer
 
-        self.plain, self.cut = regex.compile(self.PLAIN).fullmatch, regex.compile(self.PIECES).findall
+        self.plain, self.cut = regex.compile(self.PLAIN).fullmatch, regex.compile(rf"{self.PIECES}|\n").findall
         self.whole = Tokenizer.from_file(path)
+        shape = json.loads(self.whole.to_str())
+        self.by_words = (shape["normalizer"] or {}).get("normalizers") == self.NORMALIZERS and (shape["pre_tokenizer"] or {}).get("pretokenizers") == self.SPLITTERS
+        self.by_words &= shape["model"]["type"] == "BPE" and not shape["model"].get("dropout") and not shape["post_processor"]
+        self.by_words &= all(not t[k] for t in shape["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.merge = self.whole.model.tokenize
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers; words met lately
-        self.old: dict[str, bytes] = {}  # and the generation before
-        self.parts: dict[str, bytes] = {}
-
-    def _piece(self, p: str) -> bytes:
-        if (found := self.parts.get(p)) is None:
-            letters = p if p.isascii() and p.isprintable() else "".join([LETTERS[b] for b in p.encode()])
-            found = self.parts[p] = array("I", [t.id for t in self.merge(letters)]).tobytes()
-        return found
+        self.words, self.old_words = {}, {}  # ids as 32-bit numbers, of words met lately and of the generation before
+        self.parts, self.old_parts = {"\n": b""}, {}  # and of pieces
+
+    def _pieces(self, pieces: set[str]) -> None:
+        """Learns pieces."""
+        if len(self.parts) > CACHED:
+            self.parts, self.old_parts = {"\n": b""}, self.parts
+        known, old, merge = self.parts, self.old_parts.get, self.merge
+        for p in pieces.difference(known):
+            if (found := old(p)) is None:
+                letters = p if p.isascii() and p.isprintable() else "".join([LETTERS[b] for b in p.encode()])
+                found = array("I", [t.id for t in merge(letters)]).tobytes()
+            known[p] = found
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        odd = []
-        for w in words:
-            if self.plain(w) and not any(s in w for s in self.special):
-                low = w.lower()
-                pieces = [low] if low.isascii() and low.isalpha() else self.cut(low)
-                self.known[w] = self._piece(pieces[0]) if len(pieces) == 1 else b"".join([self._piece(p) for p in pieces])
-            else:
-                odd.append(w)
-        for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+        """Learns words, none of which holds white space."""
+        odd = [w for w in words if not w.isascii() and not self.plain(w)]
+        joined = "\n".join(words)
+        if any(t in joined for t in self.special):
+            odd += [w for w in words if any(t in w for t in self.special)]
+        if odd:
+            self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True))
+            words = [w for w in words if w not in self.words]
+            joined = "\n".join(words)
+        if not words:
+            return
+        pieces = self.cut(f"{joined.lower()}\n")
+        self._pieces(set(pieces))
+        ids = list(map(self.parts.__getitem__, pieces))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        data, ends = b"".join(ids), np.cumsum(sizes)[sizes == 0].tolist()  # only the ends of words have no ids
+        self.words.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has; ``end_id`` ends each."""
+        if not self.by_words:
+            end = [] if end_id is None else [end_id]
+            rows = [np.array(e.ids + end, np.uint32) for e in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *rows]), np.array([len(x) for x in rows], np.int64)
         distinct, index, ends = split_words(texts)
         words = distinct.to_pylist()
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.old = {}, self.known
-        known, missing = self.known, []
+        if len(self.words) > CACHED:
+            self.words, self.old_words = {}, self.words
+        known, missing = self.words, []
         for w in words:
             if w not in known:
-                if (found := self.old.get(w)) is None:
+                if (found := self.old_words.get(w)) is None:
                     missing.append(w)
                 else:
                     known[w] = found
-        self._learn(missing)
-        ids = [known[w] for w in words]
+        if missing:
+            self._learn(missing)
+        ids = list(map(known.__getitem__, words))
         if end_id is not None:  # the end of a text is one more word, the last
             index = np.insert(index, ends[1:], len(ids))
             ends = ends + np.arange(len(ends))
             ids.append(array("I", [end_id]).tobytes())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes, dtype=np.int32) - sizes
         per_word = sizes[index]
-        row = flat[ragged((np.cumsum(sizes) - sizes)[index], per_word)] if len(index) else np.zeros(0, np.uint32)
-        upto = np.concatenate([[0], np.cumsum(per_word)])
-        return row, np.diff(upto[ends])
+        upto = np.cumsum(per_word)
+        total = int(upto[-1]) if len(upto) else 0
+        place = np.repeat((starts[index] - upto + per_word).astype(np.int32), per_word)  # ids of a slice of texts: fewer than 2**31
+        place += np.arange(total, dtype=np.int32)
+        return flat[place], np.diff(np.concatenate([[0], upto])[ends])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
