@@ -10,6 +10,10 @@ among menus, headers, footers, sidebars, notices, adverts, forms and reader comm
 label of each block known. Training is the same each time and takes a few seconds on the driver; the weights, some
 thousands of numbers, go to the tasks. Pages are read whole and nothing is shuffled.
 
+Words of buttons and formulas inside a paragraph are text; a block that is a button isn't. A head without an end tag ends
+where something stands that no head holds; a hidden element without one hides nothing. Reading takes time in proportion
+to the page, however many elements stay open.
+
 Null and empty html give the empty text, as do pages without any block labelled main; repeated rows come out as often as
 they came in; an empty table gives an empty result; other columns are ignored.
 """
@@ -19,6 +23,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,10 +37,12 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Tags whose content is never text of a page.
-HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select option button datalist textarea".split())
+HIDDEN = frozenset("script style noscript template head title iframe object svg canvas audio video select option datalist textarea".split())
+#: Tags that may stand in a head; any other opening tag, and any text, ends a head that has no end tag.
+IN_HEAD = frozenset("head title meta link base style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that stand inside a line of text; all others part blocks.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img button math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 #: Tags that an opening tag of the first kind closes, unless one of the last kind stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -63,19 +70,39 @@ def hints(names: str) -> tuple[str, ...]:
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # from the root to the block
+    tag: str  # the nearest element that parts blocks
+    inside: frozenset[str]  # the other such elements above it
     hints: frozenset[str]  # of all elements above
     near: frozenset[str]  # of the nearest element with any
     linked: int  # characters inside links
+    pressed: int  # characters inside buttons
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element, and what it and those above it say of the blocks inside; unchanged parts are shared."""
+
+    name: str
+    tag: str
+    inside: frozenset[str]
+    hints: frozenset[str]
+    near: frozenset[str]
+
+
+_NOTHING: frozenset[str] = frozenset()
+_ENDS = re.compile(r"</([a-zA-Z]+)")
 
 
 class BlockParser(HTMLParser):
-    """Collects leaf blocks."""
+    """Collects leaf blocks, in time that grows with the page however many elements stay open."""
 
-    def __init__(self):
+    def __init__(self, ends: Counter):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.hidden = self.links = self.linked = 0
+        self.open: list[_Open] = []
+        self.parting: list[int] = []  # places in ``open`` of the elements that part blocks
+        self.count: Counter = Counter()  # open elements by tag
+        self.ends = ends  # end tags still to come
+        self.hidden = self.linked = self.pressed = 0
         self.parts: list[str] = []
         self.blocks: list[Block] = []
 
@@ -83,60 +110,90 @@ class BlockParser(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                marks = [h for _, h in self.open if h]
-                self.blocks.append(Block(text, tuple(t for t, _ in self.open if t not in INLINE), frozenset(x for h in marks for x in h), frozenset(marks[-1]) if marks else frozenset(), self.linked))
-            self.parts, self.linked = [], 0
+                top = self.open[-1] if self.open else _Open("", "none", _NOTHING, _NOTHING, _NOTHING)
+                self.blocks.append(Block(text, top.tag, top.inside, top.hints, top.near, self.linked, self.pressed))
+            self.parts, self.linked, self.pressed = [], 0, 0
 
     def _close_to(self, k: int) -> None:
-        for tag, _ in self.open[k:]:
-            self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
+        for e in self.open[k:]:
+            self.hidden -= e.name in HIDDEN
+            self.count[e.name] -= 1
         del self.open[k:]
+        while self.parting and self.parting[-1] >= k:
+            self.parting.pop()
+
+    def _open(self, tag: str, own: tuple[str, ...]) -> None:
+        up = self.open[-1] if self.open else _Open("", "none", _NOTHING, _NOTHING, _NOTHING)
+        parts = tag not in INLINE
+        inside = up.inside | {up.tag} if parts and up.tag != "none" and up.tag not in up.inside else up.inside
+        marked = up.hints if up.hints.issuperset(own) else up.hints.union(own)
+        if parts:
+            self.parting.append(len(self.open))
+        self.open.append(_Open(tag, tag if parts else up.tag, inside, marked, frozenset(own) if own else up.near))
+        self.count[tag] += 1
+        self.hidden += tag in HIDDEN
+
+    def _end_head(self) -> None:
+        if self.count["head"]:
+            self._close_to(next(k for k, e in enumerate(self.open) if e.name == "head"))
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             if tag not in INLINE:
                 self.flush()
             return
+        if tag in HIDDEN and tag != "head" and not self.ends[tag]:
+            return  # without an end it would hide the rest of the page
         if tag not in INLINE:
             self.flush()
-            ends, walls = CLOSES.get(tag, ({"p"}, {"body"}))
-            for k in range(len(self.open) - 1, -1, -1):
-                t = self.open[k][0]
+            self._imply_end(tag)
+        names = " ".join(v.lower() for n, v in attrs if n in ("class", "id", "role") and v)
+        self._open(tag, hints(names) if names else ())
+
+    def _imply_end(self, tag: str) -> None:
+        """Closes what an opening tag closes: a paragraph right above, or the item or cell before."""
+        ends, walls = CLOSES.get(tag, ({"p"}, None))
+        if any(self.count[t] for t in ends):
+            for k in reversed(self.parting):
+                t = self.open[k].name
                 if t in ends:
                     self._close_to(k)
+                if t in ends or walls is None or t in walls:
                     break
-                if t in walls or (tag not in CLOSES and t not in INLINE):
-                    break
-        names = " ".join(v.lower() for n, v in attrs if n in ("class", "id", "role") and v)
-        self.open.append((tag, hints(names) if names else ()))
-        self.hidden += tag in HIDDEN
-        self.links += tag == "a"
 
     def handle_endtag(self, tag):
+        self.ends[tag] -= 1
         if tag in VOID:
             return
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._close_to(k)
-                break
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                break
+        if self.count[tag]:
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k].name == tag:
+                    self._close_to(k)
+                    break
+                if tag in INLINE and self.open[k].name not in INLINE:
+                    break
 
     def handle_data(self, data):
+        if self.count["head"] and self.open[-1].name == "head" and data.strip():
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
-            if self.links:
+            if self.count["a"]:
                 self.linked += len(data)
+            if self.count["button"]:
+                self.pressed += len(data)
 
 
 def blocks_of(html: str | None) -> list[Block]:
-    parser = BlockParser()
-    parser.feed(html or "")
+    html = html or ""
+    parser = BlockParser(Counter(m[1].lower() for m in _ENDS.finditer(html)))
+    parser.feed(html)
     parser.close()
     parser.flush()
     return parser.blocks
@@ -154,10 +211,11 @@ def features(blocks: list[Block]) -> list[list[str]]:
         dense = min(int(4 * b.linked / max(n, 1)), 4)
         last = b.text[-1]
         shut = "stop" if last in ".!?\"'”’»)…" else "colon" if last in ":;," else "open"
-        tag = b.tags[-1] if b.tags else "none"
-        kind = "h" if tag in HEADINGS else tag
+        kind = "h" if b.tag in HEADINGS else b.tag
         x = ["bias", f"tag={kind}", f"size={size}", f"links={dense}", f"shut={shut}", f"size={size},links={dense}", f"words={min(words, 12)}"]
-        x += [f"in={t}" for t in sorted(set(b.tags[:-1]))]
+        x += [f"in={t}" for t in sorted(b.inside)]
+        if 2 * b.pressed > n:
+            x.append("pressed")
         x += [f"hint={h}" for h in sorted(b.hints)] + [f"near={h}" for h in sorted(b.near)]
         if not b.hints:
             x.append("hint=none")
@@ -293,7 +351,7 @@ class PageMaker:
         for _ in range(r.choice((1, 1, 2, 4, 8, 14))):
             kind = r.random()
             if kind < 0.66:
-                put(r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p><em>{}</em></p>", "<div>{}</div>")), self.paragraph())
+                put(r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p><em>{}</em></p>", "<div>{}</div>", "{}<hr>")), self.paragraph())
             elif kind < 0.76:
                 put("<h2>{}</h2>", self.words(1, 7).capitalize())
             elif kind < 0.86:
@@ -306,6 +364,10 @@ class PageMaker:
             elif kind < 0.96:
                 cells = [self.words(1, 4) for _ in range(4)]
                 put("<table><tr><td>{}</td><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>", *cells)
+            elif kind < 0.98:  # a button in a sentence is text, one on its own isn't
+                a, b = self.sentence(), self.words(1, 2)
+                out.append(f"<p>{a} <button>{b}</button> {a}</p><div><button>{self.words(1, 2)}</button></div>")
+                texts.append(f"{a} {b} {a}")
             else:
                 put("<p>{}</p>", self.words(1, 3).capitalize() + ".")
         return "".join(out), texts
@@ -320,7 +382,10 @@ class PageMaker:
         after = [part[k] for k in ("reply", "side", "share", "note", "foot", "advert", "menu") if r.random() < 0.4]
         r.shuffle(before)
         after = [x for x in after if x not in before]
-        return f"<html><head><title>{self.words(2, 6)}</title></head><body>{''.join(before)}{shell.format(body)}{''.join(after)}</body></html>", set(texts)
+        inner = f"{''.join(before)}{shell.format(body)}{''.join(after)}"
+        if r.random() < 0.15:  # the tags around a page may be left out
+            return inner, set(texts)
+        return f"<html><head><title>{self.words(2, 6)}</title></head><body>{inner}</body></html>", set(texts)
 
 
 def labelled_pages(n: int, seed: int) -> list[tuple[list[list[str]], list[int]]]:

@@ -226,6 +226,50 @@ def test_html_edges(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def plain_article(html):
+    """The article element's blocks, by patterns that fit the test tables alone."""
+    import html as entities
+    import re
+
+    inner = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|table|tr|td)\b[^>]*>", inner.replace("<br>", " "))
+    texts = (" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks)
+    return "\n".join(t for t in texts if t)
+
+
+def test_op4_gives_the_articles(spark):
+    """All pages of a table whose layout the training pages don't know."""
+    rows = queries.queries()["op4_html_crf"](spark, "/root/testdata/sf0.01").collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    assert [r["page_id"] for r in rows if r["text"] != plain_article(pages[r["page_id"]])] == []
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+HAND_MADE = [
+    ("<html><head><title>t</title><body><article><h1>Of rivers</h1><p>Rivers run to the sea, and the sea isn't full.</p></article>", "Of rivers\nRivers run to the sea, and the sea isn't full."),
+    ("<head><title>t</title>Words of a page that has no body tag at all, only text.", "Words of a page that has no body tag at all, only text."),
+    ("<body><article><noscript><img src=x><p>A first paragraph of some length stands here.</p><p>And a second one, no shorter.</p></article>", "A first paragraph of some length stands here.\nAnd a second one, no shorter."),
+    ("<article><p>Press <button>Go</button> to start the engine, and wait.</p><p>The area is <math><mi>a</mi><mo>=</mo><mi>b</mi></math> for all of them.</p></article>", "Press Go to start the engine, and wait.\nThe area is a=b for all of them."),
+    ("<div id=top-nav><a href=/a>Home</a> <a href=/b>News</a></div><main><h2>Bread</h2><p>Flour, water, salt and time.<ul><li>Mix it well by hand.<li>Bake it for an hour.</ul></main><footer>© 2020 Bakers</footer>", "Bread\nFlour, water, salt and time.\nMix it well by hand.\nBake it for an hour."),
+]
+
+
+@pytest.mark.parametrize("html, want", HAND_MADE)
+def test_hand_made_pages(html, want):
+    assert html_extract.main_text(html, html_extract.trained()) == want
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    for tag in ("font", "div", "b", "li", "svg", "td", "noscript"):
+        page = "<article>" + "".join(f"<{tag}>word {i}" for i in range(100_000))
+        start = time.process_time()
+        assert "word 7" in " ".join(b.text for b in html_extract.blocks_of(page))
+        assert time.process_time() - start < 10
+
+
 # 5 and 6
 
 
