@@ -3,7 +3,8 @@
 The test items' word windows become a table of distinct windows with a 64-bit hash each. The documents' windows are
 hashed the same way and meet it in a hash join; hits are verified word by word. Where the window table is small (its
 size is measured first) it is broadcast, so no text is shuffled: only hits and one slim row per document are. Beyond
-that, documents' windows are shuffled with a second hash in place of the words.
+that, hashes are shuffled, and the words of those documents that were hit by hash are fetched to verify. The result is
+the same either way.
 
 Null or empty texts and items have no words and no windows; repeated rows come out as often as they came in, rows with
 equal id and text alike; an empty benchmark hits nothing; a null item_id counts as one item and is written as the empty
@@ -61,7 +62,7 @@ def hits(docs: DataFrame, windows: DataFrame, *, key: str = "doc_id", text: str
     small = windows.count() <= most
 
     def rows_of(make) -> Column:
-        blocks = [F.coalesce(_windows(F.col("w"), F.col("n"), s, make), F.array().cast("array<bigint>" if small else "array<struct<hash:bigint,more:bigint>>")) for s in sizes]
+        blocks = [F.coalesce(_windows(F.col("w"), F.col("n"), s, make), F.array().cast("array<bigint>")) for s in sizes]
         return F.concat(*blocks) if len(blocks) > 1 else blocks[0]
 
     if not sizes:
@@ -71,14 +72,13 @@ def hits(docs: DataFrame, windows: DataFrame, *, key: str = "doc_id", text: str
     for s in sizes:
         start = F.when(F.col("size") == s, F.col("at") - before).otherwise(start)
         before = before + F.greatest(F.col("n") - s + 1, F.lit(0))
-    if small:
-        found = slim.select("id", "tie", "n", "w", F.posexplode(rows_of(lambda s: F.xxhash64(s))).alias("at", "hash"))
-        found = found.join(F.broadcast(windows), "hash").withColumn("start", start)
-        found = found.where((F.col("start") >= 0) & (F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")) == F.col("win")))
-    else:
-        found = slim.select("id", "tie", "n", F.posexplode(rows_of(lambda s: F.struct(F.xxhash64(s).alias("hash"), F.xxhash64(F.lit(1), s).alias("more")))).alias("at", "h"))
-        found = found.select("id", "tie", "n", "at", "h.*")
-        found = found.join(windows.withColumn("more", F.xxhash64(F.lit(1), "win")).drop("win"), ["hash", "more"]).withColumn("start", start).where("start >= 0")
+    own = ["w"] if small else []
+    found = slim.select("id", "tie", "n", *own, F.posexplode(rows_of(lambda s: F.xxhash64(s))).alias("at", "hash"))
+    found = found.join(F.broadcast(windows) if small else windows, "hash").withColumn("start", start).where("start >= 0")
+    if not small:
+        texts = slim.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "w").dropDuplicates(["_id", "_tie"])
+        found = found.join(texts, F.col("id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie")))
+    found = found.where(F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")) == F.col("win"))
     return found.groupBy("id", "tie").agg(F.collect_set(F.struct("start", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
 
