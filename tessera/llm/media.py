@@ -1,9 +1,10 @@
 """Operator 2: media columns in archives, and a data source that reads them by byte range.
 
 An archive holds members one after the other (here grey PNG images of 8-bit samples, 64 to a row), then an index of
-their keys, offsets and sizes, then a footer. ``MediaArchive`` plans partitions as byte ranges over all archives of a
-directory: a member belongs to the range in which it starts. A partition reads its members in runs of a few MB, streams
-them as Arrow batches, and where a run or a member can't be read or decoded, it reads that member again by its own
+their keys, offsets and sizes in blocks of ``INDEX_ROWS``, then a directory of the blocks and a footer. ``MediaArchive``
+plans partitions as byte ranges over all archives of a directory: a member belongs to the range in which it starts. Ranges
+grow with the whole so that there are ``MOST_RANGES`` at most, and one may span several archives. A partition reads the
+directory and the blocks of the index that its range touches, reads its members in runs of a few MB, streams them as Arrow batches, and where a run or a member can't be read or decoded, it reads that member again by its own
 offset, a few times, before the read fails with the archive, key and offset in the message.
 
 Tasks write archives of their own name; only those in the manifest count, so lost or repeated tasks do no harm.
@@ -31,7 +32,8 @@ from .common import file_system, fresh_path, slices, text_of
 MAGIC = b"TSMEDIA1"
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
-RANGE_BYTES = 8 << 20
+#: Least bytes of a range, most ranges that are planned, and members in a block of the index.
+RANGE_BYTES, MOST_RANGES, INDEX_ROWS = 8 << 20, 100_000, 4096
 RUN_BYTES = 4 << 20
 RETRIES = 3
 MANIFEST = "path string, n_members long, data_bytes long"
@@ -82,6 +84,18 @@ def average_hash(payload: bytes) -> str:
     return np.packbits(means > means.mean()).tobytes().hex()
 
 
+def index_of(rows: list[tuple], at: int) -> bytes:
+    """The blocks of the index of an archive whose members end at byte ``at``, their directory, and the footer."""
+    out, directory = io.BytesIO(), []
+    for k in range(0, len(rows), INDEX_ROWS):
+        start = out.tell()
+        table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows[k : k + INDEX_ROWS], strict=True)], schema=INDEX)
+        with pa.ipc.new_stream(out, INDEX, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        directory.append((rows[k][1], at + start, out.tell() - start))
+    return out.getvalue() + np.array(directory, "<i8").tobytes() + struct.pack("<QQ", at + out.tell(), len(directory)) + MAGIC
+
+
 def write_media_archives(docs: DataFrame, out: str | None = None, *, key: str = "doc_id", text: str = "text", level: int = 6) -> str:
     """Stores each text's padded bytes as an image member of an archive under ``out``; returns ``out``."""
     out = out or fresh_path(docs.sparkSession, "media")
@@ -102,11 +116,7 @@ def write_media_archives(docs: DataFrame, out: str | None = None, *, key: str =
                     rows.append((k, at, len(member), len(raw)))
                     at += len(member)
         if sink is not None:
-            table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=INDEX)
-            buf = io.BytesIO()
-            with pa.ipc.new_stream(buf, INDEX, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-            sink.write(buf.getvalue() + struct.pack("<QQ", at, len(buf.getvalue())) + MAGIC)
+            sink.write(index_of(rows, at))
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{out}/archives/{name}"], "n_members": pa.array([len(rows)], pa.int64()), "data_bytes": pa.array([at], pa.int64())})
 
@@ -116,28 +126,47 @@ def write_media_archives(docs: DataFrame, out: str | None = None, *, key: str =
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        self.parts = parts  # path, start and end
 
 
 class _MediaReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.step = int(options.get("rangeBytes", RANGE_BYTES))
+        self.most = int(options.get("mostRanges", MOST_RANGES))
         self.retries = int(options.get("retries", RETRIES))
 
     def partitions(self):
         import pyarrow.dataset as ds
 
         files, base = file_system(f"{self.path}/manifest")
-        rows = ds.dataset(base, filesystem=files, format="parquet").to_table().to_pylist()
-        return [_Range(r["path"], a, min(a + self.step, r["data_bytes"])) for r in sorted(rows, key=lambda r: r["path"]) for a in range(0, r["data_bytes"], self.step)] or [_Range("", 0, 0)]
+        table = ds.dataset(base, filesystem=files, format="parquet").to_table(columns=["path", "data_bytes"]).sort_by("path")
+        sizes = np.asarray(table.column("data_bytes"))
+        return self._ranges(table.column("path"), sizes, max(self.step, -(-int(sizes.sum()) // self.most))) or [_Range([])]
+
+    @staticmethod
+    def _ranges(paths, sizes, step):
+        """Ranges of ``step`` bytes over all archives in a row."""
+        out, parts, room = [], [], step
+        for path, size in zip(paths, sizes.tolist(), strict=True):
+            at = 0
+            while at < size:
+                n = min(room, size - at)
+                parts.append((str(path), at, at + n))
+                at, room = at + n, room - n
+                if not room:
+                    out.append(_Range(parts))
+                    parts, room = [], step
+        return [*out, _Range(parts)] if parts else out
 
     def read(self, partition):
-        if not partition.path:
-            return
-        files, at = file_system(partition.path)
-        for run in self._runs(self._index(files, at), partition):
+        for path, start, end in partition.parts:
+            yield from self._read(path, start, end)
+
+    def _read(self, path, start, end):
+        files, at = file_system(path)
+        for run in self._runs(self._index(files, at, start, end), start, end):
             first, last = run[0], run[-1]
             try:
                 with files.open_input_file(at) as source:
@@ -152,19 +181,23 @@ class _MediaReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["key", "n_bytes", "media", "payload"])
 
     @staticmethod
-    def _index(files, at):
+    def _index(files, at, start, end):
+        """The blocks of the index with the members that start in a range."""
         with files.open_input_file(at) as source:
-            end = source.size()
-            tail = source.read_at(24, end - 24)
+            size = source.size()
+            tail = source.read_at(24, size - 24)
             if tail[16:] != MAGIC:
                 raise ValueError(f"{at} is not a media archive, or cut short")
-            start, n = struct.unpack("<QQ", tail[:16])
-            return pa.ipc.open_stream(pa.BufferReader(source.read_at(n, start))).read_all()
+            place, n = struct.unpack("<QQ", tail[:16])
+            blocks = np.frombuffer(source.read_at(24 * n, place), "<i8").reshape(n, 3)
+            lo = max(int(np.searchsorted(blocks[:, 0], start, side="right")) - 1, 0)
+            hi = int(np.searchsorted(blocks[:, 0], end))
+            return pa.concat_tables([INDEX.empty_table(), *(pa.ipc.open_stream(pa.BufferReader(source.read_at(b[2], b[1]))).read_all() for b in blocks[lo:hi].tolist())])
 
     @staticmethod
-    def _runs(index, partition):
+    def _runs(index, start, end):
         offsets = np.asarray(index.column("offset"))
-        lo, hi = np.searchsorted(offsets, [partition.start, partition.end])
+        lo, hi = np.searchsorted(offsets, [start, end])
         run, held = [], 0
         for m in index.slice(lo, hi - lo).to_pylist():
             if run and held + m["size"] > RUN_BYTES:

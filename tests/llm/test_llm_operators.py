@@ -112,9 +112,45 @@ def test_png_round_trip():
         media.decode_png(bytes(bad))
 
 
-def test_media_archives(spark, docs, empty):
+def test_media_ranges():
+    """Ranges cover every archive once, in equal shares, and may span several."""
+    got = [r.parts for r in media._MediaReader._ranges(["a", "b", "c"], np.array([10, 3, 9]), 8)]
+    assert got == [[("a", 0, 8)], [("a", 8, 10), ("b", 0, 3), ("c", 0, 3)], [("c", 3, 9)]]
+
+
+def test_index_blocks(monkeypatch, tmp_path):
+    from pyarrow import fs
+
+    monkeypatch.setattr(media, "INDEX_ROWS", 4)
+    rows, at = [], 8
+    for k in range(11):
+        rows.append((k, at, 10 + k, k))
+        at += 10 + k
+    (tmp_path / "x").write_bytes(b"." * at + media.index_of(rows, at))
+    for start, end in ((0, 9), (0, at), (40, 41), (100, 160), (at - 1, at)):
+        index = media._MediaReader._index(fs.LocalFileSystem(), str(tmp_path / "x"), start, end)
+        got = [m["key"] for run in media._MediaReader._runs(index, start, end) for m in run]
+        assert got == [k for k, o, *_ in rows if start <= o < end]
+
+
+def test_op2_whole_rows(spark):
+    """Every column of the contract, with repeated rows and a null key."""
+    df = spark.createDataFrame([(1, "aé"), (1, "aé"), (None, "x" * 200), (2, None)], "doc_id long, text string")
+    rows = media.read_media_archives(spark, media.write_media_archives(df)).mapInArrow(media.digests, media.DIGEST).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["payload_bytes"]) for r in rows) == [(0, 200, 256), (1, 3, 64), (1, 3, 64), (2, 0, 64)]
+    for r in rows:
+        text = {1: "aé", 2: "", None: "x" * 200}[r["doc_id"]]
+        payload = text.encode().ljust(r["payload_bytes"], b"\0")
+        stored = media.encode_png(payload)
+        assert (r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        columns = [sum(payload[c::64]) / (len(payload) // 64) for c in range(64)]
+        assert r["feature"] == f"{sum((x > sum(columns) / 64) << (63 - k) for k, x in enumerate(columns)):016x}"
+
+
+def test_media_archives(spark, docs, empty, monkeypatch):
     path = media.write_media_archives(clash(docs))
-    for options in ({}, {"rangeBytes": "700"}):
+    monkeypatch.setattr(media, "INDEX_ROWS", 7)
+    for options in ({}, {"rangeBytes": "700"}, {"rangeBytes": "700", "mostRanges": "3"}):
         got = {r["key"]: r for r in media.read_media_archives(spark, path, **options).collect()}
         want = {d: media.pad((t or "").encode()) for d, t, *_ in rows_of()}
         assert {k: bytes(r["payload"]) for k, r in got.items()} == want
@@ -407,6 +443,11 @@ def test_decontamination(spark, docs, empty, same, duck):
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, x in plain.items() if not x[1]}
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}
     assert all(len(plain_words(cut[d])) == x[0] - x[1] for d, x in plain.items())
+    twice = docs.where("doc_id = 20").union(docs.where("doc_id = 20")).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("A b. "), "text"))
+    for most in (decontaminate.BROADCAST_WINDOWS, 0):
+        windows = common.written(decontaminate.benchmark_windows(bench), "test-windows")
+        assert [(r["id"], len(r["spans"])) for r in decontaminate.hits(twice, windows, most=most).collect()] == [(None, len(decontaminate.hits(docs.where("doc_id = 20"), windows).first()["spans"]))]
+    assert [(r["id"], r["n_hit"] > 0) for r in decontaminate.contamination(twice, bench).collect()] == [(None, True)] * 2
     none = bench.where("false")
     assert decontaminate.drop_contaminated(docs, none).count() == docs.count()
     assert decontaminate.contamination(empty, bench).count() == 0
