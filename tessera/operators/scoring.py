@@ -63,22 +63,32 @@ def calibrate(df: DataFrame, columns: tuple[str, str] = ("length", "signs"), lea
     return spark.createDataFrame([(n, round(a / total, 4), round(b / total, 4))], "n long, first double, second double")
 
 
+MATCH = "array<struct<gold_start:long,gold_stop:long,found_start:long,found_stop:long,shared:long>>"
+
+
+def _matched(gold: pd.Series, found: pd.Series) -> pd.Series:
+    """Pairs of the spans of each window, both as start * 2**32 + end, largest overlap first, each span once."""
+    spans = lambda packed: [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in sorted(packed)]
+
+    def one(a, b):
+        a, b, used, out = spans(a), spans(b), set(), []
+        pairs = [(-shared, x, y) for x in a for y in b if (shared := min(x[1], y[1]) - max(x[0], y[0])) > 0]
+        for less, x, y in sorted(pairs):
+            if (0, x) not in used and (1, y) not in used:
+                used |= {(0, x), (1, y)}
+                out.append((*x, *y, -less))
+        return [dict(zip(("gold_start", "gold_stop", "found_start", "found_stop", "shared"), row, strict=True)) for row in out]
+
+    return pd.Series([one(a, b) for a, b in zip(gold, found, strict=True)])
+
+
 def greedy_matches(gold: DataFrame, found: DataFrame, window: str) -> DataFrame:
     """window, gold and found starts and ends, shared: pairs of a window matched one to one, largest overlap first.
 
-    A window's spans are a bounded number; the choice depends on earlier ones, so a window is one fold.
+    A window's spans are a bounded number; the choice depends on earlier ones, so it is made on a window's two lists.
     """
-    rows = gold.select(window, F.lit(0).alias("side"), "start", "end").union(found.select(window, F.lit(1), "start", "end"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = [(s, e) for s, e in pdf[pdf.side == 0][["start", "end"]].drop_duplicates().sort_values(["start", "end"]).itertuples(index=False)]
-        b = [(s, e) for s, e in pdf[pdf.side == 1][["start", "end"]].drop_duplicates().sort_values(["start", "end"]).itertuples(index=False)]
-        pairs = sorted((-(min(x[1], y[1]) - max(x[0], y[0])), x, y) for x in a for y in b if min(x[1], y[1]) > max(x[0], y[0]))
-        used, out = set(), []
-        for shared, x, y in pairs:
-            if ("a", x) not in used and ("b", y) not in used:
-                used |= {("a", x), ("b", y)}
-                out.append((pdf[window].iloc[0], *x, *y, -shared))
-        return pd.DataFrame(out, columns=["window", "gold_start", "gold_stop", "found_start", "found_stop", "shared"]).astype("int64")
-
-    return rows.groupBy(window).applyInPandas(fold, "window long, gold_start long, gold_stop long, found_start long, found_stop long, shared long")
+    packed = (F.col("start") * F.lit(1 << 32) + F.col("end")).alias("span")
+    rows = gold.select(window, F.lit(0).alias("side"), packed).union(found.select(window, F.lit(1), packed))
+    side = lambda k: F.collect_set(F.when(F.col("side") == k, F.col("span")))
+    both = rows.groupBy(window).agg(side(0).alias("gold"), side(1).alias("found")).where((F.size("gold") > 0) & (F.size("found") > 0))
+    return both.select(F.col(window).alias("window"), F.inline(F.pandas_udf(_matched, MATCH)("gold", "found")))
