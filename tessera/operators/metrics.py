@@ -94,6 +94,17 @@ def mean_importance(df: DataFrame, most: int) -> DataFrame:
     return g.orderBy(F.desc(F.round("importance", 9)), "feature").limit(most)
 
 
+def family_shares(importance: DataFrame, families: DataFrame) -> DataFrame:
+    """family, importance and share: the features' importances summed by family; 0 where the whole is 0, null without one.
+
+    ``importance``: feature, importance. ``families``: feature, family, one row for each feature.
+    """
+    sums = importance.join(families, "feature", "left").groupBy(F.coalesce("family", F.lit("other")).alias("family")).agg(F.sum("importance").alias("importance"))
+    whole = sums.agg(F.sum("importance").alias("_whole"))
+    share = F.when(F.col("_whole") != 0, F.col("importance") / F.col("_whole")).otherwise(F.lit(0.0))
+    return sums.crossJoin(F.broadcast(whole)).select("family", "importance", share.alias("share"))  # one row
+
+
 def missed_by_all(df: DataFrame) -> DataFrame:
     """Gold rows that no model selects; ``df``: id, model, selected."""
     return df.groupBy("id").agg(F.bool_or("selected").alias("_any")).where(~F.col("_any")).select("id")

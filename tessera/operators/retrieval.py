@@ -110,6 +110,18 @@ def retrieve_pair(facts: DataFrame, question: str, vector: list[float], sides: t
     return rows.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
+def retrieve_duo(facts: DataFrame, question: str, vector: list[float], sides: tuple[Column, Column], k: int, preferred: list[str] | None = None) -> DataFrame:
+    """Two sides with half the results each (six at least), texts once a side, and a third (four at least) from all facts.
+
+    ``side`` is 0, 1, or 2 for the general evidence.
+    """
+    shares = [(s, max(k // 2, 6)) for s in sides] + [(F.lit(True), max(4, k // 3))]
+    found = [retrieve(facts.where(s), question, vector, n, preferred).withColumn("side", F.lit(i)) for i, (s, n) in enumerate(shares)]
+    rows = reduce(DataFrame.unionByName, found)
+    first = F.row_number().over(W.partitionBy("side", "text").orderBy(F.desc("final"), "id"))
+    return rows.withColumn("_r", first).where((F.col("_r") == 1) | (F.col("side") == 2)).drop("_r")
+
+
 def expanded(facts: DataFrame, questions: list[str], vector: list[float], k: int) -> DataFrame:
     """Several wordings of a question, a share of results for each, merged and re-ranked."""
     share = max(k // len(questions), 6)

@@ -35,6 +35,13 @@ def token_windows(df: DataFrame, size: int, *, text: str = "text") -> DataFrame:
     return out.withColumn("w", F.split(F.trim("w"), " "))
 
 
+def raw_windows(df: DataFrame, size: int, *, text: str = "text") -> DataFrame:
+    """One row for each run of ``size`` words of a text as they stand, the last perhaps shorter: k (from 0) and w."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?:[^ \\n\\t\\r]+[ \\n\\t\\r]*){{1,{size}}}"), F.lit(0))
+    out = df.select(*[c for c in df.columns if c != text], F.posexplode(runs).alias("k", "w"))
+    return out.withColumn("w", F.array_remove(F.split("w", BLANK), ""))
+
+
 def coalesced(spans: DataFrame, group: list[str]) -> DataFrame:
     """start and end of the islands that overlapping or touching spans form within a group."""
     order = W.partitionBy(*group).orderBy("start", "end")

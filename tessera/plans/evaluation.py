@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import cues
 from tessera.operators import intervals as I
 from tessera.operators import metrics as M
 from tessera.operators import scoring
@@ -47,6 +48,30 @@ spans AS (SELECT win, s - 1 AS a, s - 1 + n AS b, array_to_string(w[s : s + n -
   FROM (SELECT win, w, unnest(range(1, len(w) + 1)) AS s FROM w), range(1, {SPAN_WORDS + 1}) r(n) WHERE s + n - 1 <= len(w))"""
 
 
+def raw_spans(spark, sf):
+    """As ``spans``, over the words as they stand."""
+    d = N.raw_windows(table(spark, sf, "documents").select("doc_id", "text"), WINDOW_WORDS).select((F.col("doc_id") * WINDOWS + F.col("k")).alias("window"), "w")
+    return N.ngrams(d, "w", SPAN_WORDS).select("window", (F.col("start") - 1).cast("long").alias("start"), (F.col("start") - 1 + F.col("size")).cast("long").alias("stop"), "phrase")
+
+
+RAW_SPANS = f"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '') AS t FROM documents),
+w AS (SELECT doc_id * {WINDOWS} + k AS win, t[k * {WINDOW_WORDS} + 1 : k * {WINDOW_WORDS} + {WINDOW_WORDS}] AS w FROM (SELECT doc_id, t, unnest(range(0, (len(t) + {WINDOW_WORDS - 1}) // {WINDOW_WORDS})) AS k FROM t)),
+raw AS (SELECT win AS "window", s - 1 AS start, s - 1 + n AS stop, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM (SELECT win, w, unnest(range(1, len(w) + 1)) AS s FROM w), range(1, {SPAN_WORDS + 1}) r(n) WHERE s + n - 1 <= len(w)),
+words AS (SELECT *, regexp_extract_all(phrase, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}_''’%-]*') AS r FROM raw),
+low AS (SELECT *, list_transform(r, lambda x: lower(x)) AS l FROM words)"""
+
+
+def _among(listed, row="l"):
+    return f"list_has_any({row}, {[w.replace(chr(39), chr(39) * 2) for w in listed]!r})".replace('"', "'")
+
+
+_SURFACE = f"""regexp_matches(coalesce(r[1], ''), '^\\p{{Lu}}') AS starts_with_uppercase, len(r) > 0 AND len(list_filter(r, lambda x: x = upper(x) AND lower(x) <> x AND regexp_matches(x, '^\\p{{L}}+$'))) = len(r) AS all_caps_word,
+coalesce(l[-1], '') LIKE '%ing' AS ends_with_ing, coalesce(l[-1], '') LIKE '%ed' AS ends_with_ed, coalesce(l[-1], '') LIKE '%s' AS ends_with_s, regexp_matches(lower(phrase), '[''’]s($|[^\\p{{L}}\\p{{N}}_])') AS has_apostrophe_s,
+contains(phrase, '-') AS has_hyphen, len(r) = 1 AS is_single_token, {_among(cues.PRONOUNS)} AS cue_pronoun, {_among(cues.RESOURCES)} AS cue_ability_alias, {_among(cues.ACTIONS)} AS cue_action, {_among(cues.EVENTS)} AS cue_event, {_among(cues.MODALS)} AS cue_modal,
+{_among(cues.NEGATIONS)} AS cue_negation, {_among(cues.CONDITIONS)} AS cue_conditional, {_among(cues.CAUSES)} AS cue_causal, {_among(cues.TIMES)} AS cue_temporal, {_among(cues.FILLERS)} AS cue_filler,
+regexp_matches(array_to_string(l, ' '), 'you know|i mean|kind of|sort of|i think|i guess') OR {_among(cues.FILLERS)} AS cue_disfluency, contains(phrase, '"') OR contains(phrase, chr(39)) AS has_quote"""
+
+
 @register("j13_overlap_features", f"""WITH {SPANS} SELECT x.win AS "window", x.a AS start, x.b AS stop, x.b - x.a AS length, count(y.a) AS overlapping,
   count(*) FILTER (x.a <= y.a AND x.b >= y.b) AS contained, count(*) FILTER (y.a <= x.a AND y.b >= x.b) AS containers, count(*) FILTER (x.a < y.a AND x.b > y.b) AS strictly_contained,
   count(*) FILTER (x.a = y.a) AS same_start, count(*) FILTER (x.b = y.b) AS same_end
@@ -118,11 +143,13 @@ def _(spark, sf):
     return I.overlap_diagnostics(spans(spark, sf), ["window"]).withColumnRenamed("end", "stop")
 
 
-@register("v13_surface_features", f"""WITH {SPANS} SELECT win AS "window", a AS start, b AS stop, regexp_matches(phrase, '[0-9]') AS digits, regexp_matches(phrase, '(^| )(of|the|and|in)$') AS ends_in_function, len(string_split(phrase, ' ')) AS words, length(phrase) AS chars FROM spans""")
+@register("v13_surface_features", f'WITH {RAW_SPANS} SELECT "window", start, stop, {_SURFACE} FROM low')
 def _(spark, sf):
-    """Flags of a span's surface."""
-    p = F.col("phrase")
-    return spans(spark, sf).select("window", "start", F.col("end").alias("stop"), p.rlike("[0-9]").alias("digits"), p.rlike("(^| )(of|the|and|in)$").alias("ends_in_function"), F.size(F.split(p, " ")).cast("long").alias("words"), F.length(p).cast("long").alias("chars"))
+    """Twenty flags of a span's surface."""
+    s = raw_spans(spark, sf).withColumn("r", cues.words(F.col("phrase")))
+    s = s.withColumn("l", F.transform("r", F.lower))
+    flags = cues.surface_flags(F.col("phrase"), F.col("r"), F.col("l"))
+    return s.select("window", "start", "stop", *[c.alias(n) for n, c in flags.items()])
 
 
 def candidates(spark, sf):

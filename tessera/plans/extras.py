@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import cues
 from tessera.functions import spans as S
 from tessera.functions import text as T
 from tessera.operators import graph as G
@@ -15,7 +16,7 @@ from tessera.operators import ranking, retrieval, routing, vectors
 from tessera.session import table
 
 from .base import INSIGHTS, VIDEOS, insights, pick, videos
-from .evaluation import CAND, SPANS, candidates, spans, text_windows
+from .evaluation import CAND, RAW_SPANS, SPANS, _among, candidates, raw_spans, spans, text_windows
 from .maintenance import REL, relations
 
 QUERIES: dict = {}
@@ -50,12 +51,20 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(cut("text")).alias("part", "t")).select("doc_id", "part", F.length("t").alias("n"))
 
 
-@register("t36_type_hints", f"""WITH {SPANS} SELECT win AS "window", a AS start, b AS stop, coalesce(nullif(array_to_string(list_filter([CASE WHEN regexp_matches(phrase, '[0-9]') THEN 'number' END, CASE WHEN regexp_matches(phrase, '(tion|ment)$') THEN 'concept' END, CASE WHEN regexp_matches(phrase, 'ing($| )') THEN 'action' END], lambda x: x IS NOT NULL), ','), ''), 'any') AS hints FROM spans""")
+_ANY = "list_filter(l, lambda x: regexp_matches(x, '{0}'))"
+_TYPES = ("ENTITY", "ABILITY_OR_RESOURCE", "ACTION", "EVENT", "STATE", "TIME", "LOCATION_OR_SPACE", "QUANTITY")
+_RULES = (
+    f"{_among(cues.PRONOUNS)} OR regexp_matches(phrase, '(^|\\s)\\p{{Lu}}')", _among(cues.RESOURCES), _among(cues.ACTIONS), f"{_among(cues.EVENTS + cues.CONDITIONS)} OR len({_ANY.format('(ed|ing)$')}) > 0",
+    _among(cues.NEGATIONS + cues.MODALS + cues.CONDITIONS), _among(cues.TIMES + cues.CONDITIONS), _among(cues.PLACES), f"len({_ANY.format('^[0-9]+(%|[.][0-9]+%)?$')}) > 0",
+)
+
+
+@register("t36_type_hints", f"""WITH {RAW_SPANS}, plain AS (SELECT "window", start, stop, phrase, list_transform(l, lambda x: replace(x, '’', chr(39))) AS l FROM low)
+SELECT "window", start, stop, array_to_string(list_filter([{", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in zip(_TYPES, _RULES, strict=True))}], lambda x: x IS NOT NULL), ',') AS hints FROM plain""")
 def _(spark, sf):
-    """Type hints of spans; none means any."""
-    p = F.col("phrase")
-    h = F.array_compact(F.array(F.when(p.rlike("[0-9]"), F.lit("number")), F.when(p.rlike("(tion|ment)$"), F.lit("concept")), F.when(p.rlike("ing($| )"), F.lit("action"))))
-    return spans(spark, sf).select("window", "start", F.col("end").alias("stop"), F.when(F.size(h) > 0, F.array_join(h, ",")).otherwise("any").alias("hints"))
+    """Type hints of spans; none means any."""
+    s = raw_spans(spark, sf).withColumn("l", F.transform(cues.words(F.col("phrase")), lambda w: F.replace(F.lower(w), F.lit("’"), F.lit("'"))))
+    return s.select("window", "start", "stop", F.array_join(cues.type_hints(F.col("phrase"), F.col("l")), ",").alias("hints"))
 
 
 @register("t41_reference_words", f"""WITH {SPANS} SELECT win AS "window", a AS start, b AS stop FROM spans WHERE phrase IN ('it', 'this', 'that', 'they', 'them', 'he', 'she')""")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotation, evaluation, extras, knowledge, maintenance, relational, texts
+from . import annotation, evaluation, extras, knowledge, lexicon, maintenance, relational, texts
 
 FLAGSHIP = "c1_hybrid_retrieve"
-_MODULES = [relational, texts, knowledge, evaluation, maintenance, annotation, extras]
+_MODULES = [relational, texts, knowledge, evaluation, maintenance, annotation, extras, lexicon]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,6 +102,18 @@ def c2_pair_retrieve(rows, data):
     return sides(data, "game", ("en", "fr"), 12)
 
 
+@check
+def c4_duo_retrieve(rows, data):
+    out = []
+    for side, game in enumerate(("en", "fr", None)):
+        seen = set()
+        for r in sorted(retrieve([r for r in insights(data) if game in (None, r["game"])], QUESTION, asked(data), 7 if game else 5), key=lambda r: (-r["final"], r["id"])):
+            if game is None or r["text"] not in seen:
+                seen.add(r["text"])
+                out.append({"id": r["id"], "side": side, "final": round(r["final"], 6)})
+    return out
+
+
 @check
 def c3_team_retrieve(rows, data):
     return sides(data, "role", ("top", "jungle", "mid", "support"), 24)
@@ -600,3 +612,14 @@ def a43_calibrated_weights(rows, data):
     a, b, _ = map(abs, fitted(every, [0, 2])[2])
     assert len(rows) == 1 and rows[0]["n"] == len(every)
     assert abs(rows[0]["first"] - a / (a + b)) < 5e-3 and abs(rows[0]["second"] - b / (a + b)) < 5e-3
+
+
+@check
+def v16_boosted_trees(rows, data):
+    """Every labelled row once, out of its own fold; trees fit no worse than a constant."""
+    every = labelled(data)
+    fold = {r[0]: zlib.crc32((r[1] or "").encode()) % 4 for r in every}
+    got = {r["id"]: r for r in rows}
+    assert len(rows) == len(every) and all(got[i]["fold"] == k and 0 <= got[i]["score"] <= 1 for i, k in fold.items())
+    pairs = [(got[a[0]]["score"], got[b[0]]["score"]) for a in every for b in every if a[2] > b[2]]
+    assert sum((x > y) + (x == y) / 2 for x, y in pairs) / len(pairs) > 0.6
