@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tessera.functions import cues
-from tessera.operators import canonical, retrieval, scoring
+from tessera.functions import spans as S
+from tessera.operators import canonical, propositions, retrieval, scoring
 from tessera.operators import metrics as M
 from tessera.session import table
 
@@ -131,3 +134,30 @@ def _(spark, sf):
 def _(spark, sf):
     """Scores out of fold by the second model, an ensemble of boosted trees (fifteen here)."""
     return scoring.leave_group_out_trees(scoring.document_features(table(spark, sf, "documents"), table(spark, sf, "labels")), folds=4, trees=15)
+
+
+def _reader(stage: str, shown: dict) -> str:
+    """A stand-in for a model: it picks clauses by number and words by place, and now and then answers amiss."""
+    if stage == "evidence":
+        ids = sorted(shown["candidates"])
+        if not ids:
+            return json.dumps({"source": None, "candidate_ids": []})
+        return json.dumps({"source": "insight", "candidate_ids": ids[:2] if len(ids) % 3 else [ids[0], ids[0]]})
+    words = " ".join(shown["evidence"]).split() if "evidence" in shown else []
+    if stage == "direction":
+        return json.dumps({"causal_direction": "actor_event_causes_effect" if len(words) % 4 else "association_only"})
+    if stage == "normalization":
+        return json.dumps({"actor_concept": None, "event_relation": "needs", "effect_concept": "tempo" if len(shown["effect"]) % 5 else "made up"})
+    if stage == "condition":
+        return json.dumps({"condition": None if len(words) % 2 else words[-1]})
+    at = {"actor": 0, "event": 1, "effect": 2}[stage]
+    return json.dumps({stage: " ".join(words[2 * at : 2 * at + 2])})
+
+
+@register("m7_propositions")
+def _(spark, sf):
+    """Propositions from benchmark texts, from closed answers of an injected model, stage by stage."""
+    b = table(spark, sf, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("id"), "text", S.clauses(F.col("text")).alias("c"))
+    one = lambda x, i: F.struct(F.concat(F.lit("c"), F.lpad((i + 1).cast("string"), 3, "0")).alias("id"), F.lit("insight").alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    packets = b.select("id", F.create_map(F.lit("insight"), F.col("text")).alias("sources"), F.transform("c", one).alias("candidates"))
+    return propositions.propositions(packets, _reader, ("tempo", "vision"), ("needs", "enables"))

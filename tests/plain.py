@@ -623,3 +623,30 @@ def v16_boosted_trees(rows, data):
     assert len(rows) == len(every) and all(got[i]["fold"] == k and 0 <= got[i]["score"] <= 1 for i, k in fold.items())
     pairs = [(got[a[0]]["score"], got[b[0]]["score"]) for a in every for b in every if a[2] > b[2]]
     assert sum((x > y) + (x == y) / 2 for x, y in pairs) / len(pairs) > 0.6
+
+
+@check
+def m7_propositions(rows, data):
+    """The stand-in's answers worked out on each text; every phrase stands where the row says."""
+    texts = {b["item_id"]: b["text"] for b in data["benchmark"] if b["text"] is not None}
+    assert {r["id"] for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        text, found = texts[r["id"]], []
+        for a, b in sentences(text):
+            w = words_of(text, a, b)
+            found += [(w[k][0], w[min(k + 32, len(w)) - 1][1]) for k in ([0] if len(w) <= 32 else sorted({*range(0, len(w) - 32, 16), len(w) - 32}))]
+        n = min(len(found), 20)
+        for s in ("actor", "event", "effect", "condition"):
+            if r[s] is not None:
+                assert text[r[f"{s}_start"] :].startswith(r[s])
+        if not n:
+            assert (r["stage"], r["code"]) == ("abstained", "none")
+        elif n % 3 == 0:
+            assert (r["stage"], r["code"]) == ("evidence", "twice")
+        elif r["stage"] == "assembled":
+            start = sorted(found)[0][0]
+            assert r["actor_start"] == start and r["actor"] == " ".join(text[start:].split()[:2]) and r["event_relation"] == "needs" and r["effect_concept"] == "tempo" and len(r["effect"]) % 5
+        else:
+            assert r["stage"] in ("actor", "event", "effect", "condition", "direction", "normalization", "abstained")
+            assert r["code"] in ("phrase", "outside", "ambiguous", "association_only", "invented")
+    assert len({r["stage"] for r in rows}) > 1

@@ -284,3 +284,39 @@ def test_incremental(spark, tmp_path):
     assert incremental.process_new(*args) == 3 and incremental.process_new(*args) == 0
     spark.range(10, 14).write.mode("append").parquet(at["in"])
     assert incremental.process_new(*args) == 2 and spark.read.parquet(at["out"]).count() == 5
+
+
+def test_proposition_stages():
+    """Closed answers: what is refused, at which stage, and what is placed."""
+    import json
+
+    from tessera.operators import propositions as P
+
+    text = "Ward early. Warding early wins fights because vision wins fights. Rest."
+    clauses = {"c1": ("insight", 0, 11), "c2": ("insight", 12, 65), "c3": ("insight", 66, 71), "t1": ("transcript", 0, 4)}
+    sources = {"insight": text, "transcript": "Ward"}
+    good = {
+        "evidence": {"source": "insight", "candidate_ids": ["c2"]}, "actor": {"actor": "Warding early"}, "event": {"event": "because"}, "effect": {"effect": "vision"},
+        "condition": {"condition": "NONE"}, "direction": {"causal_direction": "actor_event_causes_effect"}, "normalization": {"actor_concept": "vision", "event_relation": "needs", "effect_concept": None},
+    }
+
+    def run(**changed):
+        answers = good | changed
+        chat = lambda stage, shown: answers[stage] if isinstance(answers[stage], str) else json.dumps(answers[stage])
+        return P.proposition(chat, sources, clauses, frozenset(("vision",)), frozenset(("needs",)))
+
+    got = run()
+    assert got["stage"] == "assembled" and (got["actor"], got["actor_start"], got["effect_start"]) == ("Warding early", 12, 46) and "condition" not in got and got["effect_concept"] is None
+    pick = lambda *ids, source="insight": {"evidence": {"source": source, "candidate_ids": list(ids)}}
+    refused = [
+        (pick("c2", "c2"), "evidence", "twice"), (pick("c9"), "evidence", "unknown"), (pick("t1"), "evidence", "mixed"), (pick("c1", "c2", "c3"), "evidence", "count"), (pick("c1", source="web"), "evidence", "source"),
+        ({"evidence": '{"source": "insight", "candidate_ids": ["c2"], "more": 1}'}, "evidence", "shape"), ({"evidence": "no json"}, "evidence", "shape"),
+        ({"actor": {"actor": "wins fights"}}, "actor", "ambiguous"), ({"actor": {"actor": "Ward early"}}, "actor", "outside"), ({"event": {"event": " "}}, "event", "phrase"), ({"effect": {"effect": "visio"}}, "effect", "outside"),
+        ({"condition": {"effect": "vision"}}, "condition", "shape"), ({"direction": {"causal_direction": "both"}}, "direction", "label"), ({"direction": {"causal_direction": "association_only"}}, "abstained", "association_only"),
+        ({"normalization": good["normalization"] | {"effect_concept": "magic"}}, "normalization", "invented"), ({"normalization": good["normalization"] | {"event_relation": 3}}, "normalization", "type"),
+        ({"evidence": {"source": None, "candidate_ids": []}}, "abstained", "none"),
+    ]
+    for change, stage, code in refused:
+        assert (run(**change)["stage"], run(**change)["code"]) == (stage, code), change
+    assert run(**pick("c1", "c2"), actor={"actor": "Ward early"})["actor_start"] == 0
+    assert P.coalesced([(12, 65), (0, 11), (66, 71)], text) == [(0, 71)] and P.coalesced([(0, 4), (12, 20)], text) == [(0, 4), (12, 20)]
