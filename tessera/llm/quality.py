@@ -27,8 +27,6 @@ from .common import drop_written, slices, text_of, written
 from .supervised import fit_logistic, held_out, labelled_sample, sigmoid
 
 NAMES = ("length", "words", "upper", "digits", "signs", "spaces", "other", "word_size", "distinct", "commonest", "ended", "line_words", "repeated_lines", "bars", "longest", "squeeze", "capitalised")
-#: Odds from a section count at most this many times.
-MOST_LIFT = 3.0
 _KINDS = np.zeros(256, np.int64)
 _KINDS[65:91], _KINDS[97:123], _KINDS[48:58] = 1, 2, 3
 _KINDS[[9, 10, 11, 12, 13, 32]], _KINDS[128:] = 5, 6
@@ -133,7 +131,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *, k
     own = written(rows.mapInArrow(run, "doc_id long, host string, path string, own double"), "quality-own")
     rates = posterior_rates(own).withColumnsRenamed({"host": "_h", "path": "_p"})
     out = own.join(rates, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    lift = F.least(F.greatest(logit(F.col("path_rate")) - logit(F.col("global_rate")), F.lit(-np.log(MOST_LIFT))), F.lit(np.log(MOST_LIFT)))
+    lift = logit(F.col("path_rate")) - logit(F.col("global_rate"))
     score = 1 / (1 + F.exp(-(logit(F.col("own")) + lift)))
     return out.select("doc_id", "own", "host_rate", "path_rate", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

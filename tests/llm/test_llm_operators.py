@@ -403,6 +403,35 @@ def test_sparse_sites_shrink(spark):
     assert rates["low"]["path_rate"] < rates["tiny"]["path_rate"] < 0.5
 
 
+def test_posteriors_of_many_sparse_hosts(spark):
+    """Thousands of hosts of a few documents, a large one and a null one, against the same sums in numpy."""
+    r = np.random.default_rng(3)
+    rows = []
+    for h in range(3000):
+        rate = r.beta(2, 3)
+        rows += [(f"h{h}", f"p{k % 2}", float(np.clip(r.normal(rate, 0.1), 0.01, 0.99))) for k in range(r.integers(1, 4))]
+    rows += [("big", f"p{k % 5}", 0.8) for k in range(2000)] + [(None, None, 0.3), (None, "p", 0.2)]
+
+    def strength(cells, prior):
+        n, good = (np.array([c[k] for c in cells.values()]) for k in (0, 1))
+        p = np.array([prior(key) for key in cells])[n >= 2]
+        n, good = n[n >= 2], good[n >= 2]
+        return min(max((p * (1 - p)).mean() / max(((good / n - p) ** 2 - p * (1 - p) / n).mean(), 1e-4) - 1, 1.0), 1e4)
+
+    hosts, paths = defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
+    for h, p, own in rows:
+        for cell in (hosts[h], paths[h, p]):
+            cell[0] += 1
+            cell[1] += own
+    total = sum(x[2] for x in rows) / len(rows)
+    m = strength(hosts, lambda h: total)
+    host_rate = {h: (good + m * total) / (n + m) for h, (n, good) in hosts.items()}
+    k = strength(paths, lambda key: host_rate[key[0]])
+    want = {key: (good + k * host_rate[key[0]]) / (n + k) for key, (n, good) in paths.items()}
+    got = {(x["host"], x["path"]): x["path_rate"] for x in quality.posterior_rates(spark.createDataFrame(rows, "host string, path string, own double")).collect()}
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key], rel=1e-9) for key in want)
+
+
 def test_trained_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     model = toxicity.Toxicity.train(clash(docs), none)
