@@ -16,7 +16,8 @@ of beyond some 10**8 distinct fingerprints.
 With ``similarity``, links are wider and verified: fingerprints are of the distinct five-word shingles, and two within
 the radius link only where the exact Jaccard similarity of their sets of shingle hashes is that high. Only texts of the
 same set are one row, by a hash of it; equal fingerprints of different sets are candidates like any other. The sets lie in
-files of the shared folder, a file for each task, and a tile says where; a pair is read only where the sizes of its sets
+files of the shared folder, a file for each task, and a tile says where; tiles lie there too, so that a tile isn't shuffled
+once for each signature that it meets. A pair of sets is read only where the sizes of its sets
 allow the similarity and the task's forest doesn't hold the link already. Beyond a radius of 4, counts of single words
 prune little, and tiles are sorted by the population count of the whole.
 
@@ -42,8 +43,8 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 TILE = 1024
-#: Pairs of tiles in a batch: up to a quarter of a MB each.
-TILE_PAIRS = 100
+#: Pairs of tiles in a batch: up to a quarter of a MB each. Pairs for a task where they are places, and most such tasks.
+TILE_PAIRS, PAIRS, MOST_PARTS = 100, 500, 100_000
 #: Shingle hashes whose bits are counted at once.
 COUNTED = 1 << 17
 #: Words of a shingle where similarity is asked for.
@@ -203,32 +204,49 @@ class Forest:
         return a != b
 
 
-def tiles(distinct: DataFrame, radius: int, *, sets: bool = False) -> DataFrame:
-    """sig, lead (the tile's first node), near (signatures to meet) and packed (fps; with sets also nodes, file, at, n)."""
+def tiles(distinct: DataFrame, radius: int, *, sets: str | None = None) -> DataFrame:
+    """sig, lead (the tile's first node), near (signatures to meet) and packed (its fps).
+
+    With ``sets`` a tile also holds nodes, file, at and n; it is written to that folder, and packed says where it lies, so
+    that pairs of tiles are pairs of places.
+    """
     parts = 4 if radius <= 4 else 1
-    names = ["fp", "node", "file", "at", "n"] if sets else ["fp"]
+    names = ["fp"] if sets is None else ["fp", "node", "file", "at", "n"]
     signed = distinct.select("fp", "node", *names[2:], signature(F.col("fp"), parts).alias("sig"))
     there = {r["sig"] for r in signed.select("sig").distinct().collect()}  # at most 17**4 numbers
     near = distinct.sparkSession.sparkContext.broadcast(there)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, held = None, []
+        sig, held, file, sink, end = None, [], uuid.uuid4().int >> 65, None, 0
+        if sets is not None:
+            files, base = file_system(sets)
+            files.create_dir(base, recursive=True)
+            sink = files.open_output_stream(f"{base}/{file:016x}")
 
         def row():
-            return sig, held[0][-1], near_signatures(sig, radius, near.value, parts), np.array([x[:-1] for x in held], np.int64).T.tobytes()
+            nonlocal end
+            data = np.array([x[:-1] for x in held], np.int64).T.tobytes()
+            if sink is not None:
+                sink.write(data)
+                data, end = np.array([file, end, len(data) // 8], np.int64).tobytes(), end + len(data)
+            return sig, held[0][-1], near_signatures(sig, radius, near.value, parts), data
 
-        for batch in batches:
-            found = []
-            for s, *values in zip(*(batch.column(c).to_pylist() for c in ("sig", *names, "node")), strict=True):
-                if held and (s != sig or len(held) == TILE):
-                    found.append(row())
-                    held = []
-                sig = s
-                held.append(values)
-            if found:
-                yield _tile_batch(found)
-        if held:
-            yield _tile_batch([row()])
+        try:
+            for batch in batches:
+                found = []
+                for s, *values in zip(*(batch.column(c).to_pylist() for c in ("sig", *names, "node")), strict=True):
+                    if held and (s != sig or len(held) == TILE):
+                        found.append(row())
+                        held = []
+                    sig = s
+                    held.append(values)
+                if found:
+                    yield _tile_batch(found)
+            if held:
+                yield _tile_batch([row()])
+        finally:
+            if sink is not None:
+                sink.close()
 
     schema = "sig int, lead long, near array<int>, packed binary"
     return signed.repartitionByRange("sig", "fp", "node").sortWithinPartitions("sig", "fp", "node").mapInArrow(pack, schema)
@@ -245,11 +263,16 @@ def links(tile_rows: DataFrame, radius: int = RADIUS, similarity: float | None =
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        store = None if similarity is None else Sets(sets)
+        store, placed = (None, None) if similarity is None else (Sets(sets), Sets(sets))
+
+        def tile(packed) -> np.ndarray:
+            row = np.frombuffer(packed.as_buffer(), np.int64)
+            return (row if placed is None else placed.read(*row.tolist()).view(np.int64)).reshape(width, -1)
+
         for batch in batches:
             found = []
             for la, lb, pa_, pb in zip(*(batch.column(n) for n in ("lead_a", "lead_b", "packed_a", "packed_b")), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.int64).reshape(width, -1) for x in (pa_, pb))
+                a, b = tile(pa_), tile(pb)
                 hit = np.bitwise_count(a[0].view(np.uint64)[:, None] ^ b[0].view(np.uint64)[None, :]) <= radius
                 if la.as_py() == lb.as_py():
                     hit = np.triu(hit, 1)
@@ -270,11 +293,16 @@ def links(tile_rows: DataFrame, radius: int = RADIUS, similarity: float | None =
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
         if store is not None:
             store.close()
+            placed.close()
 
     left = tile_rows.select(F.col("sig").alias("sig_a"), F.col("lead").alias("lead_a"), F.col("packed").alias("packed_a"), F.explode("near").alias("sig"))
     right = tile_rows.select("sig", F.col("lead").alias("lead_b"), F.col("packed").alias("packed_b"))
     pairs = left.join(right, "sig").where((F.col("sig_a") < F.col("sig")) | (F.col("lead_a") <= F.col("lead_b")))
-    return pairs.select("lead_a", "lead_b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long")
+    pairs = pairs.select("lead_a", "lead_b", "packed_a", "packed_b")
+    if similarity is not None:  # pairs of places are small, the work behind them isn't: a number of parts that fits the work
+        n = tile_rows.count()
+        pairs = pairs.repartition(min(max(int(tile_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * n // 2 // PAIRS), MOST_PARTS), "lead_a")
+    return pairs.mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,7 +336,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     place = [F.min(F.struct("file", "at", "n")).alias("place")] if verify else []
     distinct = rows.groupBy("fp", "node").agg(F.min("doc_id").alias("first"), *place)
     distinct = written(distinct.select("fp", "node", "first", *(["place.*"] if verify else [])), "simhash-distinct")
-    tile_rows = written(tiles(distinct, radius, sets=verify), "simhash-tiles")
+    tile_rows = written(tiles(distinct, radius, sets=sets), "simhash-tiles")
     with arrow_rows(docs.sparkSession, TILE_PAIRS):
         edges = written(links(tile_rows, radius, similarity, sets), "simhash-links")
     drop_written(tile_rows)

@@ -582,7 +582,7 @@ def test_equal_fingerprints_are_verified(spark, tmp_path):
     (tmp_path / f"{7:016x}").write_bytes(b"".join(np.asarray(x, "<u8").tobytes() for x in sets))
     ends = np.cumsum([0, *map(len, sets)]).tolist()
     distinct = spark.createDataFrame([(9, k, 7, 8 * ends[k], len(x)) for k, x in enumerate(sets)], "fp long, node long, file long, at long, n long")
-    found = simhash.links(simhash.tiles(distinct, 18, sets=True), 18, 0.8, f"file://{tmp_path}").collect()
+    found = simhash.links(common.written(simhash.tiles(distinct, 18, sets=f"file://{tmp_path}"), "test-tiles"), 18, 0.8, f"file://{tmp_path}").collect()
     assert [{x["a"], x["b"]} for x in found] == [{0, n - 1}]
 
 
