@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, simhash, token_planes
-from tessera.llm.common import written
+from tessera.llm.common import unused, written
 from tessera.llm.toxicity import Toxicity
 
 #: Near copies of a similarity of 0.8 lie some 10 bits apart, 3 more or less; unrelated texts around 32.
@@ -39,8 +39,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return mixing.mix(docs).where("_times > 0").select(*docs.columns, times.alias("_copy")).drop("_copy")
+    mixed = mixing.mix(docs)
+    times, copy = F.col(mixed.columns[-1]), unused(mixed.columns, "_copy")[0]
+    return mixed.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias(copy)).drop(copy)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
