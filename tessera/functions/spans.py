@@ -26,6 +26,7 @@ NEGATED_AFTER = frozenset(("no", "nothing", "nobody", "none"))
 
 _CONNECTIVE = re.compile(rf"\s+(?=(?:{'|'.join(CONNECTIVES)})\b)", re.I)
 _WORD = re.compile(r"\S+")
+_LETTERS = re.compile("[A-Za-z]{4,}")
 
 
 def char_chunks(text: str | None, size: int = 10_000, back: int = 200) -> list[tuple[int, int, str]]:
@@ -132,22 +133,29 @@ def literal_spans(text: str | None, wanted: str | None) -> list[tuple[int, int,
 
 
 @lru_cache(maxsize=200_000)
-def _likest(word: str, names: tuple[str, ...]) -> tuple[float, str]:
-    """The name most like a word, of about its length."""
-    return max(((difflib.SequenceMatcher(None, word, n.lower()).ratio(), n) for n in names if abs(len(n) - len(word)) <= 3), default=(0.0, ""))
+def _likest(word: str, names: tuple[str, ...], least: float) -> tuple[float, str]:
+    """The name most like a word, of about its length; names whose letters alone can't reach ``least`` are passed over."""
+    found = [(0.0, "")]
+    for n in names:
+        if abs(len(n) - len(word)) <= 3:
+            m = difflib.SequenceMatcher(None, word, n.lower())
+            if m.quick_ratio() >= least:
+                found.append((m.ratio(), n))
+    return max(found)
 
 
 def fuzzy_names(text: str | None, names: tuple[str, ...], ratio: float = 0.84) -> list[tuple[int, int, str]]:
     """Names in a text by place: exact ones first, longest first and not inside each other; other words by likeness."""
     text = text or ""
     found: list[tuple[int, int, str]] = []
+    low, sizes = text.lower(), {len(n) + d for n in names for d in range(-3, 4)}
     for n in sorted(names, key=lambda n: (-len(n), n)):
-        for a, b, _ in bounded_spans(text, n):
+        for a, b, _ in bounded_spans(text, n) if n.lower() in low else ():
             if not any(a < y and x < b for x, y, _ in found):
                 found.append((a, b, n))
-    for m in re.finditer(r"[A-Za-z]{4,}", text):
-        if not any(m.start() < y and x < m.end() for x, y, _ in found):
-            best = _likest(m[0].lower(), names)
+    for m in _LETTERS.finditer(text):
+        if m.end() - m.start() in sizes and not any(m.start() < y and x < m.end() for x, y, _ in found):
+            best = _likest(m[0].lower(), names, ratio)
             if best[0] >= ratio:
                 found.append((m.start(), m.end(), best[1]))
     return sorted(found)

@@ -84,6 +84,8 @@ def _quoted(literal: str) -> str:
 
 def mentioned(text: Column, names: tuple[str, ...]) -> Column:
     """The names that stand in the text between other than letters and digits, in list order."""
+    if all(n and all(c in "abcdefghijklmnopqrstuvwxyz0123456789" for c in n) for n in names):  # such names are tokens
+        return F.array_intersect(F.array(*[F.lit(n) for n in dict.fromkeys(names)]), tokens(text))
     low = F.lower(text)
     return F.array_compact(F.array(*[F.when(low.rlike(rf"(^|[^a-z0-9]){_quoted(n.lower())}($|[^a-z0-9])"), F.lit(n)) for n in names]))
 
