@@ -24,7 +24,7 @@ A shard sends equal surroundings once, for their smallest doc_id. Tuples that ma
 gather in one range; their strings are dealt out by the hash of the whole string instead (96 bits), once for each shard.
 Both ways give the same result.
 
-A shard of n bytes takes some 20 n bytes of memory at its peak, and surroundings are made ``AT_ONCE`` at a time.
+A shard of n bytes takes some 30 n bytes of memory at its peak, and surroundings are made ``AT_ONCE`` at a time.
 
 Null text is the empty text; a null doc_id counts as the largest; rows that share a doc_id don't count as earlier than
 each other; shorter documents stay whole; an empty table gives an empty result.
