@@ -56,6 +56,11 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that the operators have written to the shared folder; results that still read it can't be read any more."""
+    remove(spark, f"{shared_dir(spark)}/tessera")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """For the actions inside: at most so many rows in a batch for Python, where a row holds much."""

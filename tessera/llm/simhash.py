@@ -351,8 +351,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return rows.join(named, "node").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """The documents that name their group; of rows that share that id, one.
+def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that name their group; of rows that share that id, one of each text.
 
     ``groups``: doc_id and component_id. A row without an id can't be told apart and stays.
     """
@@ -361,7 +361,7 @@ def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id") -> Data
     kept = docs.join(once, key, "left_semi")
     if not named.where("count > 1").isEmpty():
         often = named.where("count > 1").select(F.col("doc_id").alias(key))
-        kept = kept.unionByName(docs.join(often, key, "left_semi").dropDuplicates([key]))
+        kept = kept.unionByName(docs.join(often, key, "left_semi").dropDuplicates([key, text]))
     return kept.unionByName(docs.where(F.col(key).isNull()))
 
 

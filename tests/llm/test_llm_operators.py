@@ -596,6 +596,9 @@ def test_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b c"), (3, "other words here"), (None, "a b c")], "doc_id long, text string")
     kept = simhash.keep_one(df, simhash.near_duplicates(df))
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "quite another text here"), (2, "A b c")], "doc_id long, text string")
+    kept = simhash.keep_one(df, simhash.near_duplicates(df))
+    assert sorted(r["text"] for r in kept.collect()) == ["a b c", "quite another text here"]
 
 
 # The pipeline
