@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 WINDOW = 10
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,19 +102,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_
     """The documents without any hit, unchanged."""
     windows = written(benchmark_windows(benchmark, text=text, window=window), "windows")
     found = written(hits(docs, windows, key=key, text=text), "hits")
-    bad = found.select(F.col("id").alias("__t_id"), F.col("tie").alias("__t_tie"))
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__t_id")) & (F.xxhash64(F.col(text)) == F.col("__t_tie")), "left_anti")
+    of, tie = unused(docs.columns, "_of", "_tie")
+    bad = found.select(F.col("id").alias(of), F.col("tie").alias(tie))
+    return docs.join(bad, F.col(key).eqNullSafe(F.col(of)) & (F.xxhash64(F.col(text)) == F.col(tie)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """All documents, without the words that are hit; what stands between words stays."""
     found = contamination(docs, benchmark, key=key, text=text, window=window).where("n_hit > 0").dropDuplicates(["id", "tie"])
-    found = found.select(F.col("id").alias("__t_id"), F.col("tie").alias("__t_tie"), F.col("hit").alias("__t_hit"))
+    of, tie, hit = unused(docs.columns, "_of", "_tie", "_hit")
+    found = found.select(F.col("id").alias(of), F.col("tie").alias(tie), F.col("hit").alias(hit))
     parts = F.regexp_extract_all(F.col(text), F.lit(f"{CASED_WORD}|{CASED_BREAK}"), F.lit(0))
     first = F.when(F.col(text).rlike(f"^{CASED_WORD}"), 0).otherwise(1)  # words and what parts them alternate
-    kept = F.filter(parts, lambda p, i: ((i + first) % 2 == 1) | ~F.array_contains("__t_hit", ((i - first) / 2).cast("int")))
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("__t_id")) & (F.xxhash64(F.col(text)) == F.col("__t_tie")), "left")
-    return joined.withColumn(text, F.when(F.col("__t_hit").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop("__t_id", "__t_tie", "__t_hit")
+    kept = F.filter(parts, lambda p, i: ((i + first) % 2 == 1) | ~F.array_contains(hit, ((i - first) / 2).cast("int")))
+    joined = docs.join(found, F.col(key).eqNullSafe(F.col(of)) & (F.xxhash64(F.col(text)) == F.col(tie)), "left")
+    return joined.withColumn(text, F.when(F.col(hit).isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop(of, tie, hit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

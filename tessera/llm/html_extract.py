@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 #: Tags whose content is never text of a page.
 HIDDEN = frozenset("script style noscript template head title iframe object svg canvas audio video select option datalist textarea".split())
@@ -413,12 +413,13 @@ def extract(pages: DataFrame, *, html: str = "html", field: Field | None = None)
     """Adds ``text`` and ``n_chars`` (code points) to every page, in place of the html."""
     field = field or trained()
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    rows = pages.select(*keep, F.col(html).alias("__t_html"))
+    whole = unused(keep, "_html")[0]
+    rows = pages.select(*keep, F.col(html).alias(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "__t_html"):
-                texts = [main_text(h, field) for h in piece.column("__t_html").to_pylist()]
+            for piece in slices(batch, whole):
+                texts = [main_text(h, field) for h in piece.column(whole).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = rows.select(*keep, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema

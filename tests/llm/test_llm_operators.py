@@ -255,7 +255,7 @@ def test_viterbi_is_the_best_path():
 def test_html_edges(spark):
     html = "<nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One&nbsp;two\n three.<p>Four <b>five</b><br>six.</article><footer>&copy; x</footer><script>var p='<p>no</p>'</script>"
     df = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, None, ""), (4, "u", "<p>" + "word " * 50_000 + "end.")], "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in html_extract.extract(df.withColumn("text", F.lit("clash")).withColumn("__x", F.lit(1))).collect()}
+    got = {r["page_id"]: r for r in html_extract.extract(df.withColumn("text", F.lit("clash")).withColumn("__t_html", F.lit(1)).withColumn("_html", F.lit(1))).collect()}
     assert got[1]["text"] == "A & B\nOne two three.\nFour five six." and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == got[3]["text"] == "" and got[2]["n_chars"] == 0
     assert got[4]["n_chars"] in (0, 250_004)
@@ -379,6 +379,50 @@ def test_fold():
     assert toxicity.features("trash and stupidity", matcher)[0] == pytest.approx(np.log1p(5.0))
 
 
+def plain_features(text, lexicon):
+    """Word by word over the whole folded text, with the exception phrases found at every place."""
+    folded = toxicity.fold(text)
+    spared, total, seen = [False] * len(folded), 0.0, set()
+    for e in toxicity.EXCEPTIONS:
+        for k in range(len(folded)):
+            if folded.startswith(f" {e} ", k):
+                spared[k + 1 : k + 1 + len(e)] = [True] * len(e)
+    k = 0
+    for word in folded.split():
+        k = folded.index(word, k)
+        if not spared[k]:
+            for t in {f" {word} ", *(f" {word[:n]}" for n in range(1, len(word) + 1))} & lexicon.keys():
+                total += lexicon[t]
+                seen.add(t)
+        k += len(word)
+    return np.log1p(total), np.log1p(100 * total / (10 + folded.count(" "))), np.log1p(len(seen))
+
+
+def test_matching_in_pieces():
+    r = random.Random(1)
+    lexicon = {" trash ": 3.0, " stup": 2.0, " idiot ": 2.5, " scum ": 1.0, " stupid ": 1.5}
+    matcher = toxicity.automaton(lexicon)
+    words = ["trash", "can", "stupid", "1d10t", "scum", "pond", "line", "a", "b", "i d i o t", "x.", "the", "и", "loser", "bracket", "\n", "trash,"]
+    for _ in range(500):
+        text = " ".join(r.choices(words, k=r.randint(0, 60)))
+        for most in (7, 1 << 19):
+            assert toxicity.features(text, matcher, most) == pytest.approx(plain_features(text, lexicon)), text
+
+
+def test_scores_against_plain_matching(spark):
+    """op7's scores from the trained lexicon and weights, over a whole table."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.Toxicity.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in queries.queries()["op7_toxicity_lexicon"](spark, sf).collect():
+        x = np.array(plain_features(texts[r["doc_id"]], model.lexicon))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(x @ model.weights[:3] + model.weights[3]))), abs=1e-9)
+        assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    rows = spark.createDataFrame([(1, "idiot"), (1, "idiot"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0) for r in model.score(rows).collect()) == [0, 1, 1]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -632,6 +676,20 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == now.count()
 
 
+def test_pipeline_on_odd_rows(spark, docs, sf):
+    """Clashing columns of any case, null ids and null texts: all stages keep the columns, and clean rows stay."""
+    odd = docs.sparkSession.createDataFrame([(None, "alone and clean as can be today", "en", "s0", 0), (None, None, None, None, None)], SCHEMA)
+    now = clash(docs.where("doc_id < 40").union(odd)).withColumns({c: F.lit("y") for c in ("_Times", "_copy", "__t_id", "tie2", "sim")})
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = common.written(stage(spark, now, sf), "test-stage")
+        assert now.columns == columns
+        if name != "mixing":
+            assert now.where("text = 'alone and clean as can be today'").count() == 1
+        assert now.select("_Times", "_size").distinct().collect() == [("y", "x")]
+    assert dict(corpus_pipeline.STAGES)["tokens"](spark, now, sf).count() == now.count()
+
+
 def test_pipeline_on_nothing(spark, empty, sf):
     now = empty
     for _, stage in corpus_pipeline.STAGES:
