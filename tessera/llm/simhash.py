@@ -356,13 +356,14 @@ def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id", text: s
 
     ``groups``: doc_id and component_id. A row without an id can't be told apart and stays.
     """
-    named = written(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "simhash-kept")
-    once = named.where("count = 1").select(F.col("doc_id").alias(key))
-    kept = docs.join(once, key, "left_semi")
-    if not named.where("count > 1").isEmpty():
-        often = named.where("count > 1").select(F.col("doc_id").alias(key))
-        kept = kept.unionByName(docs.join(often, key, "left_semi").dropDuplicates([key, text]))
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    # The ids that go are fewer than those that stay; where their table is small, no text is shuffled.
+    names = F.count_if(F.col("doc_id") == F.col("component_id"))
+    odd = written(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(names.alias("names")).where("names <> 1"), "simhash-gone")
+    ids = lambda which: odd.where(which).select(F.col("doc_id").alias(key))
+    kept = docs.join(ids("true"), key, "left_anti").select(*docs.columns)
+    if not odd.where("names > 1").isEmpty():
+        kept = kept.unionByName(docs.join(ids("names > 1"), key, "left_semi").select(*docs.columns).dropDuplicates([key, text]))
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
