@@ -7,8 +7,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .groups import by_group, column, group_numbers
 
 IDENTITY = ["subject", "relation_type", "object", "condition"]
 #: Relation types that can't both hold for one subject and object.
@@ -115,18 +121,53 @@ def bounded_search(relations: DataFrame, start: list[str], hops: int, most: int)
     return reached.orderBy("hop", F.desc("confidence"), "node").limit(most)
 
 
+def _reached(group: np.ndarray, word: np.ndarray, head: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of words by sentence: each row's word by number, its head's (-1: none such), and by number the depth (-1: unreached).
+
+    Rows that are ``apart`` are neither heads nor below any.
+    """
+    values, at = np.unique(np.concatenate([word, head]), return_inverse=True)
+    own, above = group * len(values) + at[: len(word)], group * len(values) + at[len(word) :]
+    keys, child = np.unique(own, return_inverse=True)
+    place = np.minimum(np.searchsorted(keys, above), max(len(keys) - 1, 0))
+    parent = np.where((keys[place] == above) & ~apart if len(keys) else False, place, -1)
+    depth = np.full(len(keys), -1)
+    depth[child[head == 0]] = 0
+    rows, level = np.flatnonzero((parent >= 0) & (depth[child] < 0)), 1
+    while len(rows):
+        below = depth[parent[rows]] >= 0
+        if not below.any():
+            break
+        depth[child[rows[below]]] = level
+        rows, level = rows[depth[child[rows]] < 0], level + 1
+    return child, parent, depth
+
+
+def tree_rows(table: pa.Table, sentence: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence number, word and the three arrays of ``_reached`` of a table of whole sentences; no head counts as one that isn't there."""
+    group, null = group_numbers(table, sentence), np.iinfo(np.int64).min
+    word, head = column(table, "word", null), column(table, "head", null)
+    # Nothing joins a null: such rows may be roots, and no more.
+    apart = pc.is_null(table.column(sentence)).to_numpy() | (word == null) | (head == null)
+    return group, word, *_reached(group, word, head, apart)
+
+
 def tree_depths(words: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """sentence, word, depth, path of every word of dependency trees (head 0 is the root), by a recursive query.
+    """sentence, word and depth of every word of dependency trees (head 0 is the root), each word once.
 
-    Words that no root reaches (cycles) get no row; the depth is bounded by the words of a sentence.
+    Words that no root reaches (cycles) get no row; one with several heads has the least depth. Whole sentences go through
+    a kernel, level by level, so neither the rows nor the depth are limited.
     """
-    words.createOrReplaceTempView("_tree_words")
-    return words.sparkSession.sql(f"""
-      WITH RECURSIVE t(sentence, word, depth) AS (
-        SELECT {sentence}, word, 0 FROM _tree_words WHERE head = 0
-        UNION ALL
-        SELECT w.{sentence}, w.word, t.depth + 1 FROM _tree_words w JOIN t ON w.{sentence} = t.sentence AND w.head = t.word)
-      SELECT sentence, word, depth FROM t""")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        _, word, child, _, depth = tree_rows(table, sentence)
+        first = np.unique(child, return_index=True)[1]
+        first = first[depth[child[first]] >= 0]
+        rows = table.select([sentence, "word"]).take(pa.array(first))
+        return rows.append_column("depth", pa.array(depth[child[first]].astype(np.int32)))
+
+    out = T.StructType([words.schema[sentence], words.schema["word"], T.StructField("depth", T.IntegerType())])
+    return by_group(words.select(sentence, "word", "head"), sentence, kernel, out)
 
 
 def boundary_status(start: Column, end: Column, token_start: Column, token_end: Column, n: Column) -> Column:

@@ -125,7 +125,7 @@ def _(spark, sf):
 t AS (SELECT sentence, word, 0 AS depth FROM w WHERE head = 0 UNION ALL SELECT w.sentence, w.word, t.depth + 1 FROM w JOIN t ON w.sentence = t.sentence AND w.head = t.word) SELECT DISTINCT sentence, word, depth FROM t""")
 def _(spark, sf):
     """Depths in dependency trees."""
-    w = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sentence"), F.col("l_linenumber").cast("int").alias("word"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("head")).distinct()
+    w = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sentence"), F.col("l_linenumber").cast("int").alias("word"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("head"))
     return G.tree_depths(w)
 
 
