@@ -143,9 +143,9 @@ def _reached(group: np.ndarray, word: np.ndarray, head: np.ndarray, apart: np.nd
     return child, parent, depth
 
 
-def tree_rows(table: pa.Table, sentence: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tree_rows(table: pa.Table, sentence: str, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentence number, word and the three arrays of ``_reached`` of a table of whole sentences; no head counts as one that isn't there."""
-    group, null = group_numbers(table, sentence), np.iinfo(np.int64).min
+    group, null = group_numbers(table, sentence) if group is None else group, np.iinfo(np.int64).min
     word, head = column(table, "word", null), column(table, "head", null)
     # Nothing joins a null: such rows may be roots, and no more.
     apart = pc.is_null(table.column(sentence)).to_numpy() | (word == null) | (head == null)

@@ -48,6 +48,15 @@ def group_numbers(table: pa.Table, key: str) -> np.ndarray:
     return new.cumsum()
 
 
+def blocks(counts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose counts add up to ``most`` at most; an item beyond it stands alone."""
+    total, a = np.concatenate([[0], counts.cumsum()]), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def by_group(df: DataFrame, key: str, kernel: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
     """The rows that a kernel makes of whole groups."""
 

@@ -6,10 +6,14 @@ end. All is joins by sentence, whose words are a bounded number.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .graph import tree_depths
+from .graph import tree_depths, tree_rows
+from .groups import blocks, by_group, column, group_numbers
 
 
 def feature(feats: Column, name: str) -> Column:
@@ -31,27 +35,66 @@ def word_flags(words: DataFrame) -> DataFrame:
 
 def span_tree_features(words: DataFrame, spans: DataFrame) -> DataFrame:
     """For each span: words inside, its head (least deep, then first), how many heads lie outside, arcs that cross its
-    border, whether it is connected, and whether it is exactly a subtree."""
-    depth = tree_depths(words)
-    w = words.join(depth, ["sentence", "word"], "left")
-    inside = w.join(spans.select("sentence", "id", F.col("start").alias("s"), F.col("end").alias("e")), "sentence").where((F.col("start") < F.col("e")) & (F.col("end") > F.col("s")))
-    member = inside.select("sentence", "id", "word", "head", "depth")
-    heads = member.select("sentence", "id", F.col("word").alias("head"), F.lit(1).alias("_in"))
-    governed = member.join(heads, ["sentence", "id", "head"], "left")
-    g = governed.groupBy("sentence", "id").agg(
-        F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("_in").isNull()).alias("external_heads"),
-        F.min(F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("d"), "word")).alias("h"),
-    )
-    # Children outside whose head is inside: with them the span isn't a whole subtree.
-    outside = words.select("sentence", F.col("word").alias("child"), F.col("head").alias("word")).join(member.select("sentence", "id", "word"), ["sentence", "word"])
-    outside = outside.join(member.select("sentence", "id", F.col("word").alias("child")), ["sentence", "id", "child"], "left_anti")
-    crossing = outside.groupBy("sentence", "id").agg(F.count(F.lit(1)).alias("children_outside"))
-    out = g.join(crossing, ["sentence", "id"], "left").withColumn("children_outside", F.coalesce("children_outside", F.lit(0).cast("long")))
-    return out.select(
-        "sentence", "id", "n_words", F.col("h.word").alias("head_word"), F.when(F.col("h.d") < (1 << 30), F.col("h.d")).alias("head_depth"), "external_heads",
-        (F.col("external_heads") + F.col("children_outside")).alias("crossing_arcs"), (F.col("external_heads") == 1).alias("connected"),
-        ((F.col("external_heads") == 1) & (F.col("children_outside") == 0)).alias("subtree"),
-    )
+    border, whether it is connected, and whether it is exactly a subtree.
+
+    Words and spans meet by whole sentences in a kernel; rows given twice count once.
+    """
+    null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    rows = words.select("sentence", "word", "head", "start", "end", null(spans, "id"), F.lit(False).alias("span"))
+    rows = rows.union(spans.select("sentence", null(words, "word"), null(words, "head"), "start", "end", "id", F.lit(True))).where(F.col("sentence").isNotNull())
+
+    def kernel(table: pa.Table) -> pa.Table:
+        return _span_features(table.sort_by([("sentence", "ascending"), ("span", "ascending")]))
+
+    long = lambda n: T.StructField(n, T.LongType())
+    out = T.StructType([
+        rows.schema["sentence"], rows.schema["id"], long("n_words"), T.StructField("head_word", rows.schema["word"].dataType), T.StructField("head_depth", T.IntegerType()),
+        long("external_heads"), long("crossing_arcs"), T.StructField("connected", T.BooleanType()), T.StructField("subtree", T.BooleanType()),
+    ])
+    return by_group(rows, "sentence", kernel, out)
+
+
+def _span_features(table: pa.Table) -> pa.Table:
+    """The features of the spans of whole sentences, in whose rows words come before spans."""
+    group, is_span = group_numbers(table, "sentence"), table.column("span").to_numpy()
+    n_words = int((~is_span).sum())
+    of_words, of_spans = table.filter(pa.array(~is_span)), table.filter(pa.array(is_span))
+    _, word, child, parent, depth = tree_rows(of_words, "sentence", group[~is_span])
+    # Each word once: where rows differ in head or place, each of them counts.
+    start, end = column(of_words, "start"), column(of_words, "end")
+    kept = np.unique(np.stack([child, parent, column(of_words, "head", -1), start, end]), axis=1, return_index=True)[1] if n_words else np.zeros(0, np.int64)
+    kept.sort()
+    word, child, parent, start, end, of = word[kept], child[kept], parent[kept], start[kept], end[kept], group[~is_span][kept]
+    s, e, span_of = column(of_spans, "start"), column(of_spans, "end"), group[is_span]
+    lo, hi = np.searchsorted(of, span_of), np.searchsorted(of, span_of, "right")
+    counts, done = hi - lo, []
+    for a, b in blocks(counts):
+        n = counts[a:b]
+        span = np.repeat(np.arange(a, b), n)
+        row = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(lo[a:b], n)
+        inside = (start[row] < e[span]) & (end[row] > s[span])
+        # A word of a sentence and a span of it make one number.
+        wide = len(depth) + 1
+        members = np.unique(span[inside] * wide + child[row[inside]])
+        governed = (parent[row] >= 0) & np.isin(span * wide + parent[row], members)
+        is_member = np.isin(span * wide + child[row], members)
+        size = b - a
+        count = lambda which: np.bincount(span[which] - a, minlength=size)
+        words_in, external, outside = count(inside), count(inside & ~governed), count(~is_member & governed)
+        reached = np.where(depth[child] < 0, 1 << 30, depth[child])
+        m, r = span[inside], row[inside]
+        order = np.lexsort((word[r], reached[r], m))
+        first = order[np.unique(m[order], return_index=True)[1]]
+        some = m[first] - a
+        d = reached[r[first]]
+        done.append((m[first], words_in[some], word[r[first]], np.where(d < 1 << 30, d, -1), external[some], outside[some]))
+    at, n, head, d, external, outside = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 6
+    found = of_spans.take(pa.array(at))
+    return pa.table({
+        "sentence": found.column("sentence"), "id": found.column("id"), "n_words": pa.array(n.astype(np.int64)), "head_word": pa.array(head).cast(table.schema.field("word").type),
+        "head_depth": pa.array(d.astype(np.int32), mask=d < 0), "external_heads": pa.array(external.astype(np.int64)), "crossing_arcs": pa.array((external + outside).astype(np.int64)),
+        "connected": pa.array(external == 1), "subtree": pa.array((external == 1) & (outside == 0)),
+    })
 
 
 def role_evidence(words: DataFrame, spans: DataFrame) -> DataFrame:

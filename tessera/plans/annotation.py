@@ -94,15 +94,19 @@ def _(spark, sf):
     return E.slot_candidates(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), a, 5)
 
 
-def words(spark, sf):
-    """Dependency trees: one sentence an order, each word's head at half its number."""
+def word_rows(spark, sf):
+    """Dependency trees: one sentence an order, each word's head at half its number; a word once for each line of its number."""
     l = table(spark, sf, "lineitem")
     i = F.col("l_linenumber")
     return l.select(
         F.col("l_orderkey").alias("sentence"), i.cast("int").alias("word"), F.floor(i / 2).cast("int").alias("head"), (i * 3).cast("long").alias("start"), (i * 3 + 2).cast("long").alias("end"),
         F.when(i % 2 == 0, "VERB").otherwise("NOUN").alias("upos"), F.concat(F.lit("VerbForm="), F.when(i % 3 == 0, "Fin").otherwise("Inf"), F.lit("|Polarity="), F.when(i % 4 == 0, "Neg").otherwise("Pos")).alias("feats"),
         F.when(i == 1, "root").when(i % 2 == 0, "nsubj").otherwise("obj").alias("deprel"), F.lit("might").alias("text"),
-    ).distinct()
+    )
+
+
+def words(spark, sf):
+    return word_rows(spark, sf).distinct()
 
 
 WORDS = """words AS (SELECT DISTINCT l_orderkey AS sentence, l_linenumber AS word, l_linenumber // 2 AS head, l_linenumber * 3 AS a, l_linenumber * 3 + 2 AS b, CASE WHEN l_linenumber = 1 THEN 'root' WHEN l_linenumber % 2 = 0 THEN 'nsubj' ELSE 'obj' END AS deprel FROM lineitem),
@@ -121,7 +125,7 @@ c AS (SELECT m.sentence, m.id, count(*) AS k FROM words w JOIN m ON w.sentence =
 SELECT sentence, id, n_words, head_word, external_heads, external_heads + coalesce(k, 0) AS crossing_arcs, external_heads = 1 AS connected, external_heads = 1 AND coalesce(k, 0) = 0 AS subtree FROM h LEFT JOIN c USING (sentence, id)""")
 def _(spark, sf):
     """Heads, outside heads, crossing arcs, connection and subtrees of spans."""
-    w = words(spark, sf)
+    w = word_rows(spark, sf)
     return Y.span_tree_features(w, tree_spans(w)).drop("head_depth")
 
 

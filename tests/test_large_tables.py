@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, syntax
 
 
 @pytest.fixture
@@ -33,3 +33,10 @@ def test_groups_reach_across_batches(spark):
         assert sorted((r["sentence"], r["word"], r["depth"]) for r in graph.tree_depths(w).collect()) == [(s, k + 1, k) for s in (0, 1) for k in range(15)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_span_heads_beyond_recursion_limits(spark, few_rows):
+    w = spark.createDataFrame([(1, k, k - 1, 3 * k, 3 * k + 2) for k in range(1, 31)] + [(1, 7, 6, 21, 23)], "sentence long, word int, head int, start long, end long")
+    s = spark.createDataFrame([(1, 1, 6, 12), (1, 2, 84, 200), (1, 3, 0, 2), (2, 1, 0, 9)], "sentence long, id int, start long, end long")
+    got = sorted(tuple(r) for r in syntax.span_tree_features(w, s).collect())
+    assert got == [(1, 1, 2, 2, 1, 1, 2, True, False), (1, 2, 3, 28, 27, 1, 1, True, True)]
