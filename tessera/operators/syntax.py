@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import tree_depths, tree_rows
+from .graph import tree_rows
 from .groups import blocks, by_group, column, group_numbers
 
 
@@ -107,12 +108,29 @@ def role_evidence(words: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def parse_violations(words: DataFrame) -> DataFrame:
-    """rule and sentence of whatever breaks a parse: no root or several, heads that aren't there, words that no root reaches."""
-    roots = words.groupBy("sentence").agg(F.count_if(F.col("head") == 0).alias("n")).where("n <> 1").select(F.lit("roots").alias("rule"), "sentence")
-    known = words.select("sentence", F.col("word").alias("head"))
-    headless = words.where("head <> 0").join(known, ["sentence", "head"], "left_anti").select(F.lit("head_missing").alias("rule"), "sentence").distinct()
-    unreached = words.join(tree_depths(words), ["sentence", "word"], "left_anti").select(F.lit("unreached").alias("rule"), "sentence").distinct()
-    return roots.union(headless).union(unreached)
+    """rule and sentence of whatever breaks a parse: no root or several, heads that aren't there, words that no root reaches.
+
+    One pass over whole sentences; rows given twice count once.
+    """
+
+    def kernel(table: pa.Table) -> pa.Table:
+        group, _, child, parent, depth = tree_rows(table, "sentence")
+        head = column(table, "head", np.iinfo(np.int64).min)
+        given, first = pc.is_valid(table.column("head")).to_numpy(), np.unique(group, return_index=True)[1]
+        roots = _distinct_roots(group, child, head, len(first))
+        unreached = (depth[child] < 0) | pc.is_null(table.column("sentence")).to_numpy() | pc.is_null(table.column("word")).to_numpy()
+        broken = {"roots": np.flatnonzero(roots != 1), "head_missing": np.unique(group[given & (head != 0) & (parent < 0)]), "unreached": np.unique(group[unreached])}
+        rule = np.repeat(list(broken), [len(g) for g in broken.values()])
+        return pa.table({"rule": pa.array(rule, pa.string()), "sentence": table.column("sentence").take(pa.array(first[np.concatenate([*broken.values()])]))})
+
+    return by_group(words.select("sentence", "word", "head"), "sentence", kernel, T.StructType([T.StructField("rule", T.StringType()), words.schema["sentence"]]))
+
+
+def _distinct_roots(group: np.ndarray, child: np.ndarray, head: np.ndarray, groups: int) -> np.ndarray:
+    """How many words of each sentence are roots."""
+    root = np.flatnonzero(head == 0)
+    root = root[np.unique(child[root], return_index=True)[1]]
+    return np.bincount(group[root], minlength=groups)
 
 
 def resolved_references(decisions: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ UNION ALL SELECT DISTINCT 'head_missing', sentence FROM w WHERE head <> 0 AND NO
 UNION ALL SELECT DISTINCT 'unreached', sentence FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.sentence = w.sentence AND x.word = 1) AND word >= 1""")
 def _(spark, sf):
     """Parses that break the rules."""
-    return Y.parse_violations(words(spark, sf).where("word <= 3"))
+    return Y.parse_violations(word_rows(spark, sf).where("word <= 3"))
 
 
 @register("x15_resolved_references", """SELECT reference, CASE WHEN n = 1 THEN a END AS antecedent, n AS candidates, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS status FROM (SELECT o_custkey AS reference, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS n, min(o_orderkey) FILTER (o_orderstatus = 'F') AS a FROM orders GROUP BY 1)""")

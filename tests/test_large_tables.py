@@ -40,3 +40,10 @@ def test_span_heads_beyond_recursion_limits(spark, few_rows):
     s = spark.createDataFrame([(1, 1, 6, 12), (1, 2, 84, 200), (1, 3, 0, 2), (2, 1, 0, 9)], "sentence long, id int, start long, end long")
     got = sorted(tuple(r) for r in syntax.span_tree_features(w, s).collect())
     assert got == [(1, 1, 2, 2, 1, 1, 2, True, False), (1, 2, 3, 28, 27, 1, 1, True, True)]
+
+
+def test_parse_violations_beyond_recursion_limits(spark, few_rows):
+    good = [(1, k, k - 1) for k in range(1, 31)] + [(1, 1, 0)]
+    bad = [(2, 1, 0), (2, 2, 0), (3, 1, 5), (4, 1, 0), (4, 2, 3), (4, 3, 2)]
+    w = spark.createDataFrame(good + bad, "sentence long, word int, head int")
+    assert sorted(tuple(r) for r in syntax.parse_violations(w).collect()) == [("head_missing", 3), ("roots", 2), ("roots", 3), ("unreached", 3), ("unreached", 4)]
