@@ -65,3 +65,24 @@ def by_group(df: DataFrame, key: str, kernel: Callable[[pa.Table], pa.Table], sc
             yield from kernel(table).to_batches(max_chunksize=1 << 16)
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def by_batch(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.Table], schema) -> DataFrame:
+    """The rows that a kernel makes of batches of rows, each of which holds all it needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield from kernel(b).to_batches(max_chunksize=1 << 16)
+
+    return df.mapInArrow(run, schema)
+
+
+def nested(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """How many values each row's list has (null: none), and all values in a row."""
+    return pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
+
+
+def places(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each item the numbers from ``first`` on, ``counts`` of them, one after another."""
+    return np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts - first, counts)

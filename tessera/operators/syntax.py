@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import tree_rows
-from .groups import blocks, by_group, column, group_numbers
+from .groups import blocks, by_group, column, group_numbers, places
 
 
 def feature(feats: Column, name: str) -> Column:
@@ -72,7 +72,7 @@ def _span_features(table: pa.Table) -> pa.Table:
     for a, b in blocks(counts):
         n = counts[a:b]
         span = np.repeat(np.arange(a, b), n)
-        row = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(lo[a:b], n)
+        row = places(lo[a:b], n)
         inside = (start[row] < e[span]) & (end[row] > s[span])
         # A word of a sentence and a span of it make one number.
         wide = len(depth) + 1

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, syntax
+from tessera.operators import graph, intervals, syntax
+from tessera.plans import registry
 
 
 @pytest.fixture
@@ -47,3 +48,19 @@ def test_parse_violations_beyond_recursion_limits(spark, few_rows):
     bad = [(2, 1, 0), (2, 2, 0), (3, 1, 5), (4, 1, 0), (4, 2, 3), (4, 3, 2)]
     w = spark.createDataFrame(good + bad, "sentence long, word int, head int")
     assert sorted(tuple(r) for r in syntax.parse_violations(w).collect()) == [("head_missing", 3), ("roots", 2), ("roots", 3), ("unreached", 3), ("unreached", 4)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["j13_overlap_features"])
+def test_spans_are_not_joined(name, spark, sf):
+    """Pairs of spans of a window never meet in a join, whose exchange is some twenty times the text."""
+    assert "Join" not in plan_of(registry.queries()[name](spark, sf))
+
+
+def test_interval_features_of_repeated_spans(spark):
+    s = spark.createDataFrame([(1, 0, 4), (1, 0, 2), (1, 0, 2), (1, 1, 3), (2, 5, 6)], "window long, start int, end int")
+    got = sorted(tuple(r) for r in intervals.interval_features(s, ["window"]).collect())
+    assert got == [(1, 0, 2, 2, 4, 0, 2, 0, 2, 0), (1, 0, 4, 4, 3, 3, 0, 1, 2, 0), (1, 1, 3, 2, 3, 0, 1, 0, 0, 0), (2, 5, 6, 1, 0, 0, 0, 0, 0, 0)]
