@@ -54,7 +54,7 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["j13_overlap_features"])
+@pytest.mark.parametrize("name", ["j13_overlap_features", "j20_gold_labels", "a29_overlap_clusters", "x19_span_validity"])
 def test_spans_are_not_joined(name, spark, sf):
     """Pairs of spans of a window never meet in a join, whose exchange is some twenty times the text."""
     assert "Join" not in plan_of(registry.queries()[name](spark, sf))
