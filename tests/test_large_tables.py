@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, intervals, syntax
+from tessera.operators import graph, intervals, syntax, windows
 from tessera.plans import registry
 
 
@@ -64,3 +64,16 @@ def test_interval_features_of_repeated_spans(spark):
     s = spark.createDataFrame([(1, 0, 4), (1, 0, 2), (1, 0, 2), (1, 1, 3), (2, 5, 6)], "window long, start int, end int")
     got = sorted(tuple(r) for r in intervals.interval_features(s, ["window"]).collect())
     assert got == [(1, 0, 2, 2, 4, 0, 2, 0, 2, 0), (1, 0, 4, 4, 3, 3, 0, 1, 2, 0), (1, 1, 3, 2, 3, 0, 1, 0, 0, 0), (2, 5, 6, 1, 0, 0, 0, 0, 0, 0)]
+
+
+def test_run_sizes_without_runs(spark):
+    """The same sums as over all runs, none of which is made."""
+    w = spark.createDataFrame([(1, []), (2, ["a"]), (3, ["ab", "c", "def"]), (4, [str(k) for k in range(300)])], "id long, w array<string>")
+    got = sorted(tuple(r) for r in windows.run_sizes(w, "w", 32).collect())
+    runs = windows.ngrams(w, "w", 32).groupBy("id", "size").agg(F.count("phrase"), F.sum(F.length("phrase")))
+    assert got == sorted(tuple(r) for r in runs.collect()) and len(got) == 1 + 3 + 32
+
+
+def test_mention_candidates_make_no_runs(spark, sf):
+    plan = plan_of(registry.queries()["t37_mention_candidates"](spark, sf))
+    assert plan.count("Generate") == 1
