@@ -77,3 +77,26 @@ def test_run_sizes_without_runs(spark):
 def test_mention_candidates_make_no_runs(spark, sf):
     plan = plan_of(registry.queries()["t37_mention_candidates"](spark, sf))
     assert plan.count("Generate") == 1
+
+
+def test_lexical_candidates_without_join(spark, monkeypatch):
+    """The best windows are found without a row for each word that a window shares with a query; beyond the bound the join gives the same."""
+    q = spark.createDataFrame([(1, "a b c d"), (2, "x y"), (3, "zz"), (4, None)], "item_id long, text string")
+    d = spark.createDataFrame([(k, " ".join(["a", "b", "x"][: k % 4] * 9 + [f"w{j}" for j in range(k * 7)])) for k in range(40)], "doc_id long, text string")
+    fast = windows.lexical_candidates(q, d, 12, 6, 3)
+    assert "Join" not in plan_of(fast)
+    got = sorted(map(tuple, fast.collect()))
+    monkeypatch.setattr(windows, "CELLS", -1)
+    assert got == sorted(map(tuple, windows.lexical_candidates(q, d, 12, 6, 3).collect())) and len(got) == 6
+
+
+def test_resolution_explodes_no_documents(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(300))
+    q = spark.createDataFrame([(1, "w3 w4 w5"), (2, " ".join(f"w{k}" for k in range(90, 200))), (3, "w5 w4"), (4, "w7"), (5, "")], "item_id long, text string")
+    d = spark.createDataFrame([(1, text), (2, "w3 w4 w5 w3 w4 w5"), (3, None)], "doc_id long, text string")
+    found = windows.resolution(q, d)
+    assert "posexplode" not in plan_of(found)
+    got = sorted(map(tuple, found.collect()))
+    assert [r[1] for r in got][:2] == ["ambiguous_exact", "exact"] and got[3][1:3] == ("exact", 1)
+    monkeypatch.setattr(windows, "HELD_WORDS", -1)
+    assert got == sorted(map(tuple, windows.resolution(q, d).collect()))
