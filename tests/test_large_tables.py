@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import cues
 from tessera.operators import graph, intervals, syntax, windows
 from tessera.plans import registry
 
@@ -100,3 +101,33 @@ def test_resolution_explodes_no_documents(spark, monkeypatch):
     assert [r[1] for r in got][:2] == ["ambiguous_exact", "exact"] and got[3][1:3] == ("exact", 1)
     monkeypatch.setattr(windows, "HELD_WORDS", -1)
     assert got == sorted(map(tuple, windows.resolution(q, d).collect()))
+
+
+ODD = (
+    "You know, I-mean it's KIND of, sort of thank-you knowing I, think -- ' \"q\" can’t CAN'T don’t 12 5% 5%% 3.5% ٣٤ ÉCOLE École école's x’s! 's 's_ _s a's9 ΑΣ ΑΣ's İstanbul ß SS ǅ Ⅷ ² x\x0bY x\fY "
+    "kind of you,know sort-of iou mean Ed ING-ed bring s .. wave,ward 'tis if,only tower𝐀𝐁 𝐀 中文 中文-a é ’ % -ed no_ re's\u0085"
+)
+
+
+def test_flags_and_hints_by_word(spark):
+    """Runs of words get the flags and hints that the functions on phrases give, odd words included; no phrase is made."""
+    tokens = ODD.split(" ")
+    w = spark.createDataFrame([(k, tokens[k : k + 7]) for k in range(len(tokens))] + [(1000, [])], "window long, w array<string>")
+    s = windows.ngrams(w, "w", 3).select("window", (F.col("start") - 1).cast("long").alias("start"), (F.col("start") - 1 + F.col("size")).cast("long").alias("stop"), "phrase")
+    s = s.withColumn("r", cues.words(F.col("phrase"))).withColumn("l", F.transform("r", F.lower))
+    want = s.select("window", "start", "stop", *[c.alias(n) for n, c in cues.surface_flags(F.col("phrase"), F.col("r"), F.col("l")).items()])
+    got = windows.run_flags(w, "w", 3)
+    assert got.columns == want.columns
+    rows = lambda df: {tuple(r)[:3]: r.asDict() for r in df.collect()}
+    a, b, phrase = rows(got), rows(want), {tuple(r)[:3]: r["phrase"] for r in s.collect()}
+    assert set(a) == set(b) and len(a) == got.count()
+    assert [(phrase[k], c) for k in a for c in got.columns if a[k][c] != b[k][c]] == []
+    plain = F.transform("l", lambda x: F.replace(x, F.lit("’"), F.lit("'")))
+    want = rows(s.select("window", "start", "stop", F.array_join(cues.type_hints(F.col("phrase"), plain), ",").alias("hints")))
+    got = rows(windows.run_hints(w, "w", 3))
+    assert set(got) == set(want) and [(phrase[k], got[k]["hints"], want[k]["hints"]) for k in got if got[k] != want[k]] == []
+
+
+@pytest.mark.parametrize("name", ["v13_surface_features", "t36_type_hints"])
+def test_no_phrases_are_made(name, spark, sf):
+    assert plan_of(registry.queries()[name](spark, sf)).count("Generate") == 1
