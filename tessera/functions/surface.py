@@ -6,6 +6,7 @@ run's are those of its words put together. Words are looked up once a batch or l
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -32,6 +33,9 @@ UPPER, ING, ED, S, ONE = (1 << k for k in range(16, 21))
 LEFT, RIGHT = 21, 27  # from these bits on, one for each half
 
 
+_ASCII = re.compile("[A-Za-z0-9][A-Za-z0-9_'%-]*")
+
+
 def _letter(c: str) -> bool:
     return unicodedata.category(c)[0] == "L"
 
@@ -42,8 +46,8 @@ def _number(c: str) -> bool:
 
 def parts(token: str) -> list[str]:
     """The words of ``cues.WORD`` in a text without spaces."""
-    if token.isascii() and token.isalnum():
-        return [token]
+    if token.isascii():
+        return _ASCII.findall(token)
     out, at = [], None
     for i, c in enumerate(token):
         body = _letter(c) or _number(c)
@@ -67,25 +71,30 @@ def facts(token: str) -> int:
     """The facts of a word as it stands, as bits."""
     words = parts(token)
     low = [w.lower() for w in words]
-    bits = APOSTROPHE * _possessive(token.lower()) | HYPHEN * ("-" in token) | QUOTE * ('"' in token or "'" in token)
+    bits = 0 if token.isalpha() else APOSTROPHE * _possessive(token.lower()) | HYPHEN * ("-" in token) | QUOTE * ('"' in token or "'" in token)
     if not words:
         return bits
-    for k, listed in enumerate(_SETS):
-        bits |= any(w in listed for w in low) << (LISTED + k)
+    for w in low:
+        bits |= _LISTED.get(w, 0)
     capital = all(w == w.upper() and w.lower() != w and all(map(_letter, w)) for w in words)
-    inner = any(a.endswith(x) and b.startswith(y) for a, b in zip(low, low[1:], strict=False) for x, y in _HALVES)
+    inner = len(low) > 1 and any(a.endswith(x) and b.startswith(y) for a, b in zip(low, low[1:], strict=False) for x, y in _HALVES)
     bits |= SOME | PLAIN * (not capital) | DISFLUENT * inner | UPPER * (unicodedata.category(words[0][0]) == "Lu") | ONE * (len(words) == 1)
     bits |= ING * low[-1].endswith("ing") | ED * low[-1].endswith("ed") | S * low[-1].endswith("s")
-    for k, (x, y) in enumerate(_HALVES):
-        bits |= low[-1].endswith(x) << (LEFT + k) | low[0].startswith(y) << (RIGHT + k)
+    if low[-1].endswith(_LEFTS) or low[0].startswith(_RIGHTS):
+        for k, (x, y) in enumerate(_HALVES):
+            bits |= low[-1].endswith(x) << (LEFT + k) | low[0].startswith(y) << (RIGHT + k)
     return bits
 
 
 _SETS = tuple(map(frozenset, LISTS))
+_LISTED = {w: sum(1 << (LISTED + k) for k, listed in enumerate(_SETS) if w in listed) for w in frozenset().union(*LISTS)}
+_LEFTS, _RIGHTS = (tuple(h[k] for h in _HALVES) for k in (0, 1))
 _EVENTS, _STATES, _PLACES, _CONDITIONS = map(frozenset, (cues.EVENTS, cues.NEGATIONS + cues.MODALS, cues.PLACES, cues.CONDITIONS))
 
 
 def _decimal(w: str) -> bool:
+    if w.isalpha():
+        return False
     w = w.removesuffix("%")
     return bool(w) and all(unicodedata.category(c) == "Nd" for c in w)
 
@@ -93,9 +102,9 @@ def _decimal(w: str) -> bool:
 def hints(token: str) -> int:
     """The type hints of a word as it stands, a bit each in the order of ``TYPES``."""
     low = [w.lower().replace("’", "'") for w in parts(token)]
-    has = lambda listed: any(w in listed for w in low)
+    has = lambda listed: not listed.isdisjoint(low)
     conditional = has(_CONDITIONS)
-    upper = any(unicodedata.category(c) == "Lu" and (i == 0 or token[i - 1] in " \t\n\x0b\f\r") for i, c in enumerate(token))
+    upper = not token.islower() and any(unicodedata.category(c) == "Lu" and (i == 0 or token[i - 1] in " \t\n\x0b\f\r") for i, c in enumerate(token))
     rules = (
         has(_SETS[0]) or upper, has(_SETS[1]), has(_SETS[2]), has(_EVENTS) or conditional or any(w.endswith(("ed", "ing")) for w in low),
         has(_STATES) or conditional, has(_SETS[8]) or conditional, has(_PLACES), any(map(_decimal, low)),
