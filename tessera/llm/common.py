@@ -62,17 +62,25 @@ def clear(spark: SparkSession) -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """For the actions inside: at most so many rows in a batch for Python, where a row holds much."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: int):
     before = spark.conf.get(name, None)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """For the actions inside: at most so many rows in a batch for Python, where a row holds much."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def arrow_bytes(spark: SparkSession, size: int):
+    """For the actions inside: a batch for Python ends with the row that brings it to so many bytes."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a DataFrame that ``written`` returned."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:

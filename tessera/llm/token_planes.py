@@ -29,12 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, fresh_path, slices, split_words, text_of
+from .common import arrow_bytes, file_system, fresh_path, slices, split_words, text_of
 
 MAGIC = b"TSPLANE1"
 BLOCK = 1 << 16
 #: Words, and pieces of words, in each of the two generations whose ids a worker keeps. This bounds memory, not what is encoded.
-CACHED = 250_000
+CACHED = 150_000
+#: Words that are learned, and words whose ids are placed, at once.
+LEARNED, PLACED = 20_000, 1 << 16
+#: Bytes of text of a batch for Python, and of what is encoded at once; a longer row alone.
+BATCH = 2 << 20
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
@@ -83,14 +87,13 @@ class ShardWriter:
 
     def add(self, doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.docs.append((doc_ids, sizes))
-        self.pending.append(ids)
-        self.held += len(ids)
-        if self.held >= self.block:
-            row = np.concatenate(self.pending)
-            full = len(row) // self.block * self.block
-            for k in range(0, full, self.block):
-                self._chunk(row[k : k + self.block])
-            self.pending, self.held = [row[full:].copy()], len(row) - full
+        at = 0
+        while self.held + len(ids) - at >= self.block:
+            stop = at + self.block - self.held
+            self._chunk(np.concatenate([*self.pending, ids[at:stop]]))
+            self.pending, self.held, at = [], 0, stop
+        self.pending.append(ids[at:].copy())
+        self.held += len(ids) - at
 
     def _chunk(self, ids: np.ndarray) -> None:
         planes = [self.zip.compress(p) for p in to_planes(ids, self.bits)]
@@ -219,8 +222,8 @@ class WordEncoder:
                     missing.append(w)
                 else:
                     known[w] = found
-        if missing:
-            self._learn(missing)
+        for k in range(0, len(missing), LEARNED):
+            self._learn(missing[k : k + LEARNED])
         ids = list(map(known.__getitem__, words))
         if end_id is not None:  # the end of a text is one more word, the last
             index = np.insert(index, ends[1:], len(ids))
@@ -228,12 +231,14 @@ class WordEncoder:
             ids.append(array("I", [end_id]).tobytes())
         sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         flat, starts = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes, dtype=np.int32) - sizes
-        per_word = sizes[index]
-        upto = np.cumsum(per_word)
-        total = int(upto[-1]) if len(upto) else 0
-        place = np.repeat((starts[index] - upto + per_word).astype(np.int32), per_word)  # ids of a slice of texts: fewer than 2**31
-        place += np.arange(total, dtype=np.int32)
-        return flat[place], np.diff(np.concatenate([[0], upto])[ends])
+        upto = np.concatenate([[0], np.cumsum(sizes[index])])
+        out = np.empty(upto[-1], np.uint32)
+        for k in range(0, len(index), PLACED):
+            run, before = index[k : k + PLACED], upto[k : k + PLACED + 1]
+            place = np.repeat((starts[run] - before[: len(run)] + before[0]).astype(np.int32), sizes[run])  # ids of a slice of texts: fewer than 2**31
+            place += np.arange(len(place), dtype=np.int32)
+            out[before[0] : before[len(run)]] = flat[place]
+        return out, np.diff(upto[ends])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -266,17 +271,20 @@ def write_token_planes(docs: DataFrame, tokenizer_path: str, out: str | None = N
                 files.create_dir(f"{base}/shards", recursive=True)
                 sink = files.open_output_stream(name)
                 writer = ShardWriter(sink, block, bits)
-            for piece in slices(batch, "_text"):
+            for piece in slices(batch, "_text", BATCH):
                 ids, sizes = enc.encode(piece.column("_text"), end_id)
                 writer.add(piece.column("_key").to_pylist(), sizes, ids)
                 n_docs += piece.num_rows
+                del ids
+                pa.default_memory_pool().release_unused()  # else Arrow keeps the most that it ever took
         if writer is not None:
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{out}/shards/{name.rsplit('/', 1)[1]}"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
     rows = docs.select(F.col(key).cast("long").alias("_key"), text_of(docs, text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    rows.repartitionByRange("_key", "_tie").sortWithinPartitions("_key", "_tie").drop("_tie").mapInArrow(write, MANIFEST).write.parquet(f"{out}/manifest")
+    with arrow_bytes(spark, BATCH):
+        rows.repartitionByRange("_key", "_tie").sortWithinPartitions("_key", "_tie").drop("_tie").mapInArrow(write, MANIFEST).write.parquet(f"{out}/manifest")
     return out
 
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -90,6 +92,33 @@ def test_token_planes_edges(spark, empty):
     assert [r["doc_id"] for r in got] == [None, 1, 1, 1] and sorted(r["n_tokens"] for r in got) == [1, 2, 2, 2]
 
 
+def test_token_batches_are_bounded(spark, monkeypatch):
+    def checked(batch, column, *most):
+        assert batch.column(column).nbytes < 4 << 20
+        return common.slices(batch, column, *most)
+
+    monkeypatch.setattr(token_planes, "slices", checked)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 400).alias("text"))
+    got = token_planes.read_token_planes(spark, token_planes.write_token_planes(rows, VOCABULARY))
+    assert got.agg(F.count("doc_id"), F.sum("n_tokens")).first() == (9000, 9000 * 401)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_ids_are_placed_in_little_memory():
+    texts = pa.array(["to be or not to be " * 2000] * 100)
+    coder = token_planes.WordEncoder(VOCABULARY)
+    coder.encode(texts, 1)
+    tracemalloc.start()
+    try:
+        ids, sizes = coder.encode(texts, 1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (sizes == 12001).all() and ids.reshape(100, 12001)[0].tolist() == [*coder.whole.encode("to be or not to be " * 2000, add_special_tokens=False).ids, 1]
+    assert most < 33 * len(ids), most / len(ids)
+
+
 def test_damaged_shard(spark, docs, tmp_path):
     path = f"file://{tmp_path}/t"
     token_planes.write_token_planes(docs, VOCABULARY, path)
