@@ -34,11 +34,11 @@ from .common import arrow_bytes, file_system, fresh_path, slices, split_words, t
 MAGIC = b"TSPLANE1"
 BLOCK = 1 << 16
 #: Words, and pieces of words, in each of the two generations whose ids a worker keeps. This bounds memory, not what is encoded.
-CACHED = 150_000
+CACHED = 250_000
 #: Words that are learned, and words whose ids are placed, at once.
 LEARNED, PLACED = 20_000, 1 << 16
 #: Bytes of text of a batch for Python, and of what is encoded at once; a longer row alone.
-BATCH = 2 << 20
+BATCH = 4 << 20
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
@@ -160,7 +160,7 @@ class WordEncoder:
     NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
     SPLITTERS = [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         import regex  # here, so that whoever only reads shards needn't load either library
         from tokenizers import Tokenizer
 
@@ -172,12 +172,13 @@ class WordEncoder:
         self.by_words &= all(not t[k] for t in shape["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.merge = self.whole.model.tokenize
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.cached = cached
         self.words, self.old_words = {}, {}  # ids as 32-bit numbers, of words met lately and of the generation before
         self.parts, self.old_parts = {"\n": b""}, {}  # and of pieces
 
     def _pieces(self, pieces: set[str]) -> None:
         """Learns pieces."""
-        if len(self.parts) > CACHED:
+        if len(self.parts) > self.cached:
             self.parts, self.old_parts = {"\n": b""}, self.parts
         known, old, merge = self.parts, self.old_parts.get, self.merge
         for p in pieces.difference(known):
@@ -213,7 +214,7 @@ class WordEncoder:
             return np.concatenate([np.zeros(0, np.uint32), *rows]), np.array([len(x) for x in rows], np.int64)
         distinct, index, ends = split_words(texts)
         words = distinct.to_pylist()
-        if len(self.words) > CACHED:
+        if len(self.words) > self.cached:
             self.words, self.old_words = {}, self.words
         known, missing = self.words, []
         for w in words:
@@ -244,17 +245,19 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cached: int = CACHED) -> WordEncoder:
     """One encoder for each worker and vocabulary."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].cached = cached
     return _ENCODERS[path]
 
 
-def write_token_planes(docs: DataFrame, tokenizer_path: str, out: str | None = None, *, key: str = "doc_id", text: str = "text", end_id: int | None = 1, block: int = BLOCK, bits: bool = False) -> str:
+def write_token_planes(docs: DataFrame, tokenizer_path: str, out: str | None = None, *, key: str = "doc_id", text: str = "text", end_id: int | None = 1, block: int = BLOCK, bits: bool = False, batch: int = BATCH, cached: int = CACHED) -> str:
     """Encodes ``docs`` in ascending ``key`` order into shard files under ``out``; returns ``out``.
 
-    The files are complete when the manifest table ``out``/manifest is there.
+    The files are complete when the manifest table ``out``/manifest is there. Less of ``batch`` (bytes) and ``cached``
+    (words) takes less of a worker's memory and more time; the ids are the same.
     """
     spark = docs.sparkSession
     out = out or fresh_path(spark, "token-planes")
@@ -265,13 +268,13 @@ def write_token_planes(docs: DataFrame, tokenizer_path: str, out: str | None = N
         name = f"{base}/shards/shard-{part:06d}-{uuid.uuid4().hex}.planes"
         writer = sink = None
         n_docs = 0
-        enc = encoder(tokenizer_path)
-        for batch in batches:
+        enc = encoder(tokenizer_path, cached)
+        for rows in batches:
             if writer is None:
                 files.create_dir(f"{base}/shards", recursive=True)
                 sink = files.open_output_stream(name)
                 writer = ShardWriter(sink, block, bits)
-            for piece in slices(batch, "_text", BATCH):
+            for piece in slices(rows, "_text", batch):
                 ids, sizes = enc.encode(piece.column("_text"), end_id)
                 writer.add(piece.column("_key").to_pylist(), sizes, ids)
                 n_docs += piece.num_rows
@@ -283,7 +286,7 @@ def write_token_planes(docs: DataFrame, tokenizer_path: str, out: str | None = N
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{out}/shards/{name.rsplit('/', 1)[1]}"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
     rows = docs.select(F.col(key).cast("long").alias("_key"), text_of(docs, text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    with arrow_bytes(spark, BATCH):
+    with arrow_bytes(spark, batch):
         rows.repartitionByRange("_key", "_tie").sortWithinPartitions("_key", "_tie").drop("_tie").mapInArrow(write, MANIFEST).write.parquet(f"{out}/manifest")
     return out
 
