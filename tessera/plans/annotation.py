@@ -143,13 +143,14 @@ def _(spark, sf):
     return Y.role_evidence(w, tree_spans(w)).select("sentence", "id", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"))
 
 
-@register("x30_parse_violations", """WITH w AS (SELECT DISTINCT l_orderkey AS sentence, l_linenumber AS word, l_linenumber // 2 AS head FROM lineitem WHERE l_linenumber <= 3)
+@register("x30_parse_violations", """WITH RECURSIVE w AS (SELECT DISTINCT l_orderkey AS sentence, l_linenumber AS word, l_linenumber // 2 AS head FROM lineitem),
+t AS (SELECT sentence, word FROM w WHERE head = 0 UNION SELECT w.sentence, w.word FROM w JOIN t ON w.sentence = t.sentence AND w.head = t.word)
 SELECT 'roots' AS rule, sentence FROM w GROUP BY 2 HAVING count(*) FILTER (head = 0) <> 1
 UNION ALL SELECT DISTINCT 'head_missing', sentence FROM w WHERE head <> 0 AND NOT EXISTS (SELECT 1 FROM w x WHERE x.sentence = w.sentence AND x.word = w.head)
-UNION ALL SELECT DISTINCT 'unreached', sentence FROM w WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.sentence = w.sentence AND x.word = 1) AND word >= 1""")
+UNION ALL SELECT DISTINCT 'unreached', sentence FROM w WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.sentence = w.sentence AND t.word = w.word)""")
 def _(spark, sf):
-    """Parses that break the rules."""
-    return Y.parse_violations(word_rows(spark, sf).where("word <= 3"))
+    """Parses that break the rules, all words of a sentence looked at."""
+    return Y.parse_violations(word_rows(spark, sf))
 
 
 @register("x15_resolved_references", """SELECT reference, CASE WHEN n = 1 THEN a END AS antecedent, n AS candidates, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END AS status FROM (SELECT o_custkey AS reference, count(DISTINCT o_orderkey) FILTER (o_orderstatus = 'F') AS n, min(o_orderkey) FILTER (o_orderstatus = 'F') AS a FROM orders GROUP BY 1)""")
